@@ -25,8 +25,9 @@ def from_matrix(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 def distances(a: np.ndarray, b: np.ndarray, same: bool = False) -> np.ndarray:
     """Euclidean distances between the rows of two blocks."""
-    squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    out = np.sqrt(np.maximum(squared, 0.0))
+    lengths = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    squared = lengths - 2.0 * (a @ b.T)
+    out = np.sqrt(np.where(squared > 1e-14 * lengths, squared, 0.0))  # below that only rounding is left
     if same:
         np.fill_diagonal(out, 0.0)
     return out

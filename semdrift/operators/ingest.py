@@ -59,20 +59,8 @@ def normalise_records(listing: DataFrame) -> DataFrame:
 
 
 def page_texts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(url, text, error): column path for flat pages, event walk for the others."""
-    coded = pages.select(url, html, H.without_code(F.col(html)).alias("_plain"))
-    bare = coded.select("*", H.strip_frame(F.col("_plain")).alias("_bare"))
-    routed = bare.select(
-        url,
-        H.main_content(F.col("_bare")).alias("_inner"),
-        F.when(H.needs_walk(F.col("_plain"), F.col("_bare")), F.col(html)).alias("_odd"),
-    )
-    walked = routed.withColumn("_w", H.page_text_by_walk(F.col("_odd")))
-    return walked.select(
-        F.col(url),
-        F.when(F.col("_odd").isNotNull(), F.col("_w.text")).otherwise(H.visible_text(F.col("_inner"))).alias("text"),
-        F.col("_w.error").alias("error"),
-    )
+    """(url, text, error); a page that fails has no text, and the job goes on."""
+    return pages.select(url, H.page_text_by_walk(F.col(html)).alias("_w")).select(url, "_w.text", "_w.error")
 
 
 def resolve_content(records: DataFrame, texts: DataFrame, spread: str = "filename") -> DataFrame:

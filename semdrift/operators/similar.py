@@ -14,6 +14,8 @@ from semdrift.operators import blocks as B
 
 # Query vectors up to this size travel with the tasks.
 MAX_SHIPPED_BYTES = 64 << 20
+# Distances equal to this many decimals are ties; the smaller id comes first.
+DECIMALS = 9
 
 
 def cosine_of_pairs(pairs: DataFrame, a: str = "a", b: str = "b", name: str = "cosine") -> DataFrame:
@@ -40,6 +42,7 @@ def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 def _emit(ids_a, ids_b, d, k, bound=None) -> pa.Table:
+    d = np.round(d, DECIMALS)
     r, c = _smallest(d, ids_b, k)
     keep = np.isfinite(d[r, c])
     if bound is not None:

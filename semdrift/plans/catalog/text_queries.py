@@ -480,11 +480,12 @@ def h03(spark, sf_dir):
     return ingest.page_texts(spread(table(spark, sf_dir, "pages"), "page_id")).select("url", "text")
 
 
-@query("h03_visible_text_by_walk", f"WITH {PAGE_TEXT} SELECT page_id, text FROM texts")
-def h03_walk(spark, sf_dir):
-    from semdrift.functions.html import page_text_by_walk
+@query("h03_visible_text_by_columns", f"WITH {PAGE_TEXT} SELECT page_id, text FROM texts")
+def h03_columns(spark, sf_dir):
+    from semdrift.functions.html import page_text_by_columns
 
-    return spread(table(spark, sf_dir, "pages"), "page_id").select("page_id", page_text_by_walk(F.col("html"))["text"].alias("text"))
+    pages = spread(table(spark, sf_dir, "pages"), "page_id")
+    return pages.select("page_id", page_text_by_columns(F.col("html")).alias("text"))
 
 
 @query("h04_tolerate_failures", f"""WITH {PAGE_TEXT},
