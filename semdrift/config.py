@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+
 # Eras in rule order, first match wins, both bounds inclusive.
 ERAS: tuple[tuple[int, int, str], ...] = (
     (1993, 2001, "Clinton"),
@@ -19,7 +21,7 @@ PRESIDENTS: tuple[str, ...] = ("Clinton", "Bush", "Obama", "Trump", "Biden")
 
 def eps_grid(low: float = 0.1, high: float = 2.0, steps: int = 10) -> tuple[float, ...]:
     """Evenly spaced radii, both ends included."""
-    return tuple(low + i * (high - low) / (steps - 1) for i in range(steps))
+    return tuple(float(e) for e in np.linspace(low, high, steps))
 
 
 @dataclass(frozen=True)

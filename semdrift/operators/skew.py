@@ -22,6 +22,7 @@ def lookup_join(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    left_rows: int | None = None,
 ) -> DataFrame:
     """Join ``left`` to a table with one row per key, splitting hot keys of ``left``.
 
@@ -29,9 +30,13 @@ def lookup_join(
     ``rows / hot_rows`` of them and their list may be broadcast. Rows of a hot
     key, and rows without a key, are spread over ``salts`` tasks by the hash
     of column ``spread`` (a row identity, so that a retried task repeats the
-    same choice); only the matching right rows are repeated.
+    same choice); only the matching right rows are repeated. A caller that
+    has counted ``left`` passes ``left_rows``: too few rows for a hot key need
+    none of this.
     """
     keys = [on] if isinstance(on, str) else list(on)
+    if left_rows is not None and left_rows <= hot_rows:
+        return left.join(right, keys, how)
     hot = (
         left.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > hot_rows)

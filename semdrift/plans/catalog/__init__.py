@@ -9,7 +9,8 @@ def load() -> tuple[dict[str, base.Query], dict[str, str]]:
     """Registers every query once; the stopword list behind some twins needs a session."""
     from pyspark.sql import SparkSession
 
-    from semdrift.plans.catalog import analysis_queries, text_queries, vector_queries  # noqa: F401
+    from semdrift.plans import flagship
+    from semdrift.plans.catalog import analysis_queries, text_queries, vector_queries
 
     if "t10_drop_stopwords" not in base.QUERIES:
         if SparkSession.getActiveSession() is None:
@@ -18,4 +19,6 @@ def load() -> tuple[dict[str, base.Query], dict[str, str]]:
             local_session()
         text_queries.register_with_stopwords()
         vector_queries.register_with_stopwords()
+        analysis_queries.register_with_stopwords()
+        flagship.register_with_stopwords()
     return base.QUERIES, base.ORACLES

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from semdrift.config import ERAS
 from semdrift.functions import text as X
 from semdrift.functions.names import GAPS, UNSAFE
+from semdrift.session import ship_package
 from semdrift.sources.corpus import TITLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,11 +18,20 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _shipped(fn: Query) -> Query:
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    return run
+
+
 def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         if key in QUERIES:
             raise KeyError(key)
-        QUERIES[key] = fn
+        QUERIES[key] = _shipped(fn)
         if sql is not None:
             ORACLES[key] = sql
         return fn

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "semdrift") -> SparkSession:
     """Session for tests and local benchmarks; a cluster brings its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
@@ -23,6 +25,22 @@ def local_session(cores: int | str = "*", app: str = "semdrift") -> SparkSession
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, wherever the session was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_semdrift_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    bundle = Path(tempfile.mkdtemp(prefix="semdrift-")) / "semdrift.zip"
+    with zipfile.ZipFile(bundle, "w") as out:
+        for source in sorted(home.rglob("*.py")):
+            out.write(source, source.relative_to(home.parent))
+    sc.addPyFile(str(bundle))
+    sc._semdrift_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
