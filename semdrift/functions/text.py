@@ -62,21 +62,14 @@ def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
-def _where(text: Column, mark: str, cleaned: Column) -> Column:
-    """``cleaned`` for texts that hold ``mark``; a byte search spares the others the pattern."""
-    return F.when(F.contains(text, F.lit(mark)), cleaned).otherwise(text)
-
-
 def normalise(text: Column) -> Column:
     """Lower-case words of a-z joined by one space, without order numbers, dates, citations, URLs.
 
     Replacing other characters and collapsing white space is one pattern here:
     whatever is not a-z ends up as a single space.
     """
-    text = F.when(F.contains(F.lower(text), F.lit("executive")), remove_order_number(text)).otherwise(text)
-    text = remove_numeric_dates(text)
-    text = _where(text, "[", remove_citations(text))
-    text = _where(text, "http", remove_urls(text))
+    for step in (remove_order_number, remove_numeric_dates, remove_citations, remove_urls):
+        text = step(text)
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z]+", " "))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -24,64 +25,79 @@ def long_enough(text: Column, min_chars: int = 50) -> Column:
     return F.length(text) > min_chars
 
 
-def token_codes(words: Column, dim: int) -> Column:
-    """Signed 1-based bucket of every word, from the leading digits of its md5."""
-    digests = F.transform(words, F.md5)
-    return F.transform(
-        digests,
-        lambda m: (
-            (F.conv(F.substring(m, 1, 8), 16, 10).cast("bigint") % dim + 1)
-            * (1 - 2 * (F.conv(F.substring(m, 9, 1), 16, 10).cast("int") % 2))
-        ).cast("int"),
-    )
+def word_code(word: str) -> int:
+    """The first nine hex digits of the md5: eight for the bucket, one for the sign."""
+    return int(hashlib.md5(word.encode()).hexdigest()[:9], 16)
+
+
+def _buckets(texts: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bucket and sign of every word of a batch; each distinct word is hashed once."""
+    lists = pc.split_pattern(pc.fill_null(texts.cast(pa.string()), ""), " ")
+    words = lists.flatten().dictionary_encode()
+    codes = np.array([word_code(w) if w else -1 for w in words.dictionary.to_pylist()], dtype=np.int64)
+    code = codes[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, dtype=np.int64)
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    real = code >= 0
+    row, code = row[real], code[real]
+    return row, (code >> 4) % dim, 1.0 - 2.0 * (code & 1)
 
 
-def _bucket_sums(dim: int, weights: np.ndarray | None):
+def hash_embedding(text: Column, dim: int = 384, weights: np.ndarray | None = None,
+                   min_chars: int | None = None) -> Column:
+    """Signed feature hashing of the words of a cleaned text to a unit vector.
+
+    Runs batch by batch next to the scan: nothing is shuffled. Texts of up to
+    ``min_chars`` characters give NULL; gating here rather than by a filter on
+    the text keeps Catalyst from cleaning every text twice, once for the
+    filter pushed below the projection and once for the vector.
+    """
+
     @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def pooled(codes: pa.Array) -> pa.Array:
-        n = len(codes)
-        flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        lengths = codes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        cell = np.repeat(np.arange(n, dtype=np.int64), lengths) * dim + np.abs(flat) - 1
-        sums = np.bincount(cell, weights=np.sign(flat), minlength=n * dim).reshape(n, dim)
+    def pooled(texts: pa.Array) -> pa.Array:
+        row, bucket, sign = _buckets(texts, dim)
+        sums = np.bincount(row * dim + bucket, weights=sign, minlength=len(texts) * dim).reshape(len(texts), dim)
         if weights is not None:
             sums = sums * weights
         size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-        return from_matrix(sums / np.where(size > 0, size, 1.0), pa.float32())
-
-    return pooled
+        out = from_matrix(sums / np.where(size > 0, size, 1.0), pa.float32())
+        if min_chars is None:
+            return out
+        long = pc.fill_null(pc.greater(pc.utf8_length(texts), min_chars), False)
+        return pc.if_else(long, out, pa.scalar(None, out.type))
 
+    return pooled.asNondeterministic()(text)  # a filter on the result must not run it again
 
-def hash_embedding(words: Column, dim: int = 384, weights: np.ndarray | None = None) -> Column:
-    """Signed feature hashing of words to a unit vector.
 
-    Hashing stays in the JVM; the arrays of bucket numbers are summed a batch
-    at a time. Nothing is shuffled.
-    """
-    return _bucket_sums(dim, weights)(token_codes(words, dim))
+def bucket_weights(documents: DataFrame, dim: int, text: str = "text") -> np.ndarray:
+    """Inverse document frequency per bucket: ``dim`` numbers from one row per task."""
 
+    def count(batches):
+        seen, total = np.zeros(dim, dtype=np.int64), 0
+        for batch in batches:
+            row, bucket, _ = _buckets(batch.column(0), dim)
+            seen += np.bincount(np.unique(row * dim + bucket) % dim, minlength=dim)
+            total += batch.num_rows
+        yield pa.RecordBatch.from_pydict({
+            "bucket": pa.array(range(dim + 1), pa.int32()), "n": pa.array([*seen.tolist(), total], pa.int64())
+        })
 
-def bucket_weights(documents: DataFrame, words: Column, dim: int) -> np.ndarray:
-    """Inverse document frequency per bucket: ``dim`` numbers."""
-    buckets = F.array_distinct(F.transform(token_codes(words, dim), F.abs))
-    rows = documents.select(F.explode(buckets).alias("b")).groupBy("b").count().collect()  # at most dim rows
-    total = documents.count()
-    seen = np.zeros(dim)
-    for row in rows:
-        seen[row["b"] - 1] = row["count"]
-    return np.log((total + 1.0) / (seen + 1.0)) + 1.0
+    counts = documents.select(text).mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    by_bucket = {r["bucket"]: r["n"] for r in counts.collect()}  # dim + 1 rows
+    total = by_bucket.get(dim, 0)
+    return np.log((total + 1.0) / (np.array([by_bucket.get(b, 0) for b in range(dim)]) + 1.0)) + 1.0
 
 
 def embed_documents(documents: DataFrame, key: str, dim: int = 384, text: str = "text", min_chars: int = 50,
                     max_chars: int | None = None, weights: np.ndarray | None = None) -> DataFrame:
     """(key, content_md5, embedding) of every text longer than ``min_chars``."""
-    kept = documents.filter(long_enough(F.col(text), min_chars))
-    cut_text = X.truncate(F.col(text), max_chars)
-    return kept.select(
+    if max_chars is not None and max_chars <= min_chars:
+        raise ValueError("the cut must leave more than the gate")
+    vectors = documents.select(
         key,
         F.md5(F.col(text)).alias("content_md5"),
-        hash_embedding(X.tokens(cut_text), dim, weights).alias("embedding"),
+        hash_embedding(X.truncate(F.col(text), max_chars), dim, weights, min_chars).alias("embedding"),
     )
+    return vectors.filter("embedding IS NOT NULL")
 
 
 def encode_with_model(documents: DataFrame, key: str, make_model: Callable[[], Callable], batch_size: int = 32,

@@ -86,7 +86,7 @@ v AS (SELECT doc_id, pos, CAST(CAST(s / sqrt(sum(s * s) OVER (PARTITION BY doc_i
 SELECT doc_id, pos, round(value, 5) AS value FROM v""")
     def e04_weighted(spark, sf_dir):
         kept = cleaned_texts(spark, sf_dir).filter(embed.long_enough(F.col("text")))
-        weights = embed.bucket_weights(kept, X.tokens(F.col("text")), DIM)
+        weights = embed.bucket_weights(kept, DIM)
         done = embed.embed_documents(kept, "doc_id", DIM, weights=weights)
         return long_rounded(done, "doc_id", "embedding", 5).filter("value <> 0")
 

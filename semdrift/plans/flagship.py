@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semdrift.config import CleanSettings
-from semdrift.functions import text as X
 from semdrift.operators import drift, embed, meta
 from semdrift.operators.clean import content_text
 from semdrift.plans.catalog.base import CORPUS, query
@@ -25,9 +24,8 @@ def corpus_drift(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
     """
     ship_package(spark)
     docs = corpus(spark, sf_dir).select("filename", content_text(F.col("text"), CleanSettings()).alias("text"))
-    kept = docs.filter(embed.long_enough(F.col("text")))
-    vectors = kept.select("filename", embed.hash_embedding(X.tokens(F.col("text")), dim).alias("embedding"))
-    dated = meta.parse_keys(vectors)
+    vectors = embed.embed_documents(docs, "filename", dim)
+    dated = meta.parse_keys(vectors.select("filename", "embedding"))
     return drift.consecutive_drift(drift.yearly_centroids(dated))
 
 

@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semdrift.config import CleanSettings
-from semdrift.functions import text as X
 from semdrift.operators.clean import content_text
 from semdrift.operators.drift import consecutive_drift
-from semdrift.operators.embed import hash_embedding, long_enough
+from semdrift.operators.embed import hash_embedding
 from semdrift.operators.meta import with_valid_year
 
 
@@ -28,12 +27,10 @@ def landed_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
 def clean_and_embed(documents: DataFrame, key: str, dim: int, settings: CleanSettings = CleanSettings(),
                     min_chars: int = 50) -> DataFrame:
     """Stateless: the column functions of the batch path, for a stream or a table."""
-    cleaned = documents.withColumn("processed", content_text(F.col("text"), settings))
-    kept = cleaned.filter(long_enough(F.col("processed"), min_chars))
-    return kept.select(
-        key, F.col("processed").alias("text"), F.md5("processed").alias("content_md5"),
-        hash_embedding(X.tokens(F.col("processed")), dim).alias("embedding"),
-    )
+    cleaned = documents.select(key, content_text(F.col("text"), settings).alias("text"))
+    vector = hash_embedding(F.col("text"), dim, min_chars=min_chars)
+    done = cleaned.select(key, "text", F.md5("text").alias("content_md5"), vector.alias("embedding"))
+    return done.filter("embedding IS NOT NULL")
 
 
 def first_copies(documents: DataFrame, key: list[str], event_time: str, late: str = "1 day") -> DataFrame:
