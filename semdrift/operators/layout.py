@@ -114,6 +114,7 @@ class _Cells:
     y: np.ndarray
     n: np.ndarray
     total: int
+    extent: float
 
 
 def _cells(pos: DataFrame) -> _Cells:
@@ -126,7 +127,7 @@ def _cells(pos: DataFrame) -> _Cells:
         F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")
     ).collect()  # at most GRID² rows
     n = np.array([r["n"] for r in rows], dtype=np.float64)
-    return _Cells(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]), n, int(n.sum()))
+    return _Cells(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]), n, int(n.sum()), float(max(wide, high)))
 
 
 def _push(cells: _Cells, kernel):
@@ -146,29 +147,36 @@ def _push(cells: _Cells, kernel):
     return push
 
 
-def _prepared(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges with a salt for hub nodes on either end, and the hubs; worked out once for all epochs."""
-    hubs = edges.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS).select(
-        "id", F.lit(SALTS).alias("salts")
+def _prepared(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges laid out by ``v``, and the hub nodes whose edges must be split (None without any).
+
+    Worked out once: the edges stay the same in all epochs, only the
+    coordinates that join them change.
+    """
+    edges = write_and_read(edges, "layout-edges")
+    hubs = write_and_read(
+        edges.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS)
+        .select("id", F.lit(SALTS).alias("salts")), "layout-hubs",
     )
-    hubs = write_and_read(hubs, "layout-hubs")
+    if hubs.isEmpty():
+        return cut(edges.repartition("v")), None
     for end, other in (("u", "v"), ("v", "u")):
         known = F.broadcast(hubs.select(F.col("id").alias(end), F.col("salts").alias("_s")))
         edges = edges.join(known, end, "left").withColumn(
             f"salt_{end}", F.when(F.col("_s").isNotNull(), F.pmod(F.xxhash64(other), "_s")).otherwise(F.lit(0)).cast("int")
         ).drop("_s")
-    return write_and_read(edges, "layout-edges"), hubs
+    return cut(edges.repartition("v", "salt_v")), hubs
 
 
-def _at_ends(edges: DataFrame, hubs: DataFrame, pos: DataFrame) -> DataFrame:
+def _at_ends(edges: DataFrame, hubs: DataFrame | None, pos: DataFrame) -> DataFrame:
     """Edges with the coordinates of both ends."""
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))
-    spread = pos.select("id", "x", "y").join(F.broadcast(hubs), "id", "left").withColumn("salt", copies)
-    for end in ("u", "v"):
-        side = spread.select(
-            F.col("id").alias(end), F.col("salt").alias(f"salt_{end}"), F.col("x").alias(f"x_{end}"), F.col("y").alias(f"y_{end}")
-        )
-        edges = edges.join(side, [end, f"salt_{end}"])
+    spread = pos.select("id", "x", "y")
+    if hubs is not None:
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))
+        spread = spread.join(F.broadcast(hubs), "id", "left").withColumn("salt", copies).drop("salts")
+    for end in ("v", "u"):
+        side = spread.withColumnsRenamed({"id": end, "salt": f"salt_{end}", "x": f"x_{end}", "y": f"y_{end}"})
+        edges = edges.join(side, [end] if hubs is None else [end, f"salt_{end}"])
     return edges
 
 
@@ -223,7 +231,11 @@ def umap_layout(coords: DataFrame, id_col: str, edges: DataFrame, min_dist: floa
 
 
 def tsne_layout(coords: DataFrame, id_col: str, edges: DataFrame, iterations: int = 1000, seed: int = 42) -> DataFrame:
-    """(id, x, y): gradient layout of symmetric affinities, started from ``coords``."""
+    """(id, x, y): gradient layout of symmetric affinities, started from ``coords``.
+
+    A step is at most a tenth of the current extent, so that few iterations
+    already settle.
+    """
     edges, hubs = _prepared(edges)
     still = [F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy")]
     pos = cut(_start(coords, id_col, 1.0, seed).select("*", *still))
@@ -246,7 +258,7 @@ def tsne_layout(coords: DataFrame, id_col: str, edges: DataFrame, iterations: in
         moved = pushed.join(pull, "id", "left")
         for axis in ("x", "y"):
             grad = 4 * (boost * F.coalesce(F.col(f"p{axis}"), F.lit(0.0)) - F.col(f"_f.f{axis}") / z)
-            moved = moved.withColumn(f"v{axis}", momentum * F.col(f"v{axis}") - _clip(rate * grad, 5.0))
+            moved = moved.withColumn(f"v{axis}", momentum * F.col(f"v{axis}") - _clip(rate * grad, 0.1 * cells.extent))
         pos = cut(moved.select("id", (F.col("x") + F.col("vx")).alias("x"), (F.col("y") + F.col("vy")).alias("y"), "vx", "vy"))
     return pos.select("id", "x", "y")
 
