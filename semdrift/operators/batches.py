@@ -38,7 +38,7 @@ def check_arity(samples: DataFrame, allowed: tuple[int, ...] = (2, 3)) -> tuple[
         F.count(F.lit(1)).alias("n_arities"), F.sum("n").alias("n"),
     )
     verdict = chosen.withColumn("ok", (F.col("n_arities") == 1) & F.col("common").isin(*allowed))
-    judged = lookup_join(sized, chosen.select("dataset", "common"), "dataset", "texts", "inner")
+    judged = sized.join(F.broadcast(chosen.select("dataset", "common")), "dataset")  # one row per listed dataset
     wrong = (F.col("arity") != F.col("common")) | ~F.col("arity").isin(*allowed)
     return verdict, judged.filter(wrong).drop("common")
 

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from semdrift.functions.arrow import distances, to_matrix
 from semdrift.functions.vectors import cosine
 from semdrift.operators import blocks as B
+from semdrift.operators.skew import lookup_join
+from semdrift.session import write_and_read
 
 # Query vectors up to this size travel with the tasks.
 MAX_SHIPPED_BYTES = 64 << 20
@@ -68,9 +70,27 @@ def knn(points: DataFrame, id_col: str, vec_col: str, k: int = 15, block_rows: i
     """(id, neighbor, distance, rank): the k nearest other points, exactly.
 
     Each point's k-th distance inside its own block bounds the search: block
-    pairs and candidates beyond that bound are never formed.
+    pairs and candidates beyond that bound are never formed. Of a crowd of
+    equal points only the first k + 1 are searched; the others have the first
+    k as their neighbours, at no distance.
     """
-    packed = B.kept(B.pack(points, id_col, vec_col, block_rows=block_rows), "knn-blocks")
+    rows = points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    copies = rows.groupBy(F.xxhash64("vec").alias("h")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1)
+    if copies.isEmpty():
+        return _search(rows, k, block_rows)
+    by_id = Window.partitionBy("vec").orderBy("id")  # ranks are limited before the shuffle
+    firsts = write_and_read(rows.withColumn("nth", F.row_number().over(by_id)).filter(F.col("nth") <= k + 1), "knn-firsts")
+    crowds = firsts.groupBy("vec").agg(
+        F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list("id")), 1, k).alias("near")
+    ).filter(F.col("n") == k + 1).select("vec", "near")
+    rest = rows.join(firsts.select("id"), "id", "left_anti")
+    others = lookup_join(rest, crowds, "vec", "id", "inner").select("id", F.posexplode("near").alias("at", "neighbor"))
+    others = others.select("id", "neighbor", F.lit(0.0).alias("distance"), (F.col("at") + 1).alias("rank"))
+    return _search(firsts.select("id", "vec"), k, block_rows).unionByName(others)
+
+
+def _search(rows: DataFrame, k: int, block_rows: int) -> DataFrame:
+    packed = B.kept(B.pack(rows, "id", "vec", block_rows=block_rows), "knn-blocks")
     reach = None
     if len(packed.pivots) > 1:
         packed, reach = _bounded(packed, k)

@@ -47,11 +47,10 @@ def overview(metadata: DataFrame) -> DataFrame:
 
 def president_share(metadata: DataFrame) -> DataFrame:
     """(president, n, percent), most frequent first; the window sees one row per president."""
-    counts = metadata.filter(F.col("president").isNotNull()).groupBy("president").agg(F.count(F.lit(1)).alias("n"))
-    total = metadata.agg(F.count(F.lit(1)).alias("total"))
-    shares = counts.join(F.broadcast(total), F.col("n") <= F.col("total"))
-    percent = F.round(F.col("n") * 100.0 / F.col("total"), 1)
-    return shares.select("president", "n", percent.alias("percent")).orderBy(F.desc("n"), "president")
+    counts = metadata.groupBy("president").agg(F.count(F.lit(1)).alias("n"))
+    percent = F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 1)
+    shares = counts.select("president", "n", percent.alias("percent")).filter(F.col("president").isNotNull())
+    return shares.orderBy(F.desc("n"), "president")
 
 
 def top_transitions(drift: DataFrame, k: int = 3) -> DataFrame:
@@ -111,6 +110,7 @@ def summary_report(metadata: DataFrame, drift: DataFrame, stats: DataFrame, titl
 def key_findings(trend: DataFrame, best_k: int, variance_needed: DataFrame) -> DataFrame:
     """One row: direction and slope of the trend, chosen k, components for the variance mark."""
     direction = F.when(F.col("slope") > 0, "increasing").otherwise("decreasing")
-    return trend.join(F.broadcast(variance_needed)).select(
-        direction.alias("direction"), F.col("slope"), F.lit(best_k).alias("best_k"), "n_components"
+    needed = variance_needed.head()[0]
+    return trend.select(
+        direction.alias("direction"), "slope", F.lit(best_k).alias("best_k"), F.lit(needed).alias("n_components")
     )
