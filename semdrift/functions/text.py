@@ -7,9 +7,7 @@ dialect: white space, decimal digits and letters are Unicode-wide.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import lru_cache
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,19 +23,6 @@ URL = f"https?://{NON_SPACE}+"
 NON_ALPHA = f"[^a-z{WS}]"
 SENTENCE_END = rf"[.!?]+(?:{SPACE}+|\z)"
 
-# Domain words dropped next to the general English list.
-DOMAIN_STOPWORDS = (
-    "shall", "hereby", "pursuant", "thereof", "thereto", "herein", "whereof", "section",
-    "subsection", "paragraph", "clause", "title", "chapter", "order", "executive",
-)
-
-
-@lru_cache(maxsize=1)
-def default_stopwords() -> tuple[str, ...]:
-    """Spark's English list and the domain words; needs a running session."""
-    return tuple(sorted({*StopWordsRemover.loadDefaultStopWords("english"), *DOMAIN_STOPWORDS}))
-
-
 def remove_order_number(text: Column) -> Column:
     return F.regexp_replace(text, ORDER_NO, " ")
 

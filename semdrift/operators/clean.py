@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from semdrift.config import CleanSettings
 from semdrift.functions import text as T
+from semdrift.functions.stopwords import DEFAULT
 from semdrift.operators.skew import lookup_join
 
 # A dictionary up to this many forms (a few MB) travels with the tasks; a
@@ -22,8 +23,7 @@ def content_text(text: Column, settings: CleanSettings, stopwords: Sequence[str]
     cleaned = T.normalise(text)
     if not settings.remove_stopwords:
         return cleaned
-    words = T.default_stopwords() if stopwords is None else stopwords
-    return F.array_join(T.content_words(cleaned, settings.min_word_length, words), " ")
+    return F.array_join(T.content_words(cleaned, settings.min_word_length, stopwords or DEFAULT), " ")
 
 
 def lemmatise(documents: DataFrame, lemmas: DataFrame, key: str, text: str = "text",

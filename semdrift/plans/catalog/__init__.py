@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from semdrift.plans.catalog import base
 
 
+@lru_cache(maxsize=1)
 def load() -> tuple[dict[str, base.Query], dict[str, str]]:
-    """Registers every query once; the stopword list behind some twins needs a session."""
-    from pyspark.sql import SparkSession
-
+    """Every query, registered once; needs no session."""
     from semdrift.plans import flagship
     from semdrift.plans.catalog import analysis_queries, text_queries, vector_queries
 
-    if "t10_drop_stopwords" not in base.QUERIES:
-        if SparkSession.getActiveSession() is None:
-            from semdrift.session import local_session
-
-            local_session()
-        text_queries.register_with_stopwords()
-        vector_queries.register_with_stopwords()
-        analysis_queries.register_with_stopwords()
-        flagship.register_with_stopwords()
+    for module in (text_queries, vector_queries, analysis_queries, flagship):
+        module.register()
     return base.QUERIES, base.ORACLES

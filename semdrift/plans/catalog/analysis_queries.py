@@ -541,7 +541,7 @@ def _landed(spark, sf_dir, name: str, **options) -> DataFrame:
     return stream.landed_stream(spark, f"{sf_dir}/{name}*.parquet", schema, **options)
 
 
-def register_with_stopwords() -> None:
+def register() -> None:
     from semdrift.plans.catalog.vector_queries import hash_vectors
 
     docs = hash_vectors("documents", "doc_id", "d")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from semdrift.config import ERAS
 from semdrift.functions import text as X
+from semdrift.functions.stopwords import DEFAULT
 from semdrift.functions.names import GAPS, UNSAFE
 from semdrift.session import ship_package
 from semdrift.sources.corpus import TITLE
@@ -70,7 +71,7 @@ def normalised(expr: str) -> str:
 
 
 def stopword_list() -> str:
-    return ", ".join(f"'{quoted(w)}'" for w in X.default_stopwords())
+    return ", ".join(f"'{quoted(w)}'" for w in DEFAULT)
 
 
 def content_list(normal: str) -> str:

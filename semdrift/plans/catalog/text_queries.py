@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from semdrift.config import CleanSettings
 from semdrift.functions import names as N
 from semdrift.functions import text as X
+from semdrift.functions.stopwords import DEFAULT
 from semdrift.operators import clean, ingest, meta
 from semdrift.plans.catalog.base import (
     CORPUS, content_list, era_case, normalised, query, quoted, safe_name, squeeze, stopword_list, sub,
@@ -99,12 +100,12 @@ def _cleaned(spark, sf_dir) -> DataFrame:
     return clean.clean_corpus(noisy(spark, sf_dir), "doc_id", settings)
 
 
-def register_with_stopwords() -> None:
-    """These twins embed the stopword list, which Spark's library hands out in a running session."""
+def register() -> None:
+    """Queries over cleaned texts; their twins share long fragments of SQL."""
 
     @query("t10_drop_stopwords", _t10_sql())
     def t10(spark, sf_dir):
-        words = X.drop_stopwords(X.tokens(X.normalise(F.col("text"))), X.default_stopwords())
+        words = X.drop_stopwords(X.tokens(X.normalise(F.col("text"))), DEFAULT)
         return noisy(spark, sf_dir).select("doc_id", F.array_join(words, " ").alias("text"))
 
     @query("t11_lemmatise", f"WITH {_lemma_ctes()} SELECT doc_id, processed AS text FROM lemmatised")

@@ -55,7 +55,7 @@ def hash_vectors(name: str, key: str, prefix: str) -> str:
   FROM {prefix}_sums WHERE s <> 0)"""
 
 
-def register_with_stopwords() -> None:
+def register() -> None:
     docs = hash_vectors("documents", "doc_id", "d")
 
     @query("e01_length_gate", "SELECT doc_id FROM documents WHERE length(text) > 50")

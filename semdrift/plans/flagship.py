@@ -29,7 +29,7 @@ def corpus_drift(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:
     return drift.consecutive_drift(drift.yearly_centroids(dated))
 
 
-def register_with_stopwords() -> None:
+def register() -> None:
     docs = hash_vectors("documents", "doc_id", "d")
 
     @query("a05_corpus_drift", f"""WITH {CORPUS.strip()}, {docs},

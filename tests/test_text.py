@@ -101,3 +101,12 @@ def test_rejects(spark):
     good, bad = clean.split_rejects(docs, "filename")
     assert [r["filename"] for r in good.collect()] == ["a"]
     assert {(r["filename"], r["reason"]) for r in bad.collect()} == {("b", "no text"), (None, "no key"), ("c", "undecodable text")}
+
+
+def test_stopwords_are_sparks_english_list_and_the_domain_words(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    from semdrift.functions.stopwords import DEFAULT, DOMAIN, ENGLISH
+
+    assert list(ENGLISH) == StopWordsRemover.loadDefaultStopWords("english")
+    assert len(DOMAIN) == 15 and set(DEFAULT) == {*ENGLISH, *DOMAIN}
