@@ -297,16 +297,47 @@ def r07(spark, sf_dir):
     return near.select("id", "neighbor", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("r08_membership_weights")
+def _weights_sql(k: int, prepared: str, value: str, goal: str, weight: str, combined: str) -> str:
+    """Bisection of every point's scale over lists of distances, then both directions combined."""
+    return f"""WITH RECURSIVE {KNN},
+lists AS (SELECT id, list(neighbor ORDER BY rank) AS nb, list(distance ORDER BY rank) AS d FROM ranked WHERE rank <= {k} GROUP BY id),
+ready AS (SELECT id, nb, d, {prepared} AS b FROM lists),
+solve(id, low, high, scale, step) AS (
+  SELECT id, 0.0::DOUBLE, 'infinity'::DOUBLE, 1.0::DOUBLE, 0 FROM ready
+  UNION ALL
+  SELECT id, CASE WHEN above THEN low ELSE scale END, CASE WHEN above THEN scale ELSE high END,
+         CASE WHEN above THEN (low + scale) / 2 WHEN isinf(high) THEN scale * 2 ELSE (scale + high) / 2 END, step + 1
+  FROM (SELECT s.*, {value} > {goal} AS above FROM solve s JOIN ready USING (id)) WHERE step < 64),
+scaled AS (SELECT r.*, scale FROM ready r JOIN solve USING (id) WHERE step = 64),
+weights AS (SELECT id, unnest(nb) AS neighbor, unnest({weight}) AS w FROM scaled),
+sides AS (SELECT id AS u, neighbor AS v, w AS a, 0::DOUBLE AS b FROM weights UNION ALL SELECT neighbor, id, 0::DOUBLE, w FROM weights)
+SELECT u, v, round({combined}, 6) AS w FROM (SELECT u, v, max(a) AS a, max(b) AS b FROM sides GROUP BY u, v)"""
+
+
+MEMBERSHIP = _weights_sql(
+    15, "list_transform(d, lambda x: greatest(x - coalesce(list_min(list_filter(d, lambda y: y > 0)), 0), 0))",
+    "list_sum(list_transform(b, lambda x: exp(-x / scale)))", "log2(15)",
+    "list_transform(b, lambda x: exp(-x / greatest(scale, 0.001 * list_avg(d))))", "a + b - a * b")
+_P = "list_transform(b, lambda x: exp(-x / scale) / list_sum(list_transform(b, lambda y: exp(-y / scale))))"
+AFFINITY = _weights_sql(
+    90, "list_transform(d, lambda x: x * x - list_min(d) * list_min(d))",
+    f"-list_sum(list_transform({_P}, lambda p: p * ln(greatest(p, 1e-300))))", "ln(30)", _P,
+    "(a + b) / (2.0 * (SELECT count(DISTINCT id) FROM weights)) * 1000")
+
+
+@query("r08_membership_weights", MEMBERSHIP)
 def r08_umap(spark, sf_dir):
     near = similar.knn(vectors(spark, sf_dir), "vec_id", "embedding", 15)
-    return layout.symmetrise(layout.neighbor_weights(near, "umap"), "umap")
+    both = layout.symmetrise(layout.neighbor_weights(near, "umap"), "umap")
+    return both.select("u", "v", F.round("w", 6).alias("w"))
 
 
-@query("r08_affinity_weights")
+@query("r08_affinity_weights", AFFINITY)
 def r08_tsne(spark, sf_dir):
+    """Affinities in thousandths: they sum to one over all pairs."""
     near = similar.knn(vectors(spark, sf_dir), "vec_id", "embedding", 90)
-    return layout.symmetrise(layout.neighbor_weights(near, "tsne"), "tsne")
+    both = layout.symmetrise(layout.neighbor_weights(near, "tsne"), "tsne")
+    return both.select("u", "v", F.round(F.col("w") * 1000, 6).alias("w"))
 
 
 @query("r09_umap_layout")
