@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +60,59 @@ def labelled_sample(
         drawn = some if drawn is None else drawn.unionByName(some)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return texts.join(F.broadcast(drawn), "doc_id")
+
+
+MODEL = pa.schema([("model", pa.binary())])
+
+
+def fitted(sample: DataFrame, train: Callable[[list[tuple[bytes, int]]], bytes]) -> bytes:
+    """The model that ``train`` makes of the bounded ``sample`` (doc_id, text, label), fitted in one task.
+
+    Rows are handed over in the order of their ids, so a retry gives the same model.
+    """
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [
+            (d, t or b"", y)
+            for b in batches
+            for d, t, y in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), b.column(2).to_pylist())
+        ]
+        rows.sort()
+        yield batch(MODEL, model=[train([(t, y) for _, t, y in rows])])
+
+    found = sample.select("doc_id", "text", "label").repartition(1).mapInArrow(once, "model binary").collect()
+    return bytes(found[0]["model"]) if found else train([])
+
+
+def pack_arrays(arrays: dict[str, np.ndarray]) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
+def unpack_arrays(raw: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(raw)) as held:
+        return {k: held[k] for k in held.files}
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+class Adam:
+    """Adam over named arrays; a gradient given with rows moves those rows only."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], rate: float) -> None:
+        self.arrays, self.rate, self.step = arrays, rate, 0
+        self.m = {k: np.zeros_like(v) for k, v in arrays.items()}
+        self.v = {k: np.zeros_like(v) for k, v in arrays.items()}
+
+    def move(self, grads: dict[str, np.ndarray], rows: dict[str, np.ndarray] | None = None) -> None:
+        self.step += 1
+        rate = self.rate * np.sqrt(1 - 0.999 ** self.step) / (1 - 0.9 ** self.step)
+        for k, g in grads.items():
+            at = (rows or {}).get(k, slice(None))
+            m = 0.9 * self.m[k][at] + 0.1 * g
+            v = 0.999 * self.v[k][at] + 0.001 * g * g
+            self.m[k][at], self.v[k][at] = m, v
+            self.arrays[k][at] -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from semdrift.llm import decontaminate, exact, lines, packing, simhash, tokenfiles
-from semdrift.llm.common import read_table
+from semdrift.llm import contextmix, decontaminate, exact, htmltree, lines, packing, quality, simhash, tokenfiles, toxicity
+from semdrift.llm.common import crc_mod, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +23,17 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def _judged(scored: DataFrame, held_out: Column) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = read_table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5)
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), remainder != 0)
+    return _judged(toxicity.score(docs, model), remainder == 0)
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -99,11 +111,31 @@ FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = read_table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 3)
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"), remainder != 1)
+    return _judged(quality.score(docs.select("doc_id", "text"), model), remainder == 1)
+
+
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = crc_mod(F.col("doc_id"), 7)
+    scored = contextmix.lm_scores(read_table(spark, sf_dir, "documents"), remainder != 2)
+    return scored.withColumn("held_out", remainder == 2)
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return htmltree.extract(pages, htmltree.fit(pages))
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
