@@ -40,8 +40,8 @@ BLOCK_IDS = 1 << 16
 UNIT = "bit"
 LEVEL = 3
 END_ID = 0
-#: Encodings of words that a worker keeps.
-CACHE_WORDS = 400_000
+#: Encodings of words that a worker keeps in each of two generations.
+CACHE_WORDS = 500_000
 SEGMENT = 1 << 22
 
 _FILES = pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
@@ -73,12 +73,17 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.first: dict[bytes, bytes] = {}
 
-    def _learn(self, words: set[bytes], known: dict[bytes, bytes], lead: str) -> None:
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = [w for w in words if w not in known]
+    def _learn(self, words: set[bytes], known: dict[bytes, bytes], older: dict[bytes, bytes], lead: str) -> None:
+        new = []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
         found = self.library.encode_batch([lead + w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
         for w, e in zip(new, found):
             known[w] = np.array(e.ids, "<u4").tobytes()
@@ -89,8 +94,12 @@ class Encoder:
         for p in parts:
             heads.add(p[0])
             rest.update(p[1:])
-        self._learn(heads, self.first, "")
-        self._learn(rest, self.known, " ")
+        if len(self.known) > CACHE_WORDS:  # words in use come back from the older generation, the others are forgotten
+            self.known, self.older = {}, self.known
+        if len(self.first) > CACHE_WORDS:
+            self.first = {}
+        self._learn(heads, self.first, {}, "")
+        self._learn(rest, self.known, self.older, " ")
         get = self.known.__getitem__
         return [self.first[p[0]] + b"".join(map(get, p[1:])) for p in parts]
 
