@@ -20,6 +20,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,11 +54,18 @@ _READ = pa.schema([
 
 # ------------------------------------------------------------------ encoding
 
-#: A space after a byte that may end a white-space character.
-_ODD = re.compile(rb"[\x00-\x20\x7f] |\xc2[\x85\xa0] |[\xe1-\xe3][\x80-\xbf][\x80-\xbf] ")
+#: A space after a character that may be white space itself, for texts in which a plain search finds one.
+_SPACES = tuple(bytes([c]) + b" " for c in (*range(9, 14), *range(28, 33))) + (b"\xc2\x85 ", b"\xc2\xa0 ")
+_WIDE = re.compile(rb"[\xe1-\xe3][\x80-\xbf][\x80-\xbf] ")
 _CUT = re.compile(rb"(?<![\x00-\x20\x7f])(?<!\xc2[\x85\xa0])(?<![\xe1-\xe3][\x80-\xbf][\x80-\xbf]) ")
 
 
+def _odd(text: bytes) -> bool:
+    if any(x in text for x in _SPACES):
+        return True
+    return any(x in text for x in (b"\xe1", b"\xe2", b"\xe3")) and _WIDE.search(text) is not None
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit numbers, word by word.
 
@@ -86,10 +94,10 @@ class Encoder:
                     new.append(w)
         found = self.library.encode_batch([lead + w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
         for w, e in zip(new, found):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+            known[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = [t.split(b" ") if _ODD.search(t) is None else _CUT.split(t) for t in texts]
+        parts = [_CUT.split(t) if _odd(t) else t.split(b" ") for t in texts]
         heads, rest = set(), set()
         for p in parts:
             heads.add(p[0])
@@ -135,16 +143,19 @@ def planes(ids: np.ndarray, unit: str = UNIT) -> list[bytes]:
     rows = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
     if unit == "byte":
         return [rows[:, k].tobytes() for k in range(4)]
-    bits = np.unpackbits(rows, axis=1, bitorder="little")
-    return [np.packbits(bits[:, k]).tobytes() for k in range(32)]
+    columns = [np.ascontiguousarray(rows[:, k]) for k in range(4)]
+    return [np.packbits(column & np.uint8(1 << k)).tobytes() for column in columns for k in range(8)]
 
 
 def from_planes(raw: list[bytes], n: int, unit: str = UNIT) -> np.ndarray:
     if unit == "byte":
         rows = np.stack([np.frombuffer(p, np.uint8) for p in raw], axis=1)
     else:
-        bits = np.stack([np.unpackbits(np.frombuffer(p, np.uint8), count=n) for p in raw], axis=1)
-        rows = np.packbits(bits, axis=1, bitorder="little")
+        rows = np.zeros((n, 4), np.uint8)
+        for k, p in enumerate(raw):
+            bits = np.unpackbits(np.frombuffer(p, np.uint8), count=n)
+            if bits.any():
+                rows[:, k // 8] |= bits << np.uint8(k % 8)
     return np.ascontiguousarray(rows).view("<u4").ravel()
 
 
