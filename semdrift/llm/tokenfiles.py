@@ -92,7 +92,7 @@ class Encoder:
                     known[w] = older[w]
                 else:
                     new.append(w)
-        found = self.library.encode_batch([lead + w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        found = self.library.encode_batch_fast([lead + w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
         for w, e in zip(new, found):
             known[w] = array("I", e.ids).tobytes()
 
