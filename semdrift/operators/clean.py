@@ -61,9 +61,11 @@ def _lemmatise_by_join(documents: DataFrame, forms: DataFrame, key: str, text: s
     texts = named.groupBy(key).agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("_pos", "_word")))["_word"], " ").alias("_text")
     )
+    # a null text stays null, as where the dictionary is shipped
     return (
-        documents.drop(text).join(texts, key, "left")
-        .withColumn(text, F.coalesce("_text", F.lit(""))).drop("_text").select(*documents.columns)
+        documents.withColumnRenamed(text, "_before").join(texts, key, "left")
+        .withColumn(text, F.when(F.col("_before").isNotNull(), F.coalesce("_text", F.lit(""))))
+        .drop("_text", "_before").select(*documents.columns)
     )
 
 

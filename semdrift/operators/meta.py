@@ -38,9 +38,10 @@ def era_lookup(documents: DataFrame, rules: DataFrame, year: str = "year") -> Da
 def override_president(documents: DataFrame, stats: DataFrame) -> DataFrame:
     """President of the first statistics row with the same number, else the one at hand.
 
-    "First" is by ``filename``. Numbers are compared as text.
+    "First" is by ``filename``. Numbers are compared as text; an empty
+    number is no number and matches nothing.
     """
-    first = stats.groupBy(F.col("eo_number").cast("string").alias("eo_number")).agg(
+    first = stats.filter(F.col("eo_number").cast("string") != "").groupBy(F.col("eo_number").cast("string").alias("eo_number")).agg(
         F.min_by("president", "filename").alias("_president")
     )
     joined = lookup_join(documents, first, "eo_number", "filename")
