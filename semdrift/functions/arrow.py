@@ -5,16 +5,24 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+# Share of the squared lengths below which a squared distance is taken directly, and how many pairs at a time.
+CLOSE, DIRECT = 1e-6, 1 << 14
 
-def to_matrix(column: pa.Array | pa.ChunkedArray, dim: int | None = None) -> np.ndarray:
-    """Rows of equal length as a float64 matrix."""
+
+def to_matrix(column: pa.Array | pa.ChunkedArray, dim: int | None = None, kind: type = np.float64) -> np.ndarray:
+    """Rows of equal length as a matrix; a NULL row or one of another length is an error, never a shift of the others."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
     if n == 0:
         return np.zeros((0, dim or 0))
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(n, -1)
+    if column.null_count:
+        raise ValueError(f"{column.null_count} of {n} vectors are NULL")
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    width = len(flat) // n
+    if (np.diff(column.offsets.to_numpy()) != width).any():
+        raise ValueError("vectors differ in length")
+    return flat.reshape(n, width)
 
 
 def from_matrix(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -24,10 +32,22 @@ def from_matrix(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def distances(a: np.ndarray, b: np.ndarray, same: bool = False) -> np.ndarray:
-    """Euclidean distances between the rows of two blocks."""
+    """Euclidean distances between the rows of two blocks.
+
+    Both are moved to the mean of ``b`` first, so that points far from the
+    origin keep their digits; pairs so close that the product form would lose
+    them are subtracted directly.
+    """
+    if len(a) and len(b):
+        middle = b.mean(axis=0)
+        a, b = a - middle, b - middle
     lengths = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
     squared = lengths - 2.0 * (a @ b.T)
-    out = np.sqrt(np.where(squared > 1e-14 * lengths, squared, 0.0))  # below that only rounding is left
+    r, c = np.nonzero(squared < CLOSE * lengths)
+    for at in range(0, len(r), DIRECT):
+        i, j = r[at:at + DIRECT], c[at:at + DIRECT]
+        squared[i, j] = ((a[i] - b[j]) ** 2).sum(1)
+    out = np.sqrt(np.maximum(squared, 0.0))
     if same:
         np.fill_diagonal(out, 0.0)
     return out

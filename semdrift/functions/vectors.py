@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
 
 
+def usable(a: Column, dim: int | None = None) -> Column:
+    """Whether a vector can be compared: not NULL, no NULL or NaN in it, and of ``dim`` numbers where that is given."""
+    whole = a.isNotNull() & ~F.exists(a, lambda x: x.isNull() | F.isnan(x.cast("double")))
+    if dim is not None:
+        whole &= F.size(a) == dim
+    return F.coalesce(whole, F.lit(False))
+
+
+def split_vectors(points: DataFrame, vec_col: str, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(points with a usable vector, rejects)."""
+    good = usable(F.col(vec_col), dim)
+    return points.filter(good), points.filter(~good)
+
+
 def unit(a: Column, floor: float = 1e-12) -> Column:
     size = F.greatest(norm(a), F.lit(floor))
     return F.transform(a, lambda x: x / size)

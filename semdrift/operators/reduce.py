@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from semdrift.functions.arrow import from_matrix, to_matrix
+from semdrift.functions.vectors import usable
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,8 @@ def fit_scaler(points: DataFrame, vec_col: str) -> Scaler:
 
 
 def standardise(points: DataFrame, vec_col: str, name: str = "scaled") -> tuple[DataFrame, Scaler]:
+    """Every dimension at mean 0 and variance 1; points without a usable vector are left out."""
+    points = points.filter(usable(F.col(vec_col)))
     scaler = fit_scaler(points, vec_col)
     return points.withColumn(name, scaler.apply(F.col(vec_col))), scaler
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from semdrift.functions.arrow import distances, to_matrix
-from semdrift.functions.vectors import cosine
+from semdrift.functions.vectors import cosine, usable
 from semdrift.operators import blocks as B
 from semdrift.operators.skew import lookup_join
 from semdrift.session import write_and_read
@@ -72,9 +72,11 @@ def knn(points: DataFrame, id_col: str, vec_col: str, k: int = 15, block_rows: i
     Each point's k-th distance inside its own block bounds the search: block
     pairs and candidates beyond that bound are never formed. Of a crowd of
     equal points only the first k + 1 are searched; the others have the first
-    k as their neighbours, at no distance.
+    k as their neighbours, at no distance. A point without a usable vector
+    has no neighbours and is nobody's neighbour.
     """
     rows = points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    rows = rows.filter(usable(F.col("vec")))
     copies = rows.groupBy(F.xxhash64("vec").alias("h")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1)
     if copies.isEmpty():
         return _search(rows, k, block_rows)

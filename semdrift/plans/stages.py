@@ -7,6 +7,7 @@ input did not change does no work again.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semdrift.config import Settings
+from semdrift.functions import stopwords
 from semdrift.operators import clean, cluster, drift, embed, layout, meta, reduce
 from semdrift.operators.skew import number_rows
 from semdrift.plans import report
@@ -46,16 +48,33 @@ def fresh(current: DataFrame, previous: DataFrame | None, key: str = "filename",
     return current if previous is None else current.join(previous.select(key, md5), [key, md5], "left_anti")
 
 
+def made_by(*settings: object, table: DataFrame | None = None) -> str:
+    """A name for what a stage was run with: its settings, and the rows of a table it read in any order."""
+    parts = [repr(s) for s in settings]
+    if table is not None:
+        row = F.xxhash64(*sorted(table.columns)).cast("decimal(38,0)")
+        parts.append(repr(tuple(table.agg(F.sum(row), F.count(F.lit(1))).first())))
+    return hashlib.md5("|".join(parts).encode()).hexdigest()
+
+
+def made_so(previous: DataFrame | None, how: str) -> DataFrame | None:
+    """The rows of a stage table that were made with these settings; others are made anew."""
+    if previous is None or "made_by" not in previous.columns:
+        return None
+    return previous.filter(F.col("made_by") == how)
+
+
 def clean_stage(spark: SparkSession, documents: DataFrame, places: Places, settings: Settings,
                 lemmas: DataFrame | None = None) -> DataFrame:
-    """Cleaned texts with their measures; unchanged documents keep the stored row."""
+    """Cleaned texts with their measures; unchanged documents keep the stored row while settings and lemmas are the same."""
     usable, rejects = clean.split_rejects(documents, "filename")
     sinks.write_table(rejects, places.rejects)
     hashed = usable.withColumn("raw_md5", F.md5("text"))
-    previous = stored(spark, places.cleaned)
+    how = made_by(settings.clean, stopwords.DEFAULT, table=lemmas if settings.clean.use_lemmas else None)
+    previous = made_so(stored(spark, places.cleaned), how)
     todo = fresh(hashed, previous)
     done = clean.clean_and_measure(todo.select("filename", "text"), "filename", settings.clean, lemmas)
-    done = done.join(todo.select("filename", "raw_md5"), "filename")
+    done = done.join(todo.select("filename", "raw_md5"), "filename").withColumn("made_by", F.lit(how))
     if previous is not None:
         kept = previous.join(hashed.select("filename", "raw_md5"), ["filename", "raw_md5"], "left_semi")
         done = kept.unionByName(done)
@@ -72,24 +91,34 @@ def _replace(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
 
 def embed_stage(spark: SparkSession, cleaned: DataFrame, places: Places, settings: Settings, encode=None,
                 force: bool = False) -> DataFrame:
-    """Vector store; only new and changed texts are encoded."""
+    """Vector store; only new and changed texts are encoded, and all of them after a change of settings.
+
+    The settings do not tell one ``encode`` from another: ``force`` after a change of encoder.
+    """
+    how = made_by(settings.embed)
     gate = cleaned.filter(embed.long_enough(F.col("text"), settings.embed.min_chars))
     current = gate.select("filename", "text", F.md5("text").alias("content_md5"))
     if encode is None:
         def encode(docs: DataFrame) -> DataFrame:
             return embed.embed_documents(docs, "filename", settings.embed.dim, min_chars=settings.embed.min_chars,
                                          max_chars=settings.embed.max_chars)
-    done = embed.refresh_store(current, stored(spark, places.embeddings), encode, force=force)
-    return _replace(spark, done.select("filename", "content_md5", "embedding"), places.embeddings)
+    done = embed.refresh_store(current, _vectors(stored(spark, places.embeddings), how), encode, force=force)
+    done = done.select("filename", "content_md5", "embedding", F.lit(how).alias("made_by"))
+    return _replace(spark, done, places.embeddings).drop("made_by")
+
+
+def _vectors(previous: DataFrame | None, how: str) -> DataFrame | None:
+    same = made_so(previous, how)
+    return None if same is None else same.drop("made_by")
 
 
 def run(spark: SparkSession, documents: DataFrame, root: str, settings: Settings = Settings(),
         lemmas: DataFrame | None = None, raw_metadata: DataFrame | None = None, encode=None,
-        methods: tuple[str, ...] = ("pca", "umap"), force: bool = False) -> dict[str, DataFrame]:
+        methods: tuple[str, ...] = ("pca", "tsne", "umap"), force: bool = False) -> dict[str, DataFrame]:
     """From keyed documents to all result tables below ``root``."""
     places = Places(root)
     cleaned = clean_stage(spark, documents, places, settings, lemmas)
-    stats = cleaned.drop("text", "raw_md5")
+    stats = cleaned.drop("text", "raw_md5", "made_by")
     stats = clean.with_metadata(stats, raw_metadata) if raw_metadata is not None else None
     vectors = embed_stage(spark, cleaned, places, settings, encode, force)
     metadata = meta.metadata_frame(vectors, stats)
