@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semdrift.config import PRESIDENTS, AnalysisSettings, CleanSettings
+from semdrift.config import PRESIDENTS, CleanSettings
 from semdrift.functions.names import era_of
 from semdrift.operators import batches, cluster, drift, reduce
 from semdrift.operators.skew import number_rows
@@ -323,7 +323,7 @@ def x10(spark, sf_dir):
 @query("x11_key_findings")
 def x11(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    sweep = cluster.kmeans_select(v, "vec_id", "embedding", AnalysisSettings(restarts=3))
+    sweep = cluster.kmeans_select(v, "vec_id", "embedding")
     needed = reduce.components_needed(_variance(spark, sf_dir))
     return report.key_findings(drift.trend(_positions(spark, sf_dir)), sweep.best.k, needed)
 
