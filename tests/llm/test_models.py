@@ -196,6 +196,78 @@ def test_probabilities_of_all_continuations_sum_to_one():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_counts_are_kept_by_whole_context():
+    """Every context and node has a count of its own, whatever the number of contexts."""
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 123, 300_000).astype(np.uint8)
+    raw[rng.random(len(raw)) < 0.15] = 32
+    spell = contextmix.spelling(np.ones((256, 256), np.int64))
+    tally, seen = contextmix.Tally(), [Counter() for _ in range(3)]
+    s = contextmix.stream(raw, *word_bounds(raw, np.array([0, len(raw)]), SPACED))
+    for _, pairs in contextmix.signs(s):
+        tally.add(pairs.ravel(), np.ones(pairs.size, bool))
+    text = s.data.tobytes()
+    for i in range(contextmix.PAD, len(text)):
+        pair = text[i - 1] << 8 | text[i]
+        word = text[max(text.rfind(b" ", 0, i), text.rfind(b"\n", 0, i)) + 1:i]
+        for k, context in enumerate((text[i - 3:i], text[i - 5:i], (word, text[i - 1]))):
+            seen[k][context] += int(spell.size[pair])
+    keys, counts = contextmix.decided(*tally.done(), spell)
+    assert set(np.concatenate([d.keys.ravel() for _, d in contextmix.spelled(s, spell)]).tolist()) == set(keys.tolist())
+    by_context = {}
+    for key, n in zip((keys >> 8).tolist(), counts.sum(axis=1).tolist()):
+        by_context[key] = by_context.get(key, 0) + n
+    for k in range(3):
+        assert sorted(n for key, n in by_context.items() if key >> 53 == k + 1) == sorted(seen[k].values())
+    table = contextmix.Known(keys, (np.arange(len(keys)) % 30_000 + 1).astype(np.int16))
+    assert (table.find(keys) == np.arange(len(keys)) % 30_000 + 1).all() and not table.find(keys + (1 << 61)).any()
+
+
+def test_pieces_are_answered_with_the_counts_of_all(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 40), i % 4 != 0) for i in range(60)]
+    spell = contextmix.spelling(np.ones((256, 256), np.int64))
+    tally = contextmix.Tally()
+    for _, t, train in rows:
+        low = LOWER[np.frombuffer(t.encode(), np.uint8)]
+        for _, pairs in contextmix.signs(contextmix.stream(low, *word_bounds(low, np.array([0, len(low)]), SPACED))):
+            tally.add(pairs.ravel(), np.full(pairs.size, train))
+    keys, counts = contextmix.decided(*tally.done(), spell)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(4)
+    sent = contextmix.write_and_read(contextmix.gathered(docs, 3), "sent")
+    values = dict(zip(keys.tolist(), contextmix.packed(counts).tolist()))
+    plain, pieces = {}, set()
+    mine = {(r.piece, r.bucket): contextmix._keys_in(r["keys"]) for r in sent.filter("bucket >= 0").collect()}
+    for r in contextmix.answered(sent, keys, spell, 3).collect():
+        if r.piece < 0:
+            got = contextmix._keys_in(r["keys"])
+            plain.update(zip(got.tolist(), map(tuple, contextmix._unsqueezed(r.counts, "<i8").reshape(-1, 2).tolist())))
+        else:
+            pieces.add(r.piece)
+            some = mine[r.piece, r.bucket]
+            got, _ = contextmix.decided(some, np.zeros(len(some), np.int64), spell)
+            assert contextmix._unsqueezed(r.counts, "<i2").tolist() == [values[k] for k in got.tolist()]
+    assert len(pieces) > 1 and plain == dict(zip(keys.tolist(), map(tuple, counts.tolist())))
+
+
+def test_repeated_place_is_found_in_earlier_stretches():
+    rng = np.random.default_rng(5)
+    half = rng.integers(97, 123, 3 * contextmix.STRETCH).astype(np.uint8)
+    half[5::7] = 32
+    raw = np.concatenate([half, half])
+    spell = contextmix.spelling(np.ones((256, 256), np.int64))
+    s = contextmix.stream(raw, *word_bounds(raw, np.array([0, len(raw)]), SPACED))
+    found = [d for _, d in contextmix.spelled(s, spell)]
+    assert len(found) > 4
+    assert (found[-1].trust == 3).mean() > 0.9
+
+
+def test_weights_come_from_texts_of_all_lengths(spark):
+    rows = [(i, "ab " * (100_000 if i % 5 == 0 else 20)) for i in range(30)]
+    texts = contextmix.weight_sample(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(len(t) > 10_000 for t in texts) >= 5 and sum(map(len, texts)) <= contextmix.WEIGHT_BYTES
+
+
 def plain_base(rows, train):
     counts = Counter()
     for d, t in rows:
