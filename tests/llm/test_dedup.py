@@ -180,3 +180,15 @@ def test_near_duplicates_of_odd_rows(odd):
             least[root[p]] = min(least.get(root[p], r.doc_id), r.doc_id)
     want = sorted(((r.doc_id, f"{p:016x}", least.get(root[p])) for r, p in zip(rows, prints)), key=repr)
     assert sorted((tuple(r) for r in simhash.near_duplicates(odd).collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("n_pages", [50, 400, 2000])
+def test_default_ratio_at_several_host_sizes(spark, n_pages):
+    """A line on one page in 40 goes on hosts of all sizes where three pages have it; one on 1 in 200 stays."""
+    rows = [
+        (i, "h", "\n".join([f"own {i}"] + ["menu"] * (i % 12 == 0) + ["footer"] * (n_pages > 50 and i % 40 == 0) + ["quote"] * (i % 200 == 0)))
+        for i in range(n_pages)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    left = {x for r in lines.drop_boilerplate(docs).collect() for x in r.text.split("\n")}
+    assert left == {f"own {i}" for i in range(n_pages)} | {"quote"}
