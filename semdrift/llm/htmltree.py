@@ -48,6 +48,8 @@ TAGS = (
     "h4 h5 h6 blockquote pre figure figcaption address details summary fieldset hr dialog menu center caption"
 ).split()
 SILENT = "script style noscript template svg iframe object textarea select option button canvas math".split()
+#: Silent elements whose content is text by the rules of HTML: tags in them end nothing.
+RAW = {"script", "style", "textarea", "iframe"}
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 CLOSES_P = set(TAGS) - {"html", "head", "body", "title", "caption", "td", "th", "tr"}
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "p": {"p"}}
@@ -91,6 +93,7 @@ class Builder(HTMLParser):
         self.parts: list[str] = []
         self.links = self.linked = 0
         self.mute: list[str] = []
+        self.inside: list[str] = []  # blocks opened in the silence
 
     def _flush(self) -> None:
         if self.parts:
@@ -107,6 +110,8 @@ class Builder(HTMLParser):
         if self.mute:
             if tag == self.mute[-1]:
                 self.mute.append(tag)
+            elif tag in TAG_NO and tag not in VOID:
+                self.inside.append(tag)
             return
         if tag in SILENT:
             if tag != "option":
@@ -143,7 +148,20 @@ class Builder(HTMLParser):
         if self.mute:
             if tag == self.mute[-1]:
                 self.mute.pop()
-            return
+                if not self.mute:
+                    self.inside.clear()
+                return
+            if self.mute[-1] in RAW or tag not in TAG_NO:
+                return
+            if tag in self.inside:
+                while self.inside.pop() != tag:
+                    pass
+                return
+            if all(name != tag for name, _ in self.open[1:]):
+                return
+            # the end of a block around an element that was never closed
+            self.mute.clear()
+            self.inside.clear()
         if tag == "a":
             self.links = max(0, self.links - 1)
         elif tag in TAG_NO:
@@ -153,6 +171,12 @@ class Builder(HTMLParser):
                     self.links = 0
                     return
 
+    def parse_html_declaration(self, i: int) -> int:
+        """``<![`` opens nothing but CDATA: anything else is a comment up to the next ``>``, and the page goes on after it."""
+        if self.rawdata.startswith("<![", i) and self.rawdata[i:i + 9].lower() != "<![cdata[":
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
     def handle_data(self, data: str) -> None:
         if not self.mute:
             self.parts.append(data)

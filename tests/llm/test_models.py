@@ -320,6 +320,24 @@ def test_language_model_takes_odd_and_empty_tables(spark, odd):
 # ------------------------------------------------------------------ main text of pages
 
 
+@pytest.mark.parametrize("odd", ["<![foo[x]]>", "<![ if x>", "<![if x]>", "<![1]>", "<![endif]>"])
+def test_page_goes_on_after_odd_declarations(odd):
+    tree = htmltree.tree_of(f"<body><p>before</p>{odd}<p>after</p></body>")
+    assert [t for t in tree.text if t] == ["before", "after"]
+
+
+def test_text_after_an_unclosed_odd_declaration_stays():
+    assert "and more" in " ".join(htmltree.tree_of("<p>see <![1] and more").text)
+
+
+@pytest.mark.parametrize("silent", ["button", "select", "svg", "noscript", "object", "canvas"])
+def test_unclosed_silent_element_ends_with_its_block(silent):
+    tree = htmltree.tree_of(f"<body><div><{silent}>mute<p>mute</p></div><p>heard</p><{silent}><div>mute</div></{silent}><p>too</p></body>")
+    assert [t for t in tree.text if t] == ["heard", "too"]
+    raw = htmltree.tree_of("<div><textarea></div>mute</textarea><script>'</div>'</script>heard</div>")
+    assert [t for t in raw.text if t] == ["heard"]
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(10)
     tree = htmltree.tree_of("<body><div class=a><p>one two.</p><p>three</p></div><ul><li>x</li></ul>tail</body>")
