@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -377,6 +378,44 @@ def c02(spark, sf_dir):
     return spark.createDataFrame(rows, "k int, cluster int, center array<double>, inertia double")
 
 
+def _lloyd_sql(steps: int) -> str:
+    """CTEs of plain steps from the means of the labels: c<i> centres, n<i> the nearest centre of each vector and its squared distance."""
+    parts = [f"WITH {LONG}, c0 AS (SELECT label AS cluster, pos, avg(v) AS v FROM long GROUP BY ALL)"]
+    for i in range(1, steps + 1):
+        parts.append(f"""d{i} AS (
+  SELECT vec_id, cluster, sum((l.v - c.v) * (l.v - c.v)) AS d FROM long l JOIN c{i - 1} c USING (pos) GROUP BY ALL),
+n{i} AS (SELECT vec_id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM d{i} GROUP BY vec_id),
+c{i} AS (SELECT n.cluster, pos, avg(v) AS v, count(*) AS n FROM long JOIN n{i} n USING (vec_id) GROUP BY ALL)""")
+    return ",\n".join(parts)
+
+
+def _lloyd(spark, sf_dir, steps: int):
+    """(centres before the last step, and what it gave), from the means of the labels, which are numbered from 0."""
+    v = vectors(spark, sf_dir)
+    means = v.groupBy("label").agg(F.array(*[F.avg(F.get("embedding", F.lit(i))) for i in range(DIM)]).alias("c")).orderBy("label")
+    centers = np.array([r["c"] for r in means.collect()])  # one row per label
+    for _ in range(steps - 1):
+        centers, _, _ = cluster.lloyd_step(v, "vec_id", "embedding", centers)
+    return centers, cluster.lloyd_step(v, "vec_id", "embedding", centers)
+
+
+@query("c01_lloyd_labels", f"{_lloyd_sql(3)}\nSELECT vec_id, CAST(cluster AS BIGINT) AS cluster FROM n3")
+def c01_lloyd(spark, sf_dir):
+    """Nearest centres in the third step of k-means from the means of the labels."""
+    centers, _ = _lloyd(spark, sf_dir, 3)
+    return cluster.assign(vectors(spark, sf_dir), "embedding", centers).select("vec_id", "cluster")
+
+
+@query("c02_lloyd_centres", f"""{_lloyd_sql(2)}
+SELECT CAST(cluster AS BIGINT) AS cluster, CAST(pos AS BIGINT) AS pos, round(v, 6) AS value, n,
+       round((SELECT sum(d) FROM n2), 4) AS inertia FROM c2""")
+def c02_lloyd(spark, sf_dir):
+    """Centres, their points and the inertia of the second step."""
+    _, (centers, n, inertia) = _lloyd(spark, sf_dir, 2)
+    rows = [(i, j + 1, round(float(x), 6), int(n[i]), round(inertia, 4)) for i, c in enumerate(centers) for j, x in enumerate(c)]
+    return spark.createDataFrame(rows, "cluster bigint, pos bigint, value double, n bigint, inertia double")
+
+
 SILHOUETTE = f"""{LABELLED},
 d AS (SELECT a.vec_id, a.c AS own, b.c AS other, a.vec_id <> b.vec_id AS apart,
              list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS dist
@@ -404,6 +443,20 @@ def c04(spark, sf_dir):
     return spark.createDataFrame(rows, "k int, silhouette double, chosen boolean")
 
 
+_FOLDS = " UNION ALL ".join(f"SELECT {k} AS k, score FROM (WITH {SILHOUETTE.format(c=f'cluster % {k}', i=0)})" for k in range(2, 6))
+
+
+@query("c04_choose_k", f"""WITH found AS ({_FOLDS})
+SELECT k, score AS silhouette, row_number() OVER (ORDER BY score DESC, k) = 1 AS chosen FROM found""")
+def c04_choose(spark, sf_dir):
+    """The choice among labellings by their exact silhouettes: the ready label modulo k."""
+    ks = list(range(2, 6))
+    labelled = vectors(spark, sf_dir).select("vec_id", "embedding", *[(F.col("label") % k).alias(f"k{k}") for k in ks])
+    rows = cluster.silhouettes(labelled, "vec_id", "embedding", [f"k{k}" for k in ks]).collect()  # one row per k
+    scores = {ks[r["candidate"]]: round(r["score"], 6) for r in rows}
+    return spark.createDataFrame([(k, s, k == cluster.best_k(scores)) for k, s in scores.items()], "k int, silhouette double, chosen boolean")
+
+
 EPS = eps_grid()[5]
 
 
