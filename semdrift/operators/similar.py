@@ -10,46 +10,21 @@ from pyspark.sql.window import Window
 
 from semdrift.functions.arrow import distances, to_matrix
 from semdrift.functions.vectors import cosine, usable
-from semdrift.operators import blocks as B
+from semdrift.operators import nearest
 from semdrift.operators.skew import lookup_join
 from semdrift.session import write_and_read
 
 # Query vectors up to this size travel with the tasks.
 MAX_SHIPPED_BYTES = 64 << 20
-# Distances equal to this many decimals are ties; the smaller id comes first.
-DECIMALS = 9
 
 
 def cosine_of_pairs(pairs: DataFrame, a: str = "a", b: str = "b", name: str = "cosine") -> DataFrame:
     return pairs.withColumn(name, cosine(F.col(a), F.col(b)))
 
 
-def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the k smallest entries of each row, ties by the smaller id."""
-    order = np.argsort(ids, kind="stable")
-    width = d.shape[1]
-    if width > 4 * k:
-        kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-        r, c = np.nonzero(d <= kth)
-        rank = np.empty(width, dtype=np.int64)
-        rank[order] = np.arange(width)
-        by = np.lexsort((rank[c], d[r, c], r))
-        r, c = r[by], c[by]
-        first = np.searchsorted(r, np.arange(d.shape[0]))
-        keep = np.arange(len(r)) - first[r] < k
-        return r[keep], c[keep]
-    picked = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :k]]
-    rows = np.repeat(np.arange(d.shape[0]), picked.shape[1])
-    return rows, picked.ravel()
-
-
-def _emit(ids_a, ids_b, d, k, bound=None) -> pa.Table:
-    d = np.round(d, DECIMALS)
-    r, c = _smallest(d, ids_b, k)
-    keep = np.isfinite(d[r, c])
-    if bound is not None:
-        keep &= d[r, c] <= bound[r] + B.SLACK
-    r, c = r[keep], c[keep]
+def _emit(ids_a: np.ndarray, ids_b: np.ndarray, d: np.ndarray, k: int) -> pa.Table:
+    d = np.round(d, nearest.DECIMALS)
+    r, c = nearest.smallest(d, ids_b, k)
     return pa.table({
         "id": pa.array(ids_a[r], pa.int64()),
         "neighbor": pa.array(ids_b[c], pa.int64()),
@@ -60,17 +35,11 @@ def _emit(ids_a, ids_b, d, k, bound=None) -> pa.Table:
 NEIGHBORS = "id bigint, neighbor bigint, distance double"
 
 
-def _top_k(candidates: DataFrame, k: int) -> DataFrame:
-    """Candidates per id are at most k per block, and the rank limit is applied before the shuffle as well."""
-    w = Window.partitionBy("id").orderBy("distance", "neighbor")
-    return candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def knn(points: DataFrame, id_col: str, vec_col: str, k: int = 15, block_rows: int = B.BLOCK_ROWS) -> DataFrame:
+def knn(points: DataFrame, id_col: str, vec_col: str, k: int = 15, group: int | None = None) -> DataFrame:
     """(id, neighbor, distance, rank): the k nearest other points, exactly.
 
-    Each point's k-th distance inside its own block bounds the search: block
-    pairs and candidates beyond that bound are never formed. Of a crowd of
+    ``nearest.search`` meets the leaves around each group of points first and
+    leaves out what the k-th distances so far rule out. Of a crowd of
     equal points only the first k + 1 are searched; the others have the first
     k as their neighbours, at no distance. A point without a usable vector
     has no neighbours and is nobody's neighbour.
@@ -79,7 +48,7 @@ def knn(points: DataFrame, id_col: str, vec_col: str, k: int = 15, block_rows: i
     rows = rows.filter(usable(F.col("vec")))
     copies = rows.groupBy(F.xxhash64("vec").alias("h")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1)
     if copies.isEmpty():
-        return _search(rows, k, block_rows)
+        return nearest.search(rows, k, group=group)
     by_id = Window.partitionBy("vec").orderBy("id")  # ranks are limited before the shuffle
     firsts = write_and_read(rows.withColumn("nth", F.row_number().over(by_id)).filter(F.col("nth") <= k + 1), "knn-firsts")
     crowds = firsts.groupBy("vec").agg(
@@ -88,57 +57,7 @@ def knn(points: DataFrame, id_col: str, vec_col: str, k: int = 15, block_rows: i
     rest = rows.join(firsts.select("id"), "id", "left_anti")
     others = lookup_join(rest, crowds, "vec", "id", "inner").select("id", F.posexplode("near").alias("at", "neighbor"))
     others = others.select("id", "neighbor", F.lit(0.0).alias("distance"), (F.col("at") + 1).alias("rank"))
-    return _search(firsts.select("id", "vec"), k, block_rows).unionByName(others)
-
-
-def _search(rows: DataFrame, k: int, block_rows: int) -> DataFrame:
-    packed = B.kept(B.pack(rows, "id", "vec", block_rows=block_rows), "knn-blocks")
-    reach = None
-    if len(packed.pivots) > 1:
-        packed, reach = _bounded(packed, k)
-
-    def kernel(a, b, same):
-        d = distances(a[1], b[1], same)
-        if same:
-            np.fill_diagonal(d, np.inf)
-        bound_a, bound_b = a[2].get("bound"), b[2].get("bound")
-        out = [_emit(a[0], b[0], d, k, bound_a)]
-        if not same:
-            out.append(_emit(b[0], a[0], np.ascontiguousarray(d.T), k, bound_b))
-        return out
-
-    return _top_k(B.self_pairs(packed, kernel, NEIGHBORS, reach), k)
-
-
-def _bounded(packed: B.Blocks, k: int) -> tuple[B.Blocks, np.ndarray]:
-    """Blocks whose members carry their own k-th distance, and the reach between cells."""
-    members = packed.table.schema["members"].dataType.simpleString()
-    with_bound = members.replace("vec:array<double>", "vec:array<double>,bound:double")
-
-    def own_block(table: pa.Table) -> pa.Table:
-        ids, vec, _ = B._unpack(table.column("members").combine_chunks())
-        d = distances(vec, vec, True)
-        np.fill_diagonal(d, np.inf)
-        bound = np.partition(d, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(ids), np.inf)
-        flat = table.column("members").combine_chunks().flatten()
-        packed_members = pa.StructArray.from_arrays(
-            [flat.field(0), flat.field(1), pa.array(bound)], names=["id", "vec", "bound"]
-        )
-        one = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), packed_members)
-        return pa.table({
-            "block": table.column("block"), "cell": table.column("cell"), "members": one,
-            "bound": pa.array([float(bound.max())]),
-        })
-
-    table = packed.table.groupBy("block").applyInArrow(
-        own_block, f"block bigint, cell int, members {with_bound}, bound double"
-    )
-    table = B.write_and_read(table, "knn-bounds")
-    far = np.zeros(len(packed.pivots))
-    for r in table.groupBy("cell").agg(F.max("bound").alias("far")).collect():  # one row per pivot
-        far[r["cell"]] = r["far"]
-    blocks = B.Blocks(table.drop("bound"), packed.pivots, packed.radius, packed.first_block, packed.n_blocks, packed.rows)
-    return blocks, np.maximum(far[:, None], far[None, :])
+    return nearest.search(firsts.select("id", "vec"), k, group=group).unionByName(others)
 
 
 def top_k_similar(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str,
@@ -146,31 +65,30 @@ def top_k_similar(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, qu
     """(query, id, cosine, rank): the k most similar corpus rows of every query, exactly.
 
     A query set whose checked size fits travels with the tasks and the corpus
-    is read once without a shuffle; a larger one meets the corpus block by
-    block. Vectors are scaled to unit length, where a smaller distance is a
-    larger cosine.
+    is read once without a shuffle; a larger one goes through the pivot tree of ``nearest.search``. Vectors are
+    scaled to unit length, where a smaller distance is a larger cosine.
     """
     q = queries.select(F.col(query_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     c = corpus.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     head = q.select(F.size("vec").alias("d")).head()
     if head is None:
-        return _ranked(q.select("id", F.col("id").alias("neighbor"), F.lit(0.0).alias("distance")), k)
+        return q.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("cosine"), F.lit(0).alias("rank"))
     limit = max(1, max_shipped // (8 * head["d"]))
     shipped = q.limit(limit + 1).toArrow()
     if shipped.num_rows <= limit:
         candidates = _search_shipped(c, shipped, k)
+        best = nearest.ranked(candidates, k).withColumn("cosine", 1.0 - F.col("distance"))
     else:
-        def kernel(a, b, same):
-            return [_emit(a[0], b[0], 1.0 - _unit(a[1]) @ _unit(b[1]).T, k)]
-
-        candidates = B.cross_pairs(B.pack(q, "id", "vec"), B.pack(c, "id", "vec"), kernel, NEIGHBORS)
-    return _ranked(candidates, k)
+        best = nearest.search(_on_sphere(c, 0), k, _on_sphere(q, 1)).withColumn("cosine", 1.0 - F.col("distance") * F.col("distance") / 2)
+    return best.select(F.col("id").alias("query"), F.col("neighbor").alias("id"), "cosine", "rank")
 
 
-def _ranked(candidates: DataFrame, k: int) -> DataFrame:
-    return _top_k(candidates, k).select(
-        F.col("id").alias("query"), F.col("neighbor").alias("id"), (1.0 - F.col("distance")).alias("cosine"), "rank"
-    )
+def _on_sphere(rows: DataFrame, side: int) -> DataFrame:
+    """Unit vectors; those of no length get a direction of their own, at a right angle to all of the other side."""
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.concat(F.transform("vec", lambda x: x / F.col("length")), F.array(F.lit(0.0), F.lit(0.0)))
+    none = F.concat(F.transform("vec", lambda x: F.lit(0.0)), F.array(F.lit(1.0 - side), F.lit(float(side))))
+    return rows.withColumn("length", length).select("id", F.when(F.col("length") > 0, unit).otherwise(none).alias("vec"))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -188,9 +106,11 @@ def _search_shipped(corpus: DataFrame, queries: pa.Table, k: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            ids = batch.column("id").to_numpy()
-            found = _emit(names, ids, 1.0 - matrix.value @ _unit(to_matrix(batch.column("vec"))).T, k)
-            best = found if best is None else _merge(best, found, k)
+            rows = max(1, nearest.MAX_CELLS // len(names))
+            for at in range(0, len(batch), rows):
+                part = batch.slice(at, rows)
+                found = _emit(names, part.column("id").to_numpy(), 1.0 - matrix.value @ _unit(to_matrix(part.column("vec"))).T, k)
+                best = found if best is None else _merge(best, found, k)
         if best is not None:
             yield from best.to_batches()
 

@@ -41,7 +41,7 @@ def rows(df):
 
 def test_points_without_a_vector_shift_no_others(spark):
     whole, broken = spark.createDataFrame(POINTS, FIELDS), spark.createDataFrame(POINTS + BROKEN, FIELDS)
-    assert rows(knn(broken, "id", "v", 4, block_rows=8)) == rows(knn(whole, "id", "v", 4, block_rows=8))
+    assert rows(knn(broken, "id", "v", 4, group=8)) == rows(knn(whole, "id", "v", 4, group=8))
     assert rows(cluster.dbscan(broken, "id", "v", 1.0, 3, block_rows=8)) == rows(cluster.dbscan(whole, "id", "v", 1.0, 3, block_rows=8))
     fit = cluster.kmeans_fits(broken, "id", "v", [3], restarts=3)[3]
     assert fit.inertia == pytest.approx(cluster.kmeans_fits(whole, "id", "v", [3], restarts=3)[3].inertia)

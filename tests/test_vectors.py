@@ -1,9 +1,10 @@
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from semdrift.operators import embed, reduce, similar
+from semdrift.operators import embed, nearest, reduce, similar
 from semdrift.operators import drift as D
 
 
@@ -50,17 +51,81 @@ def brute_knn(x, k):
     return [sorted(range(len(x)), key=lambda j: (d[i, j], j))[:k] for i in range(len(x))]
 
 
-@pytest.mark.parametrize("block_rows", [40, 4096])
-def test_knn_equals_brute_force(spark, block_rows):
+@pytest.mark.parametrize("group", [40, None])
+def test_knn_equals_brute_force(spark, group):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(60, 3)), rng.normal(size=(90, 3)) + 30, np.ones((50, 3))])  # a crowd of copies
     got = {}
-    for r in similar.knn(frame(spark, x), "id", "v", 4, block_rows).collect():
+    for r in similar.knn(frame(spark, x), "id", "v", 4, group).collect():
         got.setdefault(r["id"], {})[r["rank"]] = r["neighbor"]
     want = brute_knn(x, 4)
     assert {i: [got[i][r] for r in (1, 2, 3, 4)] for i in got} == dict(enumerate(want))
 
 
+def clustered(n, seed=0, d=8):
+    """Vectors around 40 middles of very different sizes; a tenth lie anywhere."""
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(0, 10, (40, d))
+    at = rng.choice(40, n, p=(p := 1 / np.arange(1, 41)) / p.sum())
+    x = middles[at] + rng.normal(0, 0.5, (n, d))
+    x[: n // 10] = rng.uniform(-30, 30, (n // 10, d))
+    return x
+
+
+def test_tree_search_is_exact_and_ships_little(spark, monkeypatch):
+    k, shipped = 5, {}
+    write = nearest.write_and_read
+
+    def counting(df, name):
+        out = write(df, name)
+        if name == "nearest-asked":
+            shipped[n] = shipped.get(n, 0) + out.count() * nearest.group_rows(n) // 4
+        return out
+
+    monkeypatch.setattr(nearest, "write_and_read", counting)
+    for n in (2000, 8000, 32_000):
+        x = clustered(n)
+        rows = spark.createDataFrame(pd.DataFrame({"id": range(n), "vec": list(x)}), "id bigint, vec array<double>").repartition(8)
+        found = nearest.search(rows, k).toPandas().sort_values(["id", "rank"])
+        assert len(found) == n * k
+        got = found.neighbor.to_numpy().reshape(n, k)
+        for at in range(0, n, 2000):
+            part = x[at:at + 2000]
+            d = np.sqrt(np.maximum((part ** 2).sum(1)[:, None] + (x ** 2).sum(1)[None] - 2 * part @ x.T, 0))
+            d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+            want = np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1)
+            np.testing.assert_allclose(np.take_along_axis(d, got[at:at + 2000], axis=1), want, atol=1e-6)
+    # Rows shipped to groups (a block counts as full): sixteen times the rows, far less than 256 times the copies.
+    assert shipped[32_000] < 64 * shipped[2000]
+    assert nearest.group_rows(500) < 500  # several groups on the smallest table of vectors
+
+
+def test_tree_search_for_other_queries(spark):
+    rng = np.random.default_rng(8)
+    c, q = clustered(3000, 1, 4), np.concatenate([clustered(300, 2, 4), rng.normal(1000, 1, (20, 4))])
+    found = nearest.search(frame(spark, c).withColumnRenamed("v", "vec"), 3, frame(spark, q).withColumnRenamed("v", "vec"), 100)
+    got = found.toPandas().sort_values(["id", "rank"]).neighbor.to_numpy().reshape(len(q), 3)
+    d = np.round(np.linalg.norm(q[:, None] - c[None], axis=2), 9)
+    assert (got == np.argsort(d, axis=1, kind="stable")[:, :3]).all()
+
+
+def test_tree_search_of_few_and_equal_rows(spark):
+    few = frame(spark, np.array([[0.0, 0.0], [1.0, 0.0]])).withColumnRenamed("v", "vec")
+    assert sorted((r.id, r.neighbor, r.distance, r["rank"]) for r in nearest.search(few, 5).collect()) == [(0, 1, 1.0, 1), (1, 0, 1.0, 1)]
+    assert nearest.search(few.filter("id < 0"), 5).count() == 0 == nearest.search(few, 5, few.filter("id < 0")).count()
+    same = frame(spark, np.ones((900, 2))).withColumnRenamed("v", "vec")
+    found = nearest.search(same, 2, group=64).filter("id >= 2").select("neighbor", "distance").distinct().collect()
+    assert sorted(map(tuple, found)) == [(0, 0.0), (1, 0.0)]
+
+
+def test_vectors_of_no_length_are_at_right_angles(spark):
+    corpus = frame(spark, np.array([[0.0, 0.0], [1.0, 0.0], [0.0, -2.0]])).withColumnRenamed("v", "embedding")
+    queries = frame(spark, np.array([[0.0, 0.0], [1.0, 0.1]])).withColumnsRenamed({"v": "embedding", "id": "q"})
+    both = [similar.top_k_similar(corpus, queries, 3, "id", "q", max_shipped=m).collect() for m in (1, 1 << 20)]
+    sides = [sorted((r["query"], r["id"], r["rank"], round(r["cosine"], 6)) for r in rows) for rows in both]
+    assert sides[0] == sides[1]
+
+
 @pytest.mark.parametrize("shipped", [64 << 20, 100])
 def test_top_k_equals_brute_force(spark, shipped):
     rng = np.random.default_rng(4)
