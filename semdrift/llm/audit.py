@@ -11,31 +11,33 @@ smaller id arrives later.
 So all files are processed as micro-batches of a stream that ends when what
 was there at the start is done. Texts become digests and masks beside the scan and are not
 shuffled. Each task first settles its own copies: of equal texts only those with the task's least
-id go on, the others fail E whatever comes, and are merely counted. State, keyed by digest (grouped by
-its first bits into buckets whose number follows the input), keeps the least id of every
-text with the masks of its rows. A smaller id that arrives later
-retracts the counts of the former holders (-n without E, +n with E). A micro-batch's counter changes
-are one folder, written over when the batch is retried; their sum is the truth at any time.
-
-Two texts are equal when their SHA-256 digests are. State is held by RocksDB, on disk and in
-the checkpoint of the stream, so it may outgrow the memory of executors.
+id go on, the others fail E whatever comes, and are merely counted; so a text of very many copies
+leaves one row for each task. The state, a table keyed by digest, holds the least id of every text so far
+with the masks of its rows. A micro-batch meets it in one shuffle by digest. Where a
+smaller id arrives, the counts of the former holders are retracted (-n without E, +n with E).
+
+A micro-batch leaves two folders of its number, the state after it and its
+counter changes, written over when the batch is retried. The sum of all
+changes is the truth at any time. State in tables, not in a state store: a
+store holds its keys in the memory of executors, or (RocksDB) native memory of
+every partition, which was measured beyond 3 GB for 211 partitions.
+
+Two texts are equal when their SHA-256 digests are.
 """
 
 from __future__ import annotations
 
 import hashlib
-import io
 import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from semdrift.llm.common import batch
 from semdrift.session import scratch_path, write_and_read
@@ -50,11 +52,8 @@ _WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 #: Micro-batches that the files present at the start are dealt to, at most.
 BATCHES = 4
-#: Documents for each bucket of state, and the least number of buckets.
-BUCKET_ROWS, BUCKETS = 512, 64
 #: Tasks that the rows of one id, or of none, are spread over when they meet the labels.
 SALTS = 16
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 # --------------------------------------------------------------------------- masks
@@ -102,115 +101,74 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --------------------------------------------------------------------------- counter changes
 
-#: Kind of row that enters the state: a bucket of texts, or (below 0) counts that are settled already.
 CHANGE_COLUMNS = "part string, mask int, good boolean, toxic boolean, delta long"
-HELD = pa.schema([
+#: Rows of one text and id; without a digest, counts that are settled already (the mask has E where it was failed).
+ENTERED = pa.schema([
     ("digest", pa.binary()), ("doc_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("good", pa.bool_()),
     ("toxic", pa.bool_()), ("n", pa.int64()),
 ])
-ENTERING = pa.schema([("bucket", pa.int64()), *HELD])
-ENTERING_COLUMNS = "bucket long, digest binary, doc_id long, part string, mask int, good boolean, toxic boolean, n long"
+ENTERED_COLUMNS = "digest binary, doc_id long, part string, mask int, good boolean, toxic boolean, n long"
+KIND = ["part", "mask", "good", "toxic"]
 
 #: What one text holds: the least id, and its rows by (part, mask, good, toxic).
 Holder = tuple[int, Counter]
 
 
-def meet(held: dict[bytes, Holder], digest: bytes, doc_id: int, rows: Counter, changes: Counter) -> None:
-    """Enter rows of one text and id. ``changes`` counts by (part, mask, good, toxic); E is part of the mask there."""
-
-    def count(of: Counter, failed: bool, sign: int = 1) -> None:
-        for (part, mask, good, toxic), n in of.items():
-            changes[part, mask | E * failed, good, toxic] += sign * n
-
+def meet(held: dict[bytes, Holder], digest: bytes, doc_id: int, kind: tuple, n: int, failed: Counter) -> None:
+    """Enter rows of one text and id; ``failed`` counts those that a smaller id of the same text is known for."""
     least, holders = held.get(digest, (None, None))
     if least is None or doc_id < least:
-        if least is not None:  # retract: the former holders fail E from now on
-            count(holders, False, -1)
-            count(holders, True)
-        held[digest] = (doc_id, Counter(rows))
-        count(rows, False)
+        if holders:
+            failed.update(holders)
+        held[digest] = (doc_id, Counter({kind: n}))
     elif doc_id == least:
-        holders.update(rows)
-        count(rows, False)
+        holders[kind] += n
     else:
-        count(rows, True)
+        failed[kind] += n
 
 
-def _settled(buckets: int):
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: the rows of the least id of each text, and counts of those that are settled whatever else there is."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, Holder] = {}
-        changes: Counter = Counter()
-        without_id: Counter = Counter()
-        for b in batches:
-            for doc_id, digest, n, *of in zip(*(b.column(c).to_pylist() for c in ("doc_id", "digest", "n", "part", "mask", "good", "toxic"))):
-                if doc_id is None:  # smaller than no id, and none is smaller
-                    without_id[tuple(of)] += n
-                else:
-                    meet(held, digest, doc_id, Counter({tuple(of): n}), changes)
-        # What is left in ``held`` is not settled; the state counts it.
-        for _, holders in held.values():
-            changes.subtract(holders)
-        changes.update(without_id)
-        out = [
-            (int.from_bytes(digest[:8], "little") % buckets, digest, doc_id, *key, n)
-            for digest, (doc_id, holders) in held.items() for key, n in holders.items()
-        ]
-        for key, n in changes.items():
-            if n:
-                spread = hashlib.sha256(repr(key).encode()).digest()
-                out.append((-1 - int.from_bytes(spread[:8], "little") % buckets, b"", 0, *key, n))
-        for at in range(0, len(out), 1 << 16):
-            yield batch(ENTERING, **dict(zip(ENTERING.names, zip(*out[at:at + (1 << 16)]))))
-
-    return rows
-
-
-def _load(raw: bytes) -> dict[bytes, Holder]:
     held: dict[bytes, Holder] = {}
-    with pa.ipc.open_stream(raw) as stored:
-        columns = stored.read_all().to_pydict()
-    for digest, doc_id, part, mask, good, toxic, n in zip(*(columns[c] for c in HELD.names)):
-        held.setdefault(digest, (doc_id, Counter()))[1][part, mask, good, toxic] += n
-    return held
-
-
-def _store(held: dict[bytes, Holder]) -> bytes:
-    rows = [(digest, doc_id, *key, n) for digest, (doc_id, holders) in held.items() for key, n in holders.items()]
-    out = io.BytesIO()
-    with pa.ipc.new_stream(out, HELD) as stored:
-        stored.write_batch(batch(HELD, **dict(zip(HELD.names, zip(*rows)))))
-    return out.getvalue()
-
-
-def _remember(key: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state of one bucket, moved on by what entered in this micro-batch; yields the counter changes."""
-    changes: Counter = Counter()
-    if key[0] < 0:
-        for frame in frames:
-            for of, n in zip(zip(frame.part, frame["mask"], frame.good, frame.toxic), frame.n):
-                changes[of] += n
-    else:
-        held = _load(state.get[0]) if state.exists else {}
-        for frame in frames:
-            for digest, doc_id, part, mask, good, toxic, n in zip(
-                frame.digest, frame.doc_id, frame.part, frame["mask"], frame.good, frame.toxic, frame.n
-            ):
-                meet(held, bytes(digest), int(doc_id), Counter({(part, int(mask), bool(good), bool(toxic)): int(n)}), changes)
-        state.update((_store(held),))
-    rows = [(*of, n) for of, n in changes.items() if n]
-    yield pd.DataFrame(rows, columns=["part", "mask", "good", "toxic", "delta"]).astype({"mask": "int32", "delta": "int64", "good": bool, "toxic": bool})
+    failed: Counter = Counter()
+    without_id: Counter = Counter()
+    for b in batches:
+        for doc_id, digest, n, *kind in zip(*(b.column(c).to_pylist() for c in ("doc_id", "digest", "n", *KIND))):
+            if doc_id is None:  # smaller than no id, and none is smaller
+                without_id[tuple(kind)] += n
+            else:
+                meet(held, digest, doc_id, tuple(kind), n, failed)
+    rows = [(digest, doc_id, *kind, n) for digest, (doc_id, holders) in held.items() for kind, n in holders.items()]
+    rows += [(None, None, part, mask | E, *rest, n) for (part, mask, *rest), n in failed.items()]
+    rows += [(None, None, *kind, n) for kind, n in without_id.items()]
+    for at in range(0, len(rows), 1 << 16):
+        yield batch(ENTERED, **dict(zip(ENTERED.names, zip(*rows[at:at + (1 << 16)]))))
+
+
+def move_state(state: DataFrame, entered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the state after ``entered``, the counter changes): both with the columns of their tables."""
+    both = state.withColumn("old", F.lit(True)).unionByName(entered.filter("digest IS NOT NULL").withColumn("old", F.lit(False)))
+    least = F.min("doc_id").over(Window.partitionBy("digest"))
+    met = write_and_read(both.withColumn("holds", F.col("doc_id") == least), "audit-met")
+    after = met.filter("holds").groupBy("digest", "doc_id", *KIND).agg(F.sum("n").alias("n"))
+    failing = F.col("mask").bitwiseOR(F.lit(E))
+    settled = entered.filter("digest IS NULL").select(*KIND, F.col("n").alias("delta"))
+    arrived = met.filter("NOT old").select("part", F.when(F.col("holds"), F.col("mask")).otherwise(failing).alias("mask"), "good", "toxic", F.col("n").alias("delta"))
+    former = met.filter("old AND NOT holds")
+    retracted = former.select(*KIND, (-F.col("n")).alias("delta"))
+    failed = former.select("part", failing.alias("mask"), "good", "toxic", F.col("n").alias("delta"))
+    changes = settled.unionByName(arrived).unionByName(retracted).unionByName(failed)
+    return after, changes.groupBy(*KIND).agg(F.sum("delta").alias("delta"))
 
 
 def stream_changes(
-    spark: SparkSession, path: str, labels: DataFrame, target: str, checkpoint: str, files_per_batch: int, buckets: int,
+    spark: SparkSession, path: str, labels: DataFrame, target: str, checkpoint: str, files_per_batch: int,
     doc_id: str = "doc_id", part: str = "source", text: str = "text",
 ) -> None:
-    """Process what has landed at ``path`` since the last call and add its counter changes below ``target``.
+    """Process what has landed at ``path`` since the last call; state and counter changes are kept below ``target``.
 
-    ``checkpoint`` holds the progress and the state; a call with the same
-    three places goes on where the last one ended, also after a failure.
+    ``checkpoint`` holds the progress; a call with the same three places goes
+    on where the last one ended, also after a failure.
     """
     # A stream takes a single file only by a pattern; this one matches the path alone.
     path = path.rstrip("/")
@@ -227,29 +185,26 @@ def stream_changes(
     judged = marked.join(known, ["doc_id", "salt"], "left").select(
         "doc_id", "part", "digest", "mask", "n", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic")
     )
-    changes = judged.mapInArrow(_settled(buckets), ENTERING_COLUMNS).groupBy("bucket").applyInPandasWithState(
-        _remember, CHANGE_COLUMNS, "held binary", "append", GroupStateTimeout.NoTimeout
-    )
 
     def sink(rows: DataFrame, batch_id: int) -> None:
-        summed = rows.groupBy("part", "mask", "good", "toxic").agg(F.sum("delta").alias("delta"))
-        summed.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        session = rows.sparkSession
+        rows.write.mode("overwrite").parquet(f"{target}/entered/batch={batch_id}")
+        entered = session.read.schema(ENTERED_COLUMNS).parquet(f"{target}/entered/batch={batch_id}")
+        empty = session.createDataFrame([], ENTERED_COLUMNS)
+        before = session.read.schema(ENTERED_COLUMNS).parquet(f"{target}/state/batch={batch_id - 1}") if batch_id else empty
+        after, changes = move_state(before, entered)
+        after.write.mode("overwrite").parquet(f"{target}/state/batch={batch_id}")
+        changes.write.mode("overwrite").parquet(f"{target}/changes/batch={batch_id}")
 
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, ROCKSDB)
-    try:
-        changes.writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", checkpoint).trigger(
-            availableNow=True
-        ).start().awaitTermination()
-    finally:
-        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+    judged.mapInArrow(_settled, ENTERED_COLUMNS).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True
+    ).start().awaitTermination()
 
 
 def counters(spark: SparkSession, target: str) -> DataFrame:
     """(part, mask, good, toxic, n): the documents of each kind after all micro-batches so far."""
-    parts = spark.read.schema(f"{CHANGE_COLUMNS}, batch long").parquet(target)
-    return parts.groupBy("part", "mask", "good", "toxic").agg(F.sum("delta").alias("n")).filter(F.col("n") != 0)
+    parts = spark.read.schema(f"{CHANGE_COLUMNS}, batch long").parquet(f"{target}/changes")
+    return parts.groupBy(*KIND).agg(F.sum("delta").alias("n")).filter(F.col("n") != 0)
 
 
 # --------------------------------------------------------------------------- report
@@ -325,7 +280,8 @@ def filter_audit(
     """
     stored = spark.read.parquet(path)
     files = len(stored.inputFiles())
-    buckets = max(BUCKETS, stored.count() // BUCKET_ROWS)
-    target, checkpoint = scratch_path(spark, "audit-counters"), scratch_path(spark, "audit-stream")
-    stream_changes(spark, path, labels, target, checkpoint, max(1, -(-files // batches)), buckets, doc_id, part, text)
+    if not files:
+        return report(spark.createDataFrame([], "part string, mask int, good boolean, toxic boolean, n long"))
+    target, checkpoint = scratch_path(spark, "audit-tables"), scratch_path(spark, "audit-stream")
+    stream_changes(spark, path, labels, target, checkpoint, max(1, -(-files // batches)), doc_id, part, text)
     return report(counters(spark, target))
