@@ -1,12 +1,16 @@
 """Two-dimensional layouts from a weighted neighbour graph, as iterated DataFrame jobs.
 
 Pull along the edges is computed edge by edge. Push between all points goes
-through a bounded grid of cell counts and centres, so an epoch costs the edges
-plus the points, never pairs of points.
+through a quad tree of cell counts and centres, so an epoch costs the edges
+and a few hundred cells for each point, never pairs of points. Points and edges are dealt to parts
+once; an epoch shuffles only the places of points at both ends of an edge
+between two parts.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,15 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from semdrift.config import AnalysisSettings
 from semdrift.functions.arrow import from_matrix, to_matrix
+from semdrift.functions.vectors import usable
+from semdrift.operators import nearest, quadtree
 from semdrift.operators import reduce as R
-from semdrift.operators.similar import knn
-from semdrift.operators.skew import HOT_ROWS, SALTS
-from semdrift.session import cut, write_and_read
-
-GRID = 40  # cells per side: at most 1,600 summaries
+from semdrift.operators.similar import knn, split_crowds
+from semdrift.operators.skew import lookup_join
+from semdrift.session import cut, settings, write_and_read
 
 
 def _bisect(value, target: float, n: int, rounds: int = 64) -> np.ndarray:
@@ -108,80 +113,246 @@ def curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
     return best
 
 
-@dataclass(frozen=True)
-class _Cells:
-    x: np.ndarray
-    y: np.ndarray
-    n: np.ndarray
-    total: int
-    extent: float
+# -------------------------------------------------------------------------- parts
 
+SIDES = 4096.0  # finest cells on the longer side of a layout
+CUT_EPOCHS = 20
+CELL_PARTS = 64  # beyond so many parts their cell counts are merged by tasks first
 
-def _cells(pos: DataFrame) -> _Cells:
-    """Counts and centres of a grid over the current layout."""
-    box = pos.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).head()
-    wide, high = max(box["x1"] - box["x0"], 1e-9), max(box["y1"] - box["y0"], 1e-9)
-    cell_x = F.least(F.floor((F.col("x") - box["x0"]) / wide * GRID), F.lit(GRID - 1))
-    cell_y = F.least(F.floor((F.col("y") - box["y0"]) / high * GRID), F.lit(GRID - 1))
-    rows = pos.groupBy(cell_x.alias("cx"), cell_y.alias("cy")).agg(
-        F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")
-    ).collect()  # at most GRID² rows
-    n = np.array([r["n"] for r in rows], dtype=np.float64)
-    return _Cells(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]), n, int(n.sum()), float(max(wide, high)))
+#: What one part sends in an epoch: its own state, the places of its points for others, its cell counts.
+SENT = "part int, source int, kind int, payload binary"
+STATE, PLACES, CELLS = 0, 1, 2
 
 
-def _push(cells: _Cells, kernel):
-    """Column function: summed push of all cells on a point, and the summed closeness."""
+def _rows(part: list[int], source: list[int], kind: list[int], payload: list[bytes]) -> pa.Table:
+    return pa.table({
+        "part": pa.array(part, pa.int32()), "source": pa.array(source, pa.int32()),
+        "kind": pa.array(kind, pa.int32()), "payload": pa.array(payload, pa.binary()),
+    })
 
-    @F.arrow_udf("struct<fx: double, fy: double, z: double>")
-    def push(x: pa.Array, y: pa.Array) -> pa.Array:
-        px, py = x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)
-        out = np.zeros((3, len(px)))
-        for lo in range(0, len(px), 4096):
-            dx = px[lo : lo + 4096, None] - cells.x[None, :]
-            dy = py[lo : lo + 4096, None] - cells.y[None, :]
-            fx, fy, z = kernel(dx, dy, cells.n[None, :], cells.total)
-            out[:, lo : lo + 4096] = fx, fy, z
-        return pa.StructArray.from_arrays([pa.array(v) for v in out], names=["fx", "fy", "z"])
 
-    return push
+@dataclass(frozen=True)
+class Parts:
+    """A graph dealt to parts once: what stays the same in all epochs, and the first places."""
+
+    fixed: DataFrame  # part, payload: edges by number of the point, where each foreign point comes from, who asks for own points
+    start: DataFrame  # SENT rows of the states
+    names: DataFrame  # part, nth, id
+    n_parts: int
+    total: float
 
 
-def _prepared(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Edges laid out by ``v``, and the hub nodes whose edges must be split (None without any).
+def _dealt(points: DataFrame, start: DataFrame, edges: DataFrame, weights: DataFrame | None) -> Parts:
+    """Deal ``points`` (id, vec) to parts of neighbouring points, with ``start`` (id, x, y) and ``edges`` (u, v, w).
 
-    Worked out once: the edges stay the same in all epochs, only the
-    coordinates that join them change.
+    A part's edges are those that leave its points. It lists the foreign
+    points at their other ends by part, and learns which of its own points
+    other parts list. All of this is exchanged once; in an epoch only
+    places of listed points travel.
     """
-    edges = write_and_read(edges, "layout-edges")
-    hubs = write_and_read(
-        edges.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS)
-        .select("id", F.lit(SALTS).alias("salts")), "layout-hubs",
+    points = points.select("id", "vec").filter(usable(F.col("vec")))
+    n = points.count()
+    size = nearest.group_rows(n)
+    dealt = nearest.deal(points, nearest.grow(points, n, max(1, size // 4)), size, True).rows
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
+    places = start if weights is None else start.join(weights, "id", "left")
+    mass = F.lit(1.0) if weights is None else F.coalesce("weight", F.lit(1.0))
+    numbered = write_and_read(
+        dealt.select(F.col("part").cast("int").alias("part"), "id").join(places.select("id", "x", "y", mass.alias("weight")), "id")
+        .withColumn("nth", nth), "layout-points",
     )
-    if hubs.isEmpty():
-        return cut(edges.repartition("v")), None
-    for end, other in (("u", "v"), ("v", "u")):
-        known = F.broadcast(hubs.select(F.col("id").alias(end), F.col("salts").alias("_s")))
-        edges = edges.join(known, end, "left").withColumn(
-            f"salt_{end}", F.when(F.col("_s").isNotNull(), F.pmod(F.xxhash64(other), "_s")).otherwise(F.lit(0)).cast("int")
-        ).drop("_s")
-    return cut(edges.repartition("v", "salt_v")), hubs
+    names = numbered.select("part", "nth", "id")
+    ends = edges.join(names.select(F.col("id").alias("u"), F.col("part").alias("pu"), F.col("nth").alias("iu")), "u")
+    ends = ends.join(names.select(F.col("id").alias("v"), F.col("part").alias("pv"), F.col("nth").alias("iv")), "v")
+
+    def own_edges(group: pa.Table) -> pa.Table:
+        pu, iu, pv, iv, w = (group.column(c).to_numpy() for c in ("pu", "iu", "pv", "iv", "w"))
+        order = np.lexsort((iv, pv, iu))
+        iu, pv, iv, w = iu[order], pv[order], iv[order], w[order]
+        part = int(pu[0])
+        asked = np.unique(np.column_stack([pv, iv])[pv != part], axis=0)
+        parts, first = np.unique(asked[:, 0], return_index=True) if len(asked) else (np.zeros(0, int), np.zeros(0, int))
+        key, own = pv.astype(np.int64) << 32 | iv, pv == part
+        slot = np.searchsorted(asked[:, 0].astype(np.int64) << 32 | asked[:, 1], key)
+        payload = pickle.dumps({
+            "iu": iu.astype(np.int32), "iv": np.where(own, iv, -1 - slot).astype(np.int32), "w": w,
+            "from": parts.astype(np.int64), "many": np.diff(np.append(first, len(asked))),
+        })
+        asks = [asked[asked[:, 0] == p, 1].astype(np.int32).tobytes() for p in parts]
+        return _rows([part, *parts.tolist()], [part] * (1 + len(parts)), [STATE] + [PLACES] * len(parts), [payload, *asks])
+
+    asked = write_and_read(ends.select("pu", "iu", "pv", "iv", "w").groupBy("pu").applyInArrow(own_edges, SENT), "layout-edges")
+
+    def states(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("nth").to_numpy())
+        held = np.array([group.column(c).to_numpy()[order] for c in ("x", "y", "weight")])
+        part = int(group.column("part")[0].as_py())
+        return _rows([part], [part], [CELLS], [np.vstack([held[:2], np.zeros((2, held.shape[1])), held[2:]]).tobytes()])
+
+    first = write_and_read(numbered.groupBy("part").applyInArrow(states, SENT), "layout-start")
+
+    def fixed(group: pa.Table) -> pa.Table:
+        """One payload for each part; a part without edges has none to send or to ask for."""
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("kind", "source", "payload"))))
+        none = {"iu": np.zeros(0, np.int32), "iv": np.zeros(0, np.int32), "w": np.zeros(0), "from": np.zeros(0, int), "many": np.zeros(0, int)}
+        held = next((pickle.loads(p) for k, _, p in rows if k == STATE), none)
+        held["asked"] = [(s, np.frombuffer(p, np.int32)) for k, s, p in rows if k == PLACES]
+        part = int(group.column("part")[0].as_py())
+        return pa.table({"part": pa.array([part], pa.int32()), "payload": pa.array([pickle.dumps(held)], pa.binary())})
+
+    n_parts = first.count()
+    both = asked.unionByName(first)
+    packed = both.groupBy("part").applyInArrow(fixed, "part int, payload binary")
+    total = numbered.agg(F.sum("weight")).head()[0] or 0.0
+    return Parts(cut(packed.repartition(n_parts or 1, "part")), first, names, n_parts, float(total))
+
+
+# ------------------------------------------------------------------------- epochs
+
+
+@dataclass(frozen=True)
+class Turn:
+    """What all tasks share in an epoch."""
+
+    tree: quadtree.QuadTree
+    side: float  # of the cells that the new places are counted by
+    extent: float
+    z: float  # summed closeness of all pairs, of the epoch before
+    total: float
+    number: int
+
+
+#: (dx, dy, w, degree, push, velocity, turn) of a part to (new velocity, step).
+Move = Callable[..., tuple[np.ndarray, np.ndarray]]
+
+
+def _epoch(turn, kernel: quadtree.Kernel, pull: Callable, move: Callable):
+    """The work of one part: pull along its edges, push of all cells, new places, and what others need of them."""
+
+    def step(sent: pa.Table, fixed: pa.Table) -> pa.Table:
+        if not sent.num_rows or not fixed.num_rows:
+            return _rows([], [], [], [])
+        now: Turn = turn.value
+        held = pickle.loads(fixed.column("payload")[0].as_py())
+        rows = sorted(zip(*(sent.column(c).to_pylist() for c in ("kind", "source", "payload"))))
+        part = int(sent.column("part")[0].as_py())
+        state = next(np.frombuffer(p).reshape(5, -1) for k, _, p in rows if k == STATE)
+        xy, velocity, weight = state[:2], state[2:4], state[4]
+        foreign = [np.frombuffer(p).reshape(2, -1) for k, _, p in rows if k == PLACES]
+        n = xy.shape[1]
+        everyone = np.concatenate([xy, *foreign], axis=1)
+        other = np.where(held["iv"] >= 0, held["iv"], n - 1 - held["iv"])
+        dx, dy = xy[:, held["iu"]] - everyone[:, other]
+        pulled = np.array([np.bincount(held["iu"], v, n) for v in pull(dx, dy, held["w"])])
+        pushed = quadtree.push(now.tree, xy[0], xy[1], weight, kernel)
+        velocity, gone = move(pulled, pushed, np.bincount(held["iu"], held["w"], n), velocity, now)
+        xy = xy + gone
+        cells = quadtree.count_cells(xy[0], xy[1], weight, now.side)
+        z = np.array([float((pushed[2] * weight).sum())])
+        asked = held["asked"]
+        return _rows(
+            [part, *(p for p, _ in asked), part], [part] * (len(asked) + 2), [STATE, *[PLACES] * len(asked), CELLS],
+            [np.vstack([xy, velocity, weight]).tobytes(), *(xy[:, at].tobytes() for _, at in asked), z.tobytes() + cells.tobytes()],
+        )
+
+    return step
+
+
+def _merge_counts(payloads: list[bytes]) -> tuple[np.ndarray, float]:
+    parts = [np.frombuffer(p) for p in payloads]
+    return quadtree.merge_cells([p[1:].reshape(-1, 5) for p in parts]), float(sum(p[0] for p in parts))
+
+
+def _counts(sent: DataFrame, n_parts: int) -> tuple[np.ndarray, float]:
+    """Cell counts of all parts, in the order of the parts."""
+    rows = sent.filter(F.col("kind") == CELLS)
+    if n_parts > CELL_PARTS:
+        def some(group: pa.Table) -> pa.Table:
+            held = sorted(zip(group.column("source").to_pylist(), group.column("payload").to_pylist()))
+            cells, z = _merge_counts([p for _, p in held])
+            return _rows([0], [held[0][0]], [CELLS], [np.array([z]).tobytes() + cells.tobytes()])
+
+        rows = rows.groupBy(F.pmod("source", F.lit(CELL_PARTS)).alias("share")).applyInArrow(some, SENT)
+    return _merge_counts([r["payload"] for r in sorted(rows.collect(), key=lambda r: r["source"])])
+
 
+def _side(extent: float) -> float:
+    return 2.0 ** np.floor(np.log2(max(extent, 1e-9) / SIDES))
 
-def _at_ends(edges: DataFrame, hubs: DataFrame | None, pos: DataFrame) -> DataFrame:
-    """Edges with the coordinates of both ends."""
-    spread = pos.select("id", "x", "y")
-    if hubs is not None:
-        copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))
-        spread = spread.join(F.broadcast(hubs), "id", "left").withColumn("salt", copies).drop("salts")
-    for end in ("v", "u"):
-        side = spread.withColumnsRenamed({"id": end, "salt": f"salt_{end}", "x": f"x_{end}", "y": f"y_{end}"})
-        edges = edges.join(side, [end] if hubs is None else [end, f"salt_{end}"])
-    return edges
 
+def _run(parts: Parts, epochs: int, kernel: quadtree.Kernel, pull: Callable, move: Callable) -> DataFrame:
+    """(id, x, y) after ``epochs`` epochs.
 
-def _clip(c, limit: float = 4.0):
-    return F.greatest(F.least(c, F.lit(limit)), F.lit(-limit))
+    An epoch is one job: what parts sent each other is shuffled, and met with the
+    fixed rows where they lie. Its cell counts, at most ``quadtree.MOST_CELLS``
+    after merging, come back as the tree of the next epoch. Lineage is cut every ``CUT_EPOCHS`` epochs.
+    """
+    spark = parts.fixed.sparkSession
+
+    def placed(group: pa.Table) -> pa.Table:
+        """The start: nothing has moved yet, so parts send the places they were given."""
+        rows = dict(zip(group.column("kind").to_pylist(), group.column("payload").to_pylist()))
+        part = int(group.column("part")[0].as_py())
+        state = np.frombuffer(rows[CELLS]).reshape(5, -1)
+        asked = pickle.loads(rows[STATE])["asked"]
+        box = np.array([state[0].min(), state[0].max(), state[1].min(), state[1].max()])
+        return _rows(
+            [part, *(p for p, _ in asked), part], [part] * (len(asked) + 2), [STATE, *[PLACES] * len(asked), CELLS],
+            [state.tobytes(), *(state[:2, at].tobytes() for _, at in asked), box.tobytes()],
+        )
+
+    fixed = parts.fixed.persist()
+    first = parts.start.unionByName(fixed.select("part", F.col("part").alias("source"), F.lit(STATE).alias("kind"), "payload"))
+    sent = cut(first.groupBy("part").applyInArrow(placed, SENT))
+    boxes = np.array([np.frombuffer(r["payload"]) for r in sent.filter(F.col("kind") == CELLS).collect()])  # one row per part
+    extent = float(max(boxes[:, 1].max() - boxes[:, 0].min(), boxes[:, 3].max() - boxes[:, 2].min()))
+    side = _side(extent)
+
+    def counted(group: pa.Table) -> pa.Table:
+        state, part = np.frombuffer(group.column("payload")[0].as_py()).reshape(5, -1), group.column("part")[0].as_py()
+        cells = quadtree.count_cells(state[0], state[1], state[4], side)
+        return _rows([part], [part], [CELLS], [np.zeros(1).tobytes() + cells.tobytes()])
+
+    cells, _ = _counts(sent.filter(F.col("kind") == STATE).groupBy("part").applyInArrow(counted, SENT), parts.n_parts)
+    z = None
+    # Partitions are set by the parts. Without adaptive plans the plan of an epoch names the one before once, not twice.
+    with settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        number = 0
+        while number < epochs:
+            cells, own_side = quadtree.coarser(cells, side)
+            tree = quadtree.build(cells, own_side)
+            extent = float(np.ptp(cells[:, :2], axis=0).max() + 1) * own_side
+            side = _side(extent)
+            # The closeness of all pairs is that of the epoch before; the first epoch is run once without moving to get it.
+            still = z is None
+            turn = spark.sparkContext.broadcast(Turn(tree, side, extent, 1.0 if still else z, parts.total, number))
+            step = _epoch(turn, kernel, pull, _stay if still else move)
+            travels = sent.filter(F.col("kind") != CELLS).repartition(parts.n_parts, "part")
+            after = travels.groupBy("part").cogroup(fixed.groupBy("part")).applyInArrow(step, SENT)
+            number += not still
+            keep = still or number % CUT_EPOCHS and number < epochs
+            after = after.persist() if keep else cut(after)
+            cells, z = _counts(after, parts.n_parts)
+            sent.unpersist()
+            sent = after
+
+    def places(group: pa.Table) -> pa.Table:
+        state = np.frombuffer(group.column("payload")[0].as_py()).reshape(5, -1)
+        n = state.shape[1]
+        return pa.table({
+            "part": pa.array(np.full(n, group.column("part")[0].as_py()), pa.int32()), "nth": pa.array(np.arange(n), pa.int32()),
+            "x": pa.array(state[0]), "y": pa.array(state[1]),
+        })
+
+    found = sent.filter(F.col("kind") == STATE).groupBy("part").applyInArrow(places, "part int, nth int, x double, y double")
+    found = write_and_read(found.join(parts.names, ["part", "nth"]).select("id", "x", "y"), "layout")
+    sent.unpersist()
+    fixed.unpersist()
+    return found
+
+
+def _stay(pulled, pushed, degree, velocity, now):
+    return velocity, np.zeros_like(velocity)
 
 
 def _start(coords: DataFrame, id_col: str, spread: float, seed: int) -> DataFrame:
@@ -196,92 +367,111 @@ def _start(coords: DataFrame, id_col: str, spread: float, seed: int) -> DataFram
     return two.select("id", (F.col("x") / top * spread + nudge(1)).alias("x"), (F.col("y") / top * spread + nudge(2)).alias("y"))
 
 
+def _laid_out(coords: DataFrame, id_col: str, spread: float, seed: int, edges: DataFrame, weights: DataFrame | None, epochs: int, *forces) -> DataFrame:
+    vectors = coords.select(F.col(id_col).cast("bigint").alias("id"), F.col("pos").cast("array<double>").alias("vec"))
+    start = _start(coords, id_col, spread, seed)
+    if vectors.isEmpty():
+        return start
+    return _run(_dealt(vectors, start, edges, weights), epochs, *forces)
+
+
 def umap_layout(coords: DataFrame, id_col: str, edges: DataFrame, min_dist: float = 0.1, epochs: int = 30,
-                seed: int = 42) -> DataFrame:
-    """(id, x, y): expected-force layout of a membership graph, started from ``coords``."""
+                seed: int = 42, weights: DataFrame | None = None) -> DataFrame:
+    """(id, x, y): expected-force layout of a membership graph, started from ``coords``.
+
+    ``weights`` (id, weight) says how many points one stands for.
+    """
     a, b = (float(v) for v in curve(min_dist))
-    edges, hubs = _prepared(edges)
-    pos = cut(_start(coords, id_col, 10.0, seed))
 
-    def push_kernel(dx, dy, n, total):
+    def kernel(dx, dy):
         d2 = dx * dx + dy * dy
         c = 2 * b / ((0.001 + d2) * (1 + a * np.maximum(d2, 1e-12) ** b))
-        fx = (np.clip(c * dx, -4, 4) * n).sum(axis=1) / total
-        fy = (np.clip(c * dy, -4, 4) * n).sum(axis=1) / total
-        return fx, fy, np.zeros(len(dx))
-
-    for epoch in range(epochs):
-        rate = 1.0 - epoch / epochs
-        ends = _at_ends(edges, hubs, pos)
-        dx, dy = F.col("x_u") - F.col("x_v"), F.col("y_u") - F.col("y_v")
-        d2 = F.greatest(dx * dx + dy * dy, F.lit(1e-12))
-        c = -2.0 * a * b * F.pow(d2, F.lit(b - 1)) / (1 + a * F.pow(d2, F.lit(b)))
-        pull = ends.groupBy(F.col("u").alias("id")).agg(
-            F.sum(F.col("w") * _clip(c * dx)).alias("px"), F.sum(F.col("w") * _clip(c * dy)).alias("py"),
-            F.sum("w").alias("degree"),
-        )
-        push = _push(_cells(pos), push_kernel)
-        moved = pos.join(pull, "id", "left").withColumn("_f", push("x", "y"))
-        step = {
-            axis: F.coalesce(2 * F.col(f"p{axis}") + 5 * F.col("degree") * F.col(f"_f.f{axis}"), F.lit(0.0))
-            for axis in ("x", "y")
-        }
-        pos = cut(moved.select("id", *[(F.col(k) + rate * _clip(v)).alias(k) for k, v in step.items()]))
-    return pos
+        return np.clip(c * dx, -4, 4), np.clip(c * dy, -4, 4), np.zeros(len(dx))
+
+    def pull(dx, dy, w):
+        d2 = np.maximum(dx * dx + dy * dy, 1e-12)
+        c = -2.0 * a * b * d2 ** (b - 1) / (1 + a * d2 ** b)
+        return w * np.clip(c * dx, -4, 4), w * np.clip(c * dy, -4, 4)
 
+    def move(pulled, pushed, degree, velocity, now):
+        step = np.clip(2 * pulled + 5 * degree * pushed[:2] / now.total, -4, 4)
+        return velocity, (1.0 - now.number / epochs) * step
 
-def tsne_layout(coords: DataFrame, id_col: str, edges: DataFrame, iterations: int = 1000, seed: int = 42) -> DataFrame:
+    return _laid_out(coords, id_col, 10.0, seed, edges, weights, epochs, kernel, pull, move)
+
+
+def tsne_layout(coords: DataFrame, id_col: str, edges: DataFrame, iterations: int = 1000, seed: int = 42,
+                weights: DataFrame | None = None) -> DataFrame:
     """(id, x, y): gradient layout of symmetric affinities, started from ``coords``.
 
-    A step is at most a tenth of the current extent, so that few iterations
-    already settle.
+    A step is at most a tenth of the current extent. The sum of closeness over
+    all pairs that scales the push is that of the iteration before, the same at rest.
+    ``weights`` (id, weight) says how many points one stands for.
     """
-    edges, hubs = _prepared(edges)
-    still = [F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy")]
-    pos = cut(_start(coords, id_col, 1.0, seed).select("*", *still))
     early = iterations // 4
 
-    def push_kernel(dx, dy, n, total):
+    def kernel(dx, dy):
         q = 1.0 / (1.0 + dx * dx + dy * dy)
-        return (q * q * dx * n).sum(axis=1), (q * q * dy * n).sum(axis=1), (q * n).sum(axis=1) - 1.0
-
-    for it in range(iterations):
-        boost, momentum = (12.0, 0.5) if it < early else (1.0, 0.8)
-        cells = _cells(pos)
-        pushed = pos.withColumn("_f", _push(cells, push_kernel)("x", "y"))
-        z = max(pushed.agg(F.sum("_f.z")).head()[0], 1e-12)
-        ends = _at_ends(edges, hubs, pos)
-        dx, dy = F.col("x_u") - F.col("x_v"), F.col("y_u") - F.col("y_v")
-        q = F.col("w") / (1 + dx * dx + dy * dy)
-        pull = ends.groupBy(F.col("u").alias("id")).agg(F.sum(q * dx).alias("px"), F.sum(q * dy).alias("py"))
-        rate = max(cells.total / 12.0 / 4.0, 50.0)
-        moved = pushed.join(pull, "id", "left")
-        for axis in ("x", "y"):
-            grad = 4 * (boost * F.coalesce(F.col(f"p{axis}"), F.lit(0.0)) - F.col(f"_f.f{axis}") / z)
-            moved = moved.withColumn(f"v{axis}", momentum * F.col(f"v{axis}") - _clip(rate * grad, 0.1 * cells.extent))
-        pos = cut(moved.select("id", (F.col("x") + F.col("vx")).alias("x"), (F.col("y") + F.col("vy")).alias("y"), "vx", "vy"))
-    return pos.select("id", "x", "y")
+        return q * q * dx, q * q * dy, q
+
+    def pull(dx, dy, w):
+        q = w / (1 + dx * dx + dy * dy)
+        return -q * dx, -q * dy
+
+    def move(pulled, pushed, degree, velocity, now):
+        boost, momentum = (12.0, 0.5) if now.number < early else (1.0, 0.8)
+        rate = max(now.total / 12.0 / 4.0, 50.0)
+        force = 4 * rate * (boost * pulled + pushed[:2] / max(now.z, 1e-12))
+        velocity = momentum * velocity + np.clip(force, -0.1 * now.extent, 0.1 * now.extent)
+        return velocity, velocity
+
+    return _laid_out(coords, id_col, 1.0, seed, edges, weights, iterations, kernel, pull, move)
 
 
 def reduce_all(points: DataFrame, id_col: str, vec_col: str, settings: AnalysisSettings = AnalysisSettings(),
-               epochs: int = 30, methods: tuple[str, ...] = ("pca", "tsne", "umap")) -> dict[str, DataFrame]:
-    """(id, pos) per method: t-SNE sees the principal scores of wide vectors, UMAP the standardised ones."""
+               epochs: int = 30, methods: tuple[str, ...] = ("pca", "tsne", "umap"), exact: bool = True) -> dict[str, DataFrame]:
+    """(id, pos) per method: t-SNE sees the principal scores of wide vectors, UMAP the standardised ones.
+
+    Of a crowd of equal vectors as many are laid out as have all their
+    neighbours among themselves, with the weight of all; the others lie with them. ``exact=False`` takes approximate neighbours.
+    """
     scaled, scaler = R.standardise(points.select(F.col(id_col).alias("id"), vec_col), vec_col)
     scaled = write_and_read(scaled.select("id", "scaled"), "scaled")
     fit = R.fit_pca(scaled, "id", "scaled", settings.pca_components, scaler.n)
     coords = write_and_read(scaled.select("id", fit.project(F.col("scaled")).alias("pos")), "pca-coords")
     out = {"pca": coords}
+    wide = len(scaler.mean) > 50
     if "tsne" in methods:
-        wide = len(scaler.mean) > 50
-        source, column = (coords, "pos") if wide else (scaled, "scaled")
+        source = coords.select("id", F.col("pos").alias("vec")) if wide else scaled.select("id", F.col("scaled").alias("vec"))
         k = min(3 * settings.perplexity, scaler.n - 1)
-        near = knn(source, "id", column, k)
-        edges = symmetrise(neighbor_weights(near, "tsne", settings.perplexity), "tsne")
-        out["tsne"] = tsne_layout(coords, "id", edges, settings.tsne_iterations, settings.seed).select(
-            "id", F.array("x", "y").alias("pos"))
+        firsts, weights, others = _thinned(source, k)
+        edges = symmetrise(neighbor_weights(knn(firsts, "id", "vec", k, exact=exact), "tsne", settings.perplexity), "tsne")
+        found = tsne_layout(coords.join(firsts.select("id"), "id", "left_semi"), "id", edges, settings.tsne_iterations, settings.seed, weights)
+        out["tsne"] = _beside(found, others).select("id", F.array("x", "y").alias("pos"))
     if "umap" in methods:
-        near = knn(scaled, "id", "scaled", min(settings.umap_neighbors, scaler.n - 1))
-        edges = symmetrise(neighbor_weights(near, "umap"), "umap")
-        out["umap"] = umap_layout(coords, "id", edges, settings.umap_min_dist, epochs, settings.seed).select(
-            "id", F.array("x", "y").alias("pos"))
+        k = min(settings.umap_neighbors, scaler.n - 1)
+        firsts, weights, others = _thinned(scaled.select("id", F.col("scaled").alias("vec")), k)
+        edges = symmetrise(neighbor_weights(knn(firsts, "id", "vec", k, exact=exact), "umap"), "umap")
+        found = umap_layout(coords.join(firsts.select("id"), "id", "left_semi"), "id", edges, settings.umap_min_dist, epochs, settings.seed, weights)
+        out["umap"] = _beside(found, others).select("id", F.array("x", "y").alias("pos"))
     return out
+
+
+def _thinned(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(rows with at most k + 1 copies of a vector, how many rows each stands for, the others (id, like) and the copy each goes with)."""
+    rows = rows.select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec")).filter(usable(F.col("vec")))
+    firsts, others = split_crowds(rows, k)
+    if others is None:
+        return firsts, None, None
+    like = F.element_at("near", (F.pmod(F.xxhash64("id"), F.size("near")) + 1).cast("int"))
+    others = write_and_read(others.select("id", like.alias("like")), "layout-others")
+    weights = others.groupBy(F.col("like").alias("id")).agg((F.count(F.lit(1)) + 1).cast("double").alias("weight"))
+    return firsts, weights, others
+
+
+def _beside(found: DataFrame, others: DataFrame | None) -> DataFrame:
+    """Places of all points: a copy that was left out lies where the one that stood for it lies."""
+    if others is None:
+        return found
+    placed = lookup_join(others, found.withColumnRenamed("id", "like"), "like", "id", "inner")
+    return found.select("id", "x", "y").unionByName(placed.select("id", "x", "y"))

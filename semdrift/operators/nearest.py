@@ -80,10 +80,10 @@ class Tree:
         return leaf, dist
 
 
-def grow(rows: DataFrame, n: int, leaf_rows: int) -> Tree:
-    """The tree of ``rows`` (id, vec); pivots come from rows drawn by the hash of their id."""
+def grow(rows: DataFrame, n: int, leaf_rows: int, seed: int = 0) -> Tree:
+    """The tree of ``rows`` (id, vec); pivots come from rows drawn by the hash of their id and the seed."""
     wanted = -(-n // leaf_rows)
-    sample = to_matrix(rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("vec").toArrow().column("vec"))
+    sample = to_matrix(rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE_ROWS).select("vec").toArrow().column("vec"))
     cells = _middles(sample, max(1, min(CELLS, round(wanted ** 0.5))))
     flat = Tree(cells, np.arange(len(cells) + 1), cells)
     located = rows.select("id", "vec", _located(rows, flat)("vec")["leaf"].alias("cell"))
@@ -93,7 +93,7 @@ def grow(rows: DataFrame, n: int, leaf_rows: int) -> Tree:
     # A crowded cell has more leaves than others, up to as many as it may have of all.
     share = np.minimum(-(-counts // leaf_rows), CELLS * LEAVES // len(cells) + counts * (CELLS * LEAVES) // max(1, n))
     limit = F.create_map(*[F.lit(int(v)) for c, s in enumerate(share) for v in (c, s)])
-    by_hash = Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(1)), "id")  # cut before the shuffle
+    by_hash = Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(seed + 1)), "id")  # cut before the shuffle
     drawn = located.withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= int(share.max(initial=1)))
     drawn = drawn.filter(F.col("nth") <= limit[F.col("cell").cast("int")]).select("cell", "nth", "vec").toArrow()
     order = np.lexsort((drawn.column("nth").to_numpy(), drawn.column("cell").to_numpy()))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from semdrift.functions.arrow import distances, to_matrix
 from semdrift.functions.vectors import cosine, usable
-from semdrift.operators import nearest
+from semdrift.operators import descent, nearest
 from semdrift.operators.skew import lookup_join
 from semdrift.session import write_and_read
 
@@ -35,29 +35,40 @@ def _emit(ids_a: np.ndarray, ids_b: np.ndarray, d: np.ndarray, k: int) -> pa.Tab
 NEIGHBORS = "id bigint, neighbor bigint, distance double"
 
 
-def knn(points: DataFrame, id_col: str, vec_col: str, k: int = 15, group: int | None = None) -> DataFrame:
-    """(id, neighbor, distance, rank): the k nearest other points, exactly.
+def knn(points: DataFrame, id_col: str, vec_col: str, k: int = 15, group: int | None = None, exact: bool = True) -> DataFrame:
+    """(id, neighbor, distance, rank): the k nearest other points.
 
-    ``nearest.search`` meets the leaves around each group of points first and
-    leaves out what the k-th distances so far rule out. Of a crowd of
+    ``nearest.search`` finds them exactly: it meets the leaves around each group of points first and
+    leaves out what the k-th distances so far rule out. Where vectors are of so many dimensions that little can be
+    ruled out, ``exact=False`` takes ``descent.approximate``, whose work grows with the points and not with their
+    square, and which misses a few. Of a crowd of
     equal points only the first k + 1 are searched; the others have the first
     k as their neighbours, at no distance. A point without a usable vector
     has no neighbours and is nobody's neighbour.
     """
     rows = points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     rows = rows.filter(usable(F.col("vec")))
+    search = nearest.search if exact else descent.approximate
+    firsts, others = split_crowds(rows, k)
+    if others is None:
+        return search(rows, k, group=group)
+    beside = others.select("id", F.posexplode(F.slice("near", 1, k)).alias("at", "neighbor"))
+    beside = beside.select("id", "neighbor", F.lit(0.0).alias("distance"), (F.col("at") + 1).alias("rank"))
+    return search(firsts, k, group=group).unionByName(beside)
+
+
+def split_crowds(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
+    """(the first k + 1 rows (id, vec) of every vector, the others (id, near) with the ids of those); None without others."""
     copies = rows.groupBy(F.xxhash64("vec").alias("h")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1)
     if copies.isEmpty():
-        return nearest.search(rows, k, group=group)
+        return rows, None
     by_id = Window.partitionBy("vec").orderBy("id")  # ranks are limited before the shuffle
     firsts = write_and_read(rows.withColumn("nth", F.row_number().over(by_id)).filter(F.col("nth") <= k + 1), "knn-firsts")
     crowds = firsts.groupBy("vec").agg(
-        F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list("id")), 1, k).alias("near")
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("id")).alias("near")
     ).filter(F.col("n") == k + 1).select("vec", "near")
     rest = rows.join(firsts.select("id"), "id", "left_anti")
-    others = lookup_join(rest, crowds, "vec", "id", "inner").select("id", F.posexplode("near").alias("at", "neighbor"))
-    others = others.select("id", "neighbor", F.lit(0.0).alias("distance"), (F.col("at") + 1).alias("rank"))
-    return nearest.search(firsts.select("id", "vec"), k, group=group).unionByName(others)
+    return firsts.select("id", "vec"), lookup_join(rest, crowds, "vec", "id", "inner").select("id", "near")
 
 
 def top_k_similar(corpus: DataFrame, queries: DataFrame, k: int, id_col: str, query_col: str,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from semdrift.config import AnalysisSettings, CleanSettings, eps_grid
 from semdrift.functions import text as X
 from semdrift.functions.vectors import norm
-from semdrift.operators import clean, cluster, embed, layout, reduce, similar
+from semdrift.operators import clean, cluster, descent, embed, layout, reduce, similar
 from semdrift.plans import stages
 from semdrift.plans.catalog.base import CORPUS, LABELLED, content_list, normalised, query
 from semdrift.session import scratch_path
@@ -298,6 +298,17 @@ def r07(spark, sf_dir):
     return near.select("id", "neighbor", F.round("distance", 6).alias("distance"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("r07_approximate_neighbours", f"""WITH {KNN}
+SELECT CAST(rank AS BIGINT) AS rank, true AS enough, count(*) AS places FROM ranked WHERE rank <= 15 GROUP BY rank""")
+def r07_approximate(spark, sf_dir):
+    """Places of the approximate lists by rank, and whether at least 0.9 of the exact neighbours up to that rank are in them."""
+    exact = similar.knn(vectors(spark, sf_dir), "vec_id", "embedding", 15)
+    found = similar.knn(vectors(spark, sf_dir), "vec_id", "embedding", 15, exact=False)
+    places = found.groupBy("rank").agg(F.count(F.lit(1)).alias("places"))
+    return descent.recall(found, exact).join(places, "rank").select(
+        F.col("rank").cast("bigint").alias("rank"), (F.col("recall") >= 0.9).alias("enough"), "places")
+
+
 def _weights_sql(k: int, prepared: str, value: str, goal: str, weight: str, combined: str) -> str:
     """Bisection of every point's scale over lists of distances, then both directions combined."""
     return f"""WITH RECURSIVE {KNN},
@@ -343,24 +354,34 @@ def r08_tsne(spark, sf_dir):
 
 @query("r09_umap_layout")
 def r09_umap(spark, sf_dir):
-    found = layout.reduce_all(vectors(spark, sf_dir), "vec_id", "embedding", epochs=8, methods=("umap",))
-    return reduce.xy(found["umap"], "id")
+    return reduce.xy(layout.reduce_all(vectors(spark, sf_dir), "vec_id", "embedding", methods=("umap",))["umap"], "id")
 
 
 @query("r09_tsne_layout")
 def r09_tsne(spark, sf_dir):
-    settings = AnalysisSettings(tsne_iterations=8)
-    return reduce.xy(layout.reduce_all(vectors(spark, sf_dir), "vec_id", "embedding", settings, methods=("tsne",))["tsne"], "id")
+    return reduce.xy(layout.reduce_all(vectors(spark, sf_dir), "vec_id", "embedding", methods=("tsne",))["tsne"], "id")
 
 
 @query("r10_reduce_all")
 def r10(spark, sf_dir):
-    settings = AnalysisSettings(tsne_iterations=3)
-    found = layout.reduce_all(vectors(spark, sf_dir), "vec_id", "embedding", settings, epochs=3)
+    found = layout.reduce_all(vectors(spark, sf_dir), "vec_id", "embedding")
     out = [reduce.xy(t, "id").withColumn("method", F.lit(m)) for m, t in found.items()]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@query("r10_layout_quality", """SELECT method, (SELECT count(*) FROM embeddings) AS n, true AS keeps_more_than_axes
+FROM (SELECT unnest(['tsne', 'umap']) AS method)""")
+def r10_quality(spark, sf_dir):
+    """Whether the finished layouts keep more of each point's 15 nearest others than the first two principal axes do."""
+    v = vectors(spark, sf_dir)
+    found = layout.reduce_all(v, "vec_id", "embedding")
+    flat = {"pca": found["pca"].select("id", F.slice("pos", 1, 2).alias("pos")), "tsne": found["tsne"], "umap": found["umap"]}
+    true = similar.knn(reduce.standardise(v, "embedding")[0], "vec_id", "scaled", 15).select("id", "neighbor")
+    shares = {m: similar.knn(t, "id", "pos", 15).join(true, ["id", "neighbor"]).count() for m, t in flat.items()}
+    n = v.count()
+    return spark.createDataFrame([(m, n, shares[m] > shares["pca"]) for m in ("tsne", "umap")], "method string, n bigint, keeps_more_than_axes boolean")
+
+
 # ------------------------------------------------------------------------ clustering
 
 

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from semdrift.operators import embed, nearest, reduce, similar
+from semdrift.operators import descent, embed, nearest, reduce, similar
 from semdrift.operators import drift as D
 
 
@@ -100,6 +100,21 @@ def test_tree_search_is_exact_and_ships_little(spark, monkeypatch):
     assert nearest.group_rows(500) < 500  # several groups on the smallest table of vectors
 
 
+@pytest.mark.parametrize("kind", ["clustered", "anywhere"])
+def test_descent_finds_most_neighbours(spark, kind):
+    x = clustered(3000) if kind == "clustered" else np.random.default_rng(9).normal(size=(2000, 24))
+    x[:60] = x[0]  # a crowd of copies
+    rows = frame(spark, x).repartition(6)
+    exact = similar.knn(rows, "id", "v", 10).cache()
+    found = similar.knn(rows, "id", "v", 10, exact=False).cache()
+    shares = {r["rank"]: r["recall"] for r in descent.recall(found, exact).collect()}
+    assert sorted(shares) == list(range(1, 11)) and min(shares.values()) >= 0.9
+    assert found.groupBy("id").count().filter("count <> 10").count() == 0
+    assert found.join(exact.select("id", "neighbor", F.col("distance").alias("d")), ["id", "neighbor"]).filter("distance <> d").count() == 0
+    few = similar.knn(frame(spark, x[:3]), "id", "v", 5, exact=False)
+    assert few.count() == 6 and similar.knn(rows.filter("id < 0"), "id", "v", 5, exact=False).count() == 0
+
+
 def test_tree_search_for_other_queries(spark):
     rng = np.random.default_rng(8)
     c, q = clustered(3000, 1, 4), np.concatenate([clustered(300, 2, 4), rng.normal(1000, 1, (20, 4))])
