@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from semdrift.operators.skew import lookup_join, number_rows, number_within
-from semdrift.session import cut
+from semdrift.session import write_and_read
 
 
 def unify_record(line: Column) -> Column:
@@ -137,44 +137,173 @@ def weighted_sample(samples: DataFrame, id_col: str, weights: list[tuple[str, in
 def _first_come(placed: DataFrame, id_col: str) -> DataFrame:
     """Ids of samples none of whose texts occurs earlier in their batch; a batch is bounded by its size."""
     texts = placed.select("batch", id_col, "pos", F.explode(F.array_distinct("texts")).alias("text"))
-    earlier = Window.partitionBy("batch", F.md5("text"), "text").orderBy("pos")
+    earlier = Window.partitionBy("batch", F.md5("text"), "text").orderBy("pos", id_col)
     ranked = texts.withColumn("_nth", F.row_number().over(earlier))
     return ranked.groupBy("batch", id_col).agg(F.max("_nth").alias("_worst")).filter(F.col("_worst") == 1).select("batch", id_col)
 
 
+#: Below this share of accepted offers the rounds turn from offers at random to offers of places known to fit.
+FEW_ACCEPTED = 0.1
+
+
+def _marks(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each different text of a sample, by its md5."""
+    return rows.select(*columns, F.explode(F.array_distinct("texts")).alias("_t")).select(*columns, F.md5("_t").alias("mark"))
+
+
+def _at_random(waiting: DataFrame, rooms: DataFrame, turn: int) -> DataFrame:
+    """(use, batch): every waiting sample is offered one room of its dataset."""
+    sizes = rooms.groupBy("dataset").agg(F.count(F.lit(1)).alias("_r"))  # one row per dataset
+    at = F.pmod(F.xxhash64("use", F.lit(turn)), F.col("_r"))
+    return waiting.join(F.broadcast(sizes), "dataset").withColumn("idx", at).join(rooms, ["dataset", "idx"]).select("use", "batch")
+
+
+def _where_it_fits(waiting: DataFrame, rooms: DataFrame, held: DataFrame) -> DataFrame:
+    """(use, batch): for every waiting sample that fits anywhere a room that holds none of its texts.
+
+    Texts that all rooms of a dataset hold, fewer than one batch has,
+    rule their samples out at once. For the others the rooms that hold a text of the sample are
+    counted off from a start of its own; the first number missing is its offer.
+    """
+    sizes = F.broadcast(rooms.groupBy("dataset").agg(F.count(F.lit(1)).alias("_r")))  # one row per dataset
+    blocks = write_and_read(held.join(rooms.select("batch", "dataset", "idx"), "batch").select("dataset", "mark", "idx"), "batch-blocks")
+    everywhere = blocks.groupBy("dataset", "mark").agg(F.count(F.lit(1)).alias("_n")).join(sizes, "dataset").filter("_n = _r")
+    marks = _marks(waiting, "use", "dataset")
+    out = marks.join(F.broadcast(everywhere.select("dataset", "mark")), ["dataset", "mark"], "left_semi").select("use").distinct()
+    left = waiting.join(out, "use", "left_anti").join(sizes, "dataset").select("use", "dataset", "_r")
+    left = write_and_read(left.withColumn("_from", F.pmod(F.xxhash64("use"), F.col("_r"))), "batch-open")
+    blocked = marks.join(left, ["use", "dataset"]).join(blocks, ["dataset", "mark"])
+    blocked = blocked.select("use", F.pmod(F.col("idx") - F.col("_from"), F.col("_r")).alias("_at")).distinct()
+    counted = blocked.withColumn("_nth", F.row_number().over(Window.partitionBy("use").orderBy("_at")) - 1)
+    gaps = counted.groupBy("use").agg(
+        F.coalesce(F.min(F.when(F.col("_at") != F.col("_nth"), F.col("_nth"))), F.count(F.lit(1))).alias("_gap")
+    )
+    offers = left.join(gaps, "use", "left").withColumn("_gap", F.coalesce("_gap", F.lit(0))).filter(F.col("_gap") < F.col("_r"))
+    offers = offers.withColumn("idx", F.pmod(F.col("_gap") + F.col("_from"), F.col("_r")))
+    return offers.join(rooms, ["dataset", "idx"]).select("use", "batch")
+
+
+def fill_batches(uses: DataFrame, capacity: DataFrame) -> DataFrame:
+    """(use, batch): batches in which no text occurs twice, filled until no waiting sample fits any place left.
+
+    ``uses`` has (use, dataset, texts, pos, batch): samples with the batch
+    they are meant for, or NULL; ``capacity`` has (batch, dataset, places). First every batch keeps, in the order of
+    ``pos``, what repeats none of its texts. Then rounds: each waiting sample is offered a batch
+    with room for its dataset; a batch accepts, in order, offers that repeat none of its texts or of an earlier offer, one for each
+    place. Rounds end when no sample fits any room: every one that still waits
+    (batch NULL) shares a text with each batch that has room for its dataset.
+    """
+    rows = write_and_read(uses.select("use", "dataset", "texts", "pos", "batch"), "batch-uses")
+    kept = _first_come(rows.filter("batch IS NOT NULL"), "use")
+    placed = write_and_read(rows.select("use", "dataset", "batch").join(kept, ["batch", "use"]).select("use", "dataset", "batch"), "batch-placed")
+    waiting = write_and_read(rows.drop("batch").join(placed.select("use"), "use", "left_anti"), "batch-waiting")
+    held = write_and_read(_marks(rows.join(placed.select("use"), "use", "left_semi"), "batch"), "batch-texts")
+    parts, turn, exact = [placed], 0, False
+    by_dataset = Window.partitionBy("dataset").orderBy("batch")  # rooms: one row for a batch and dataset
+    taken = placed.groupBy("batch", "dataset").agg(F.count(F.lit(1)).alias("taken"))
+    room = F.col("places") - F.coalesce("taken", F.lit(0))
+    rooms = capacity.join(taken, ["batch", "dataset"], "left").select("batch", "dataset", room.alias("room")).filter("room > 0")
+    while True:
+        n_waiting = waiting.count()
+        rooms = write_and_read(rooms.withColumn("idx", F.row_number().over(by_dataset) - 1), "batch-rooms")
+        if not n_waiting or rooms.isEmpty():
+            break
+        turn += 1
+        held = write_and_read(held.join(rooms.select("batch").distinct(), "batch", "left_semi"), "batch-texts")
+        offers = write_and_read(_where_it_fits(waiting, rooms, held) if exact else _at_random(waiting, rooms, turn), "batch-offers")
+        if exact and offers.isEmpty():
+            break
+        offered = offers.join(waiting, "use")
+        if not exact:
+            repeated = _marks(offered, "use", "batch").join(held, ["batch", "mark"], "left_semi").select("use").distinct()
+            offered = offered.join(repeated, "use", "left_anti")
+        first = offered.join(_first_come(offered, "use"), ["batch", "use"]).join(rooms.select("batch", "dataset", "room"), ["batch", "dataset"])
+        nth = F.row_number().over(Window.partitionBy("batch", "dataset").orderBy("pos", "use"))
+        accepted = first.withColumn("_nth", nth).filter(F.col("_nth") <= F.col("room"))
+        accepted = write_and_read(accepted.select("use", "dataset", "batch"), "batch-accepted")
+        n = accepted.count()
+        exact = exact or n < FEW_ACCEPTED * n_waiting
+        if not n:
+            continue
+        parts.append(accepted)
+        held = held.unionByName(_marks(waiting.join(accepted.select("use", "batch"), "use"), "batch"))
+        waiting = write_and_read(waiting.join(accepted.select("use"), "use", "left_anti"), "batch-waiting")
+        more = accepted.groupBy("batch", "dataset").agg(F.count(F.lit(1)).alias("more"))
+        rooms = rooms.join(more, ["batch", "dataset"], "left").select(
+            "batch", "dataset", (F.col("room") - F.coalesce("more", F.lit(0))).alias("room")
+        ).filter("room > 0")
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.select("use", "batch").unionByName(waiting.select("use", F.lit(None).cast("bigint").alias("batch")))
+
+
 def unique_batches(ordered: DataFrame, id_col: str, size: int) -> DataFrame:
-    """(id, batch, complete): batches in which no text occurs twice.
+    """(id, batch, complete): batches of ``size`` in which no text occurs twice.
 
-    ``ordered`` has (id, texts, row_no). Pass one cuts the order into batches
-    and sets aside every sample that repeats an earlier text of its batch.
-    Pass two offers the set-aside samples, in order, to the free places and
-    keeps those whose texts are new there. The rest keep a NULL batch, as
+    ``ordered`` has (id, texts, row_no): the order is cut into batches, and
+    :func:`fill_batches` finds other ones for samples that repeat a text. Those that fit nowhere keep a NULL batch, as
     samples passed over in this epoch: no sample is lost.
     """
-    rows = ordered.select(
-        id_col, "texts", F.floor((F.col("row_no") - 1) / size).cast("bigint").alias("batch"), F.col("row_no").alias("pos")
-    )
-    winners = _first_come(rows, id_col)
-    placed = cut(rows.join(winners.withColumn("_in", F.lit(True)), ["batch", id_col], "left"))
-    kept, held = placed.filter("_in"), placed.filter(F.col("_in").isNull())
-    free = placed.groupBy("batch").agg((F.lit(size) - F.count("_in")).alias("free")).filter("free > 0")
-    places = number_rows(
-        free.select("batch", F.explode(F.sequence(F.lit(1), F.col("free").cast("int"))).alias("nth")),
-        [F.col("batch"), F.col("nth")], "turn",
-    )
-    waiting = number_rows(held.select(id_col, "texts", "pos"), [F.col("pos")], "turn")
-    # Offers sort behind the kept samples of their batch, so a kept text always wins.
-    offered = waiting.join(places.select("turn", "batch"), "turn", "left").cache()
-    try:
-        seen = kept.select("batch", id_col, "texts", "pos").unionByName(
-            offered.filter(F.col("batch").isNotNull()).select(
-                "batch", id_col, "texts", (F.col("pos") + F.lit(1 << 40)).alias("pos"))
-        )
-        accepted = cut(_first_come(seen, id_col).select(id_col, "batch"))
-        left_out = cut(waiting.select(id_col).join(accepted.select(id_col), id_col, "left_anti"))
-    finally:
-        offered.unpersist()
-    sizes = accepted.groupBy("batch").agg((F.count(F.lit(1)) == size).alias("complete"))
-    return accepted.join(sizes, "batch").select(id_col, "batch", "complete").unionByName(
-        left_out.select(id_col, F.lit(None).cast("bigint").alias("batch"), F.lit(False).alias("complete"))
+    cut_to = F.floor((F.col("row_no") - 1) / size).cast("bigint")
+    rows = ordered.select(F.col("row_no").alias("use"), F.lit("").alias("dataset"), "texts", F.col("row_no").alias("pos"), cut_to.alias("batch"), id_col)
+    rows = write_and_read(rows, "batch-ordered")
+    capacity = rows.select("batch", "dataset", F.lit(size).alias("places")).distinct()
+    found = fill_batches(rows.drop(id_col), capacity)
+    sizes = found.groupBy("batch").agg((F.count(F.lit(1)) == size).alias("complete"))
+    return found.join(rows.select("use", id_col), "use").join(sizes, "batch", "left").select(
+        id_col, "batch", F.coalesce("complete", F.lit(False)).alias("complete")
     )
+
+
+def batch_capacity(spark: SparkSession, weights: list[tuple[str, int, int]], plan: BatchPlan, n_batches: int, seed: int = 42) -> DataFrame:
+    """(batch, dataset, places): what the weighted draws ask of every batch."""
+    draws = draw_datasets(spark.range(n_batches).select(F.col("id").alias("batch")), weights, plan.datasets_per_batch, seed)
+    return draws.groupBy("batch", "dataset").agg((F.count(F.lit(1)) * plan.per_dataset).alias("places"))
+
+
+def training_batches(samples: DataFrame, id_col: str, weights: list[tuple[str, int, int]], plan: BatchPlan,
+                     n_batches: int, seed: int = 42) -> DataFrame:
+    """(use, batch, dataset, id): batches over weighted draws, of one arity each, in which no text occurs twice.
+
+    The draws of :func:`weighted_sample` come first; samples that were not
+    drawn wait behind them, so a place stays free only if no sample of its dataset fits. A sample drawn again in a
+    later round of its dataset is another use of it. Uses without a batch are passed over.
+    """
+    drawn = weighted_sample(samples, id_col, weights, plan, n_batches, seed)
+    drawn = write_and_read(drawn.select("batch", "dataset", id_col, "draw", "slot"), "batch-draws")
+    place = (F.col("batch") * plan.datasets_per_batch + F.col("draw")) * plan.per_dataset + F.col("slot")
+    meant = drawn.select(place.alias("use"), "dataset", F.col(id_col), place.alias("pos"), "batch")
+    behind = n_batches * plan.global_size
+    known = [n for n, _, _ in weights]
+    rest = samples.filter(F.col("dataset").isin(known)).select("dataset", id_col).join(drawn.select("dataset", id_col), ["dataset", id_col], "left_anti")
+    rest = number_rows(rest.withColumn("_key", epoch_order(F.lit(seed), F.lit("rest"), F.col(id_col))), [F.col("_key"), F.col("dataset"), F.col(id_col)], "_no")
+    rest = rest.select((F.col("_no") + behind).alias("use"), "dataset", F.col(id_col), (F.col("_no") + behind).alias("pos"), F.lit(None).cast("bigint").alias("batch"))
+    uses = write_and_read(meant.unionByName(rest).join(samples.select("dataset", id_col, "texts"), ["dataset", id_col]), "batch-meant")
+    found = fill_batches(uses.drop(id_col), batch_capacity(samples.sparkSession, weights, plan, n_batches, seed))
+    return found.join(uses.select("use", "dataset", id_col), "use").select("use", "batch", "dataset", id_col)
+
+
+def batch_faults(batches: DataFrame, samples: DataFrame, id_col: str, capacity: DataFrame) -> DataFrame:
+    """(batch, places, over, arities, repeats, fitting): for each batch its places, members beyond them, arities, texts that
+    occur twice, and samples without a batch that share no text with it though it has a free place for their dataset.
+
+    A check by the definition, apart from the rounds that fill batches.
+    """
+    rows = write_and_read(batches.join(samples.select("dataset", id_col, "texts"), ["dataset", id_col]), "batch-checked")
+    members, waiting = rows.filter("batch IS NOT NULL"), rows.filter("batch IS NULL")
+    marks = _marks(members, "batch", "use")
+    repeats = marks.groupBy("batch", "mark").count().groupBy("batch").agg(F.count_if(F.col("count") > 1).alias("repeats"))
+    arities = members.groupBy("batch").agg(F.count_distinct(F.size("texts")).alias("arities"))
+    filled = capacity.join(members.groupBy("batch", "dataset").agg(F.count(F.lit(1)).alias("n")), ["batch", "dataset"], "full")
+    filled = filled.select("batch", "dataset", F.coalesce("places", F.lit(0)).alias("places"), F.coalesce("n", F.lit(0)).alias("n"))
+    sizes = filled.groupBy("batch").agg(F.sum("places").alias("places"), F.sum(F.greatest(F.col("n") - F.col("places"), F.lit(0))).alias("over"))
+    # Samples that wait for the dataset of a short batch, less those that share a text with it.
+    short = filled.filter("n < places").select("batch", "dataset")
+    wait = short.join(waiting.groupBy("dataset").agg(F.count(F.lit(1)).alias("wait")), "dataset").groupBy("batch").agg(F.sum("wait").alias("wait"))
+    there = marks.select("batch", "mark").distinct().join(short, "batch")
+    shared = _marks(waiting, "use", "dataset").join(there, ["dataset", "mark"]).groupBy("batch").agg(F.count_distinct("use").alias("shared"))
+    out = sizes.join(arities, "batch", "left").join(repeats, "batch", "left").join(wait, "batch", "left").join(shared, "batch", "left")
+    whole = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("places", "over", "arities", "repeats")]
+    fitting = (F.coalesce("wait", F.lit(0)) - F.coalesce("shared", F.lit(0))).cast("bigint").alias("fitting")
+    return out.select("batch", *whole, fitting)

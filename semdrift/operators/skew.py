@@ -12,6 +12,8 @@ from semdrift.session import cut
 
 HOT_ROWS = 1_000_000
 SALTS = 64
+#: A table of so many keys at most, counted, travels to the tasks.
+FEW_KEYS = 100_000
 
 
 def lookup_join(
@@ -94,7 +96,11 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str = "row_no") ->
 def number_within(df: DataFrame, group: str, order: Sequence[Column], name: str = "row_no") -> DataFrame:
     """1-based row number inside each group; groups may be large but few (datasets, clusters)."""
     numbered = number_rows(df, [F.col(group), *order], "_global")
-    starts = numbered.groupBy(group).agg((F.min("_global") - 1).alias("_start"))
-    return lookup_join(numbered, starts, group, "_global", "inner").withColumn(
+    starts = cut(numbered.groupBy(group).agg((F.min("_global") - 1).alias("_start")))
+    if starts.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
+        joined = numbered.join(F.broadcast(starts), group)
+    else:
+        joined = lookup_join(numbered, starts, group, "_global", "inner")
+    return joined.withColumn(
         name, F.col("_global") - F.col("_start")
     ).drop("_global", "_start")

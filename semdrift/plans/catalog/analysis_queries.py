@@ -12,7 +12,7 @@ from semdrift.operators.skew import number_rows
 from semdrift.plans import plotdata, report
 from semdrift.plans.catalog.base import CENTROIDS, CORPUS, LABELLED, query
 from semdrift.plans.catalog.vector_queries import long_rounded, vectors
-from semdrift.session import scratch_path
+from semdrift.session import scratch_path, write_and_read
 from semdrift.sources import landed, sinks
 from semdrift.sources.corpus import corpus, table
 from semdrift.streaming import stream
@@ -487,33 +487,29 @@ def p04(spark, sf_dir):
     return drawn.select("batch", F.col("draw").cast("bigint").alias("draw"), F.col("slot").cast("bigint").alias("slot"), "dataset", "id")
 
 
-def _unique_sql(size: int) -> str:
-    return f"""{SAMPLES},
-ordered AS (SELECT id, texts, row_number() OVER (ORDER BY md5('42:0:' || id), id) AS pos FROM samples),
-placed AS (SELECT *, (pos - 1) // {size} AS batch FROM ordered),
-worst AS (SELECT id, batch, max(nth) AS w FROM (
-  SELECT id, batch, row_number() OVER (PARTITION BY batch, text ORDER BY pos) AS nth
-  FROM (SELECT id, batch, pos, unnest(list_distinct(texts)) AS text FROM placed)) GROUP BY ALL),
-kept AS (SELECT p.* FROM placed p JOIN worst USING (id, batch) WHERE w = 1),
-held AS (SELECT p.id, p.texts, p.pos, row_number() OVER (ORDER BY p.pos) AS turn FROM placed p JOIN worst USING (id, batch) WHERE w > 1),
-free AS (SELECT p.batch, {size} - count(k.id) AS free FROM placed p LEFT JOIN kept k USING (id) GROUP BY p.batch),
-places AS (SELECT batch, row_number() OVER (ORDER BY batch, nth) AS turn FROM (
-  SELECT batch, unnest(generate_series(1, free)) AS nth FROM free WHERE free > 0)),
-seen AS (SELECT id, batch, texts, pos FROM kept UNION ALL
-         SELECT id, batch, texts, pos + 1000000000 FROM held JOIN places USING (turn)),
-final AS (SELECT id, batch, max(nth) AS w FROM (
-  SELECT id, batch, row_number() OVER (PARTITION BY batch, text ORDER BY pos) AS nth
-  FROM (SELECT id, batch, pos, unnest(list_distinct(texts)) AS text FROM seen)) GROUP BY ALL),
-accepted AS (SELECT id, batch FROM final WHERE w = 1),
-sizes AS (SELECT batch, count(*) = {size} AS complete FROM accepted GROUP BY batch)"""
-
-
-@query("p05_unique_batches", f"""WITH {_unique_sql(64)}
-SELECT s.id, a.batch, coalesce(z.complete, false) AS complete FROM samples s LEFT JOIN accepted a USING (id) LEFT JOIN sizes z USING (batch)""")
+@query("p05_unique_batches", f"""WITH {DRAWS}
+SELECT batch, CAST({PLAN.global_size} AS BIGINT) AS places, CAST(0 AS BIGINT) AS over, CAST(1 AS BIGINT) AS arities,
+       CAST(0 AS BIGINT) AS repeats, CAST(0 AS BIGINT) AS fitting FROM batches""")
 def p05(spark, sf_dir):
+    """Batches over the weighted draws: of one arity, no text twice, short only where no waiting sample fits."""
+    rows = samples(spark, sf_dir)
+    n_batches = -(-rows.count() // PLAN.global_size)
+    found = write_and_read(batches.training_batches(rows, "id", WEIGHTS, PLAN, n_batches), "p05-batches")
+    return batches.batch_faults(found, rows, "id", batches.batch_capacity(spark, WEIGHTS, PLAN, n_batches))
+
+
+@query("p05_batches_in_order", f"""WITH {SAMPLES}
+SELECT pos // 64 AS batch, CAST(64 AS BIGINT) AS places, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS repeats,
+       CAST(0 AS BIGINT) AS fitting FROM (SELECT row_number() OVER () - 1 AS pos FROM samples) GROUP BY 1""")
+def p05_in_order(spark, sf_dir):
+    """Batches of 64 along one shuffled order, whatever the dataset."""
     rows = samples(spark, sf_dir).withColumn("_key", batches.epoch_order(F.lit(42), F.lit(0), F.col("id")))
     ordered = number_rows(rows.select("id", "texts", "_key"), [F.col("_key"), F.col("id")])
-    return batches.unique_batches(ordered.select("id", "texts", "row_no"), "id", 64)
+    found = write_and_read(batches.unique_batches(ordered.select("id", "texts", "row_no"), "id", 64), "p05-ordered")
+    n_batches = -(-rows.count() // 64)
+    capacity = spark.range(n_batches).select(F.col("id").alias("batch"), F.lit("").alias("dataset"), F.lit(64).alias("places"))
+    uses = found.select(F.monotonically_increasing_id().alias("use"), F.lit("").alias("dataset"), "id", "batch")
+    return batches.batch_faults(uses, rows.withColumn("dataset", F.lit("")), "id", capacity).drop("arities")
 
 
 @query("p06_batch_sizes", f"""WITH {SAMPLES}

@@ -67,3 +67,55 @@ def test_batches_never_repeat_a_text(spark):
         assert max(seen.values()) == 1 and len(members) <= 20
         assert all(r["complete"] == (len(members) == 20) for r in members)
     assert len(placed) == 15
+    for r in got:  # whatever waits would repeat a text in every short batch
+        if r["batch"] is None:
+            for members in placed.values():
+                assert len(members) == 20 or set(texts[r["id"]]) & {t for m in members for t in texts[m["id"]]}
+
+
+def faults_by_hand(uses, texts, arity):
+    """Checks batches row by row: (repeats, mixed arities, waiting samples that fit a short batch of their dataset)."""
+    members = {}
+    for use, batch, dataset, i in uses:
+        if batch is not None:
+            members.setdefault(batch, []).append((dataset, i))
+    repeats = sum(max(Counter(t for _, i in m for t in set(texts[i])).values()) > 1 for m in members.values())
+    mixed = sum(len({arity[d] for d, _ in m}) > 1 for m in members.values())
+    return members, repeats, mixed
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_batches_over_draws_reach_a_fixed_point(spark, seed):
+    """Datasets of very different sizes, a text that half of one dataset shares, pairs of texts that bar each other."""
+    rows = [(("a", "b", "c")[i % 7 // 3], i, [f"t{i % 90}", "hot" if i % 2 and i % 7 < 3 else f"u{i % 70}"]) for i in range(700)]
+    rows = [(d, i, [*t, f"w{i % 33}"] if d == "c" else t) for d, i, t in rows]
+    samples = spark.createDataFrame(rows, "dataset string, id bigint, texts array<string>")
+    weights, plan, n = [("a", 3, 2), ("b", 2, 2), ("c", 1, 3)], batches.BatchPlan(5, 2, 2), 60
+    found = batches.training_batches(samples, "id", weights, plan, n, seed)
+    capacity = batches.batch_capacity(spark, weights, plan, n, seed)
+    uses, texts = [tuple(r) for r in found.collect()], {i: t for _, i, t in rows}
+    members, repeats, mixed = faults_by_hand(uses, texts, {n: a for n, _, a in weights})
+    assert repeats == mixed == 0 and len({u[0] for u in uses}) == len(uses)
+    assert {u[3] for u in uses} == set(texts)  # no sample is lost
+    room = {(r["batch"], r["dataset"]): r["places"] for r in capacity.collect()}
+    for batch, m in members.items():
+        for dataset, k in Counter(d for d, _ in m).items():
+            assert k <= room[batch, dataset]
+            room[batch, dataset] -= k
+    for (batch, dataset), left in room.items():
+        if left:
+            there = {t for _, i in members.get(batch, []) for t in texts[i]}
+            assert all(set(texts[i]) & there for _, b, d, i in uses if b is None and d == dataset)
+    faults = batches.batch_faults(found, samples, "id", capacity).collect()
+    assert len(faults) == n and all((r["places"], r["over"], r["arities"], r["repeats"], r["fitting"]) == (plan.global_size, 0, 1, 0, 0) for r in faults)
+
+
+def test_faults_are_seen(spark):
+    rows = [("a", i, [f"t{i % 5}", f"u{i}"]) for i in range(12)] + [("b", 20, ["x", "y", "z"])]
+    samples = spark.createDataFrame(rows, "dataset string, id bigint, texts array<string>")
+    capacity = spark.createDataFrame([(0, "a", 4), (0, "b", 4), (1, "a", 2)], "batch bigint, dataset string, places bigint")
+    uses = [(0, 0, "a", 0), (1, 0, "a", 5), (2, 0, "b", 20), (3, 1, "a", 1), (4, 1, "a", 2), (5, 1, "a", 3), (6, None, "a", 4), (7, None, "a", 10)]
+    found = spark.createDataFrame(uses, "use bigint, batch bigint, dataset string, id bigint")
+    rows = {r["batch"]: r for r in batches.batch_faults(found, samples, "id", capacity).collect()}
+    assert (rows[0]["arities"], rows[0]["repeats"], rows[0]["fitting"], rows[0]["over"]) == (2, 1, 1, 0)
+    assert (rows[1]["arities"], rows[1]["repeats"], rows[1]["fitting"], rows[1]["over"]) == (1, 0, 0, 1)
