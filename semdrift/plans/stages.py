@@ -1,13 +1,14 @@
 """A whole corpus run: stage tables in, stage tables out.
 
 Each stage is a DataFrame function; only the cleaned corpus, the vectors, the
-coordinates, the labels and the small result tables are written. A stage whose
-input did not change does no work again.
+coordinates, the labels and the small result tables are kept, each committed
+by a manifest. A stage whose input did not change does no work again.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -19,7 +20,8 @@ from semdrift.functions import stopwords
 from semdrift.operators import clean, cluster, drift, embed, layout, meta, reduce
 from semdrift.operators.skew import number_rows
 from semdrift.plans import report
-from semdrift.session import write_and_read
+from semdrift.plans.manifest import Store, digest, fingerprint
+from semdrift.session import scratch_tables, write_and_read
 from semdrift.sources import sinks
 
 
@@ -57,36 +59,29 @@ def made_by(*settings: object, table: DataFrame | None = None) -> str:
     return hashlib.md5("|".join(parts).encode()).hexdigest()
 
 
-def made_so(previous: DataFrame | None, how: str) -> DataFrame | None:
-    """The rows of a stage table that were made with these settings; others are made anew."""
-    if previous is None or "made_by" not in previous.columns:
-        return None
-    return previous.filter(F.col("made_by") == how)
+def _inputs(*tables: DataFrame | None) -> str:
+    """What tables hold: from the listing of their files, or from their rows where they read none."""
+    return digest(*[None if t is None else fingerprint(t) or made_by(table=t) for t in tables])
 
 
 def clean_stage(spark: SparkSession, documents: DataFrame, places: Places, settings: Settings,
                 lemmas: DataFrame | None = None) -> DataFrame:
     """Cleaned texts with their measures; unchanged documents keep the stored row while settings and lemmas are the same."""
-    usable, rejects = clean.split_rejects(documents, "filename")
-    sinks.write_table(rejects, places.rejects)
-    hashed = usable.withColumn("raw_md5", F.md5("text"))
-    how = made_by(settings.clean, stopwords.DEFAULT, table=lemmas if settings.clean.use_lemmas else None)
-    previous = made_so(stored(spark, places.cleaned), how)
-    todo = fresh(hashed, previous)
-    done = clean.clean_and_measure(todo.select("filename", "text"), "filename", settings.clean, lemmas)
-    done = done.join(todo.select("filename", "raw_md5"), "filename").withColumn("made_by", F.lit(how))
-    if previous is not None:
-        kept = previous.join(hashed.select("filename", "raw_md5"), ["filename", "raw_md5"], "left_semi")
-        done = kept.unionByName(done)
-    return _replace(spark, done, places.cleaned)
-
-
-def _replace(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """Write beside the old table first: the new one may be read from it."""
-    staging = f"{path}.next"
-    sinks.write_table(df, staging)
-    spark.read.parquet(staging).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    store = Store(spark, places.root)
+    made_from = _inputs(documents)
+    used = lemmas if settings.clean.use_lemmas else None
+    how = made_by(settings.clean, stopwords.DEFAULT, _inputs(used))
+
+    def current() -> DataFrame:
+        usable, rejects = clean.split_rejects(documents, "filename")
+        sinks.write_table(rejects, places.rejects)
+        return usable.withColumn("raw_md5", F.md5("text"))
+
+    def make(todo: DataFrame) -> DataFrame:
+        done = clean.clean_and_measure(todo.select("filename", "text"), "filename", settings.clean, lemmas)
+        return done.join(todo.select("filename", "raw_md5"), "filename")
+
+    return store.keyed("cleaned", made_from, how, current, "filename", "raw_md5", make)
 
 
 def embed_stage(spark: SparkSession, cleaned: DataFrame, places: Places, settings: Settings, encode=None,
@@ -95,56 +90,126 @@ def embed_stage(spark: SparkSession, cleaned: DataFrame, places: Places, setting
 
     The settings do not tell one ``encode`` from another: ``force`` after a change of encoder.
     """
-    how = made_by(settings.embed)
-    gate = cleaned.filter(embed.long_enough(F.col("text"), settings.embed.min_chars))
-    current = gate.select("filename", "text", F.md5("text").alias("content_md5"))
+    store = Store(spark, places.root)
     if encode is None:
         def encode(docs: DataFrame) -> DataFrame:
             return embed.embed_documents(docs, "filename", settings.embed.dim, min_chars=settings.embed.min_chars,
                                          max_chars=settings.embed.max_chars)
-    done = embed.refresh_store(current, _vectors(stored(spark, places.embeddings), how), encode, force=force)
-    done = done.select("filename", "content_md5", "embedding", F.lit(how).alias("made_by"))
-    return _replace(spark, done, places.embeddings).drop("made_by")
 
+    def current() -> DataFrame:
+        gate = cleaned.filter(embed.long_enough(F.col("text"), settings.embed.min_chars))
+        return gate.select("filename", "text", F.md5("text").alias("content_md5"))
 
-def _vectors(previous: DataFrame | None, how: str) -> DataFrame | None:
-    same = made_so(previous, how)
-    return None if same is None else same.drop("made_by")
+    before = store.manifest("embeddings")
+    how = made_by(settings.embed, before.version if force and before else None)
+    if before is not None and not force and before.settings.split(":")[0] == how:
+        how = before.settings  # forced before, with these settings
+    elif force:
+        how = f"{made_by(settings.embed, None)}:{how}"
+    done = store.keyed("embeddings", _inputs(cleaned), how, current, "filename", "content_md5", encode)
+    return done.select("filename", "content_md5", "embedding")
 
 
 def run(spark: SparkSession, documents: DataFrame, root: str, settings: Settings = Settings(),
         lemmas: DataFrame | None = None, raw_metadata: DataFrame | None = None, encode=None,
-        methods: tuple[str, ...] = ("pca", "tsne", "umap"), force: bool = False) -> dict[str, DataFrame]:
-    """From keyed documents to all result tables below ``root``."""
-    places = Places(root)
-    cleaned = clean_stage(spark, documents, places, settings, lemmas)
-    stats = cleaned.drop("text", "raw_md5", "made_by")
-    stats = clean.with_metadata(stats, raw_metadata) if raw_metadata is not None else None
+        methods: tuple[str, ...] = ("pca", "tsne", "umap"), force: bool = False,
+        title: str = "Corpus Analysis Summary Report", generated: str = "") -> dict[str, DataFrame]:
+    """From keyed documents to all result tables below ``root``.
+
+    Tables whose inputs and settings did not change are taken as they are stored, reductions, layouts and clusters too;
+    a run over unchanged files starts no job. Scratch tables are removed at the end.
+    """
+    with scratch_tables(spark):
+        return _run(spark, documents, root, settings, lemmas, raw_metadata, encode, methods, force, title, generated)
+
+
+def _run(spark, documents, root, settings, lemmas, raw_metadata, encode, methods, force, title, generated) -> dict[str, DataFrame]:
+    places, store = Places(root), Store(spark, root)
+    out: dict[str, DataFrame] = {}
+
+    def keep(name: str, made_from: str, build: Callable[[], DataFrame]) -> DataFrame:
+        out[name] = store.derived(name, made_from, build)
+        return out[name]
+
+    out["cleaned"] = cleaned = clean_stage(spark, documents, places, settings, lemmas)
     vectors = embed_stage(spark, cleaned, places, settings, encode, force)
-    metadata = meta.metadata_frame(vectors, stats)
-    sinks.write_table(metadata, places.metadata)
-    metadata = spark.read.parquet(places.metadata)
-
-    keys = number_rows(vectors.select("filename"), [F.col("filename")], "id")
-    points = write_and_read(vectors.join(keys, "filename"), "points")
-    coords = layout.reduce_all(points, "id", "embedding", settings.analysis, methods=methods)
-    for name, table in coords.items():
-        sinks.write_table(keys.join(reduce.xy(table, "id"), "id").drop("id"), getattr(places, f"{name}_coordinates"))
-
-    sweep = cluster.kmeans_select(points, "id", "embedding", settings.analysis)
-    labelled = cluster.assign(points.select("id", "filename", "embedding"), "embedding", sweep.best.centers)
-    sinks.write_table(labelled.select("filename", "cluster"), places.kmeans_labels)
-    dense = cluster.dbscan_sweep(points, "id", "embedding", settings.analysis)
-    sinks.write_table(keys.join(dense.labels, "id").drop("id"), places.dbscan_labels)
-    sinks.write_table(dense.sweep, places.dbscan_sweep)
-
-    labels = spark.read.parquet(places.kmeans_labels)
-    with_meta = report.cluster_export(labels, metadata)
-    sinks.write_table(drift.cluster_by_group(with_meta), places.cluster_composition)
-    centroids = drift.yearly_centroids(meta.align(vectors.select("filename", "embedding"), metadata))
-    sinks.write_table(centroids, places.yearly_centroids)
-    moves = drift.consecutive_drift(spark.read.parquet(places.yearly_centroids))
-    sinks.write_table(moves, places.semantic_drift)
-    names = ["cleaned", "embeddings", "metadata", "kmeans_labels", "dbscan_labels", "dbscan_sweep",
-             "cluster_composition", "yearly_centroids", "semantic_drift", *[f"{m}_coordinates" for m in coords]]
-    return {name: spark.read.parquet(getattr(places, name)) for name in names}
+    out["embeddings"] = vectors
+    texts, vecs = store.manifest("cleaned").name, store.manifest("embeddings").name
+    with_stats = digest(texts, vecs, None if raw_metadata is None else _inputs(raw_metadata))
+    measures = cleaned.drop("text", "raw_md5")
+    stats = None if raw_metadata is None else clean.with_metadata(measures, raw_metadata)
+    metadata = keep("metadata", with_stats, lambda: meta.metadata_frame(vectors, stats))
+
+    # Numbered vectors: written once, and only if a reduction or a clustering has to be made.
+    numbered: list[tuple[DataFrame, DataFrame]] = []
+
+    def points() -> tuple[DataFrame, DataFrame]:
+        if not numbered:
+            keys = number_rows(vectors.select("filename"), [F.col("filename")], "id")
+            numbered.append((keys, write_and_read(vectors.join(keys, "filename"), "points")))
+        return numbered[0]
+
+    def named(table: DataFrame) -> DataFrame:
+        return points()[0].join(table, "id").drop("id")
+
+    analysed = digest(vecs, settings.analysis)
+    reduced: dict[str, DataFrame] = {}
+
+    def reduction(method: str) -> Callable[[], DataFrame]:
+        def build() -> DataFrame:
+            if method not in reduced:  # all that are missing are made together
+                missing = tuple(m for m in methods if not _made(store, f"{m}_coordinates", analysed))
+                reduced.update(layout.reduce_all(points()[1], "id", "embedding", settings.analysis, methods=missing))
+            return named(reduce.xy(reduced[method], "id"))
+
+        return build
+
+    for method in methods:
+        keep(f"{method}_coordinates", analysed, reduction(method))
+
+    swept: list[cluster.KMeansSweep] = []
+
+    def sweep() -> cluster.KMeansSweep:
+        if not swept:
+            swept.append(cluster.kmeans_select(points()[1], "id", "embedding", settings.analysis))
+        return swept[0]
+
+    def scores() -> DataFrame:
+        rows = [(k, s, k == sweep().best.k) for k, s in sweep().scores.items()] or [(sweep().best.k, None, True)]
+        return spark.createDataFrame(rows, "k int, silhouette double, chosen boolean")
+
+    def kmeans() -> DataFrame:
+        labelled = cluster.assign(points()[1].select("filename", "embedding"), "embedding", sweep().best.centers)
+        return labelled.select("filename", "cluster")
+
+    labels = keep("kmeans_labels", analysed, kmeans)
+    keep("kmeans_scores", analysed, scores)
+    swept_density: list[cluster.DensitySweep] = []
+
+    def density() -> cluster.DensitySweep:
+        if not swept_density:
+            swept_density.append(cluster.dbscan_sweep(points()[1], "id", "embedding", settings.analysis))
+        return swept_density[0]
+
+    keep("dbscan_labels", analysed, lambda: named(density().labels))
+    keep("dbscan_sweep", analysed, lambda: density().sweep)
+
+    both = digest(with_stats, analysed)
+    labelled = keep("cluster_export", both, lambda: report.cluster_export(labels, metadata))
+    keep("cluster_composition", both, lambda: drift.cluster_by_group(labelled))
+    found = keep("cluster_stats", both, lambda: report.cluster_stats(labelled))
+    centroids = keep("yearly_centroids", both, lambda: drift.yearly_centroids(
+        meta.align(vectors.select("filename", "embedding"), metadata)))
+    moves = keep("semantic_drift", both, lambda: drift.consecutive_drift(centroids))
+    keep("drift_summary", both, lambda: report.drift_summary(moves))
+    keep("overview", both, lambda: report.overview(metadata))
+    keep("metadata_with_stats", both, lambda: report.metadata_with_stats(metadata, measures))
+    if "pca" in methods:
+        keep("coordinate_export", both, lambda: report.coordinate_export(out["pca_coordinates"], metadata))
+    keep("report", digest(both, title), lambda: report.summary_report(metadata, moves, found, title, generated))
+    return out
+
+
+def _made(store: Store, stage: str, made_from: str) -> bool:
+    found = store.manifest(stage)
+    return found is not None and found.made_from == made_from

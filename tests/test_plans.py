@@ -1,4 +1,5 @@
 import contextlib
+import glob
 import io
 
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 from semdrift.config import PRESIDENTS, AnalysisSettings, CleanSettings, EmbedSettings, Settings
 from semdrift.operators.ingest import in_years
 from semdrift.plans import plotdata, report, stages
+from semdrift.plans.manifest import MOST_PARTS, Store
+from semdrift.session import shared_dir
 from semdrift.sources.corpus import corpus
 
 
@@ -51,6 +54,79 @@ def test_cleaning_has_no_shuffle_and_no_python(spark, sf_dir):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def jobs_of(spark, name, call):
+    """What ``call`` gives, and how many jobs it started."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return call(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_an_unchanged_run_starts_no_job(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120).write.parquet(str(tmp_path / "documents.parquet"))
+    settings = Settings(clean=CleanSettings(use_lemmas=False), embed=EmbedSettings(dim=16),
+                        analysis=AnalysisSettings(restarts=1, k_stop=4, eps_values=(0.3, 0.6), umap_neighbors=5))
+
+    # Reading a table anew takes a job for its schema, whatever is done with it.
+    inputs = [corpus(spark, str(tmp_path)).select("filename", "text") for _ in range(3)]
+
+    def run(**kwargs):
+        return stages.run(spark, inputs.pop(), str(tmp_path / "out"), settings, methods=kwargs.pop("methods", ("pca",)), **kwargs)
+
+    def scratch():
+        return {p for p in glob.glob(f"{shared_dir(spark).removeprefix('file:')}/*-*") if len(p.rsplit("-", 1)[1]) == 32}
+
+    before = scratch()
+    first, n = jobs_of(spark, "first", run)
+    assert n > 20 and scratch() == before
+    rows = {name: sorted(map(str, t.collect())) for name, t in first.items()}
+    assert rows["report"] and rows["cluster_stats"] and rows["coordinate_export"] and rows["metadata_with_stats"]
+    again, n = jobs_of(spark, "again", run)
+    assert n == 0 and {name: sorted(map(str, t.collect())) for name, t in again.items()} == rows
+    more, n = jobs_of(spark, "one layout more", lambda: run(methods=("pca", "umap")))
+    assert n > 0 and more["umap_coordinates"].count() == more["pca_coordinates"].count()
+    kept = Store(spark, str(tmp_path / "out"))
+    assert kept.manifest("pca_coordinates").version == kept.manifest("kmeans_labels").version == 1
+
+
+def test_a_killed_write_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+
+    def rows(*pairs):
+        return spark.createDataFrame(list(pairs), "k string, v int")
+
+    store.keyed("t", "one", "s", lambda: rows(("a", 1), ("b", 1)), "k", "v", lambda todo: todo)
+    monkeypatch.setattr(Store, "commit", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        store.keyed("t", "two", "s", lambda: rows(("a", 2)), "k", "v", lambda todo: todo)
+    monkeypatch.undo()
+    assert sorted(map(tuple, store.read("t").collect())) == [("a", 1), ("b", 1)] and store.read("other") is None
+    with pytest.raises(RuntimeError, match="another run"):
+        store.commit("t", store.manifest("t"))
+
+
+def test_keyed_tables_take_changes_only(spark, tmp_path):
+    store, made = Store(spark, str(tmp_path)), []
+
+    def step(name, now, settings="s"):
+        def make(todo):
+            made.append(sorted(r["k"] for r in todo.collect()))
+            return todo
+
+        table = spark.createDataFrame(sorted(now.items()), "k string, v int")
+        assert dict(map(tuple, store.keyed("t", name, settings, lambda: table, "k", "v", make).collect())) == now
+        return {r["k"]: r["v"] for r in store.read("t").collect()} == now
+
+    assert step("1", {"a": 1, "b": 1, "c": 1}) and step("2", {"a": 2, "c": 1, "d": 1}) and step("3", {"a": 1, "b": 3, "d": 1})
+    assert made == [["a", "b", "c"], ["a", "d"], ["a", "b"]]
+    for i in range(MOST_PARTS + 2):  # folders are merged on the way
+        assert step(f"more {i}", {"a": 10 + i, "d": 1})
+    assert len(store.manifest("t").parts) <= MOST_PARTS and all(m == ["a"] for m in made[3:])
+    assert step("other settings", {"a": 10, "d": 1}, "s2") and made[-1] == ["a", "d"]
+    assert step("none", {}, "s2") and step("some", {"z": 1}, "s2")
+
+
 def test_whole_run_twice(spark, sf_dir, tmp_path, monkeypatch):
     docs = corpus(spark, sf_dir).select("filename", "text")
     settings = Settings(clean=CleanSettings(use_lemmas=False), embed=EmbedSettings(dim=16),
