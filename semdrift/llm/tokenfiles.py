@@ -44,6 +44,8 @@ END_ID = 0
 #: Encodings of words that a worker keeps in each of two generations.
 CACHE_WORDS = 500_000
 SEGMENT = 1 << 22
+#: Words that are handed to the library as lines of one text, and the longest of them.
+LINES, LINE_CHARS = 512, 256
 
 _FILES = pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 _READ = pa.schema([
@@ -71,30 +73,57 @@ class Encoder:
 
     The tokenizer always starts a new piece at a space that follows a
     character other than white space, so what stands between two such spaces
-    is encoded by the library once and looked up from then on.
+    is encoded by the library once and looked up from then on. Special tokens
+    hold no space, so one that stands in a text lies within such a word; the library takes it for the token that it names, or
+    with ``plain_specials`` for ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain_specials: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = plain_specials
+        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.first: dict[bytes, bytes] = {}
 
+    def _encoded(self, words: list[bytes], lead: str) -> list[bytes]:
+        """The ids of each word. Plain words go to the library many at a time, as lines of one text.
+
+        A line break before a space is always a piece, and a token, of its
+        own, so the ids part at it; so is one inside a word. Words with other white space or a special token's name in them go one by one.
+        """
+        texts = [lead + w.decode("utf-8", "replace") for w in words]
+        plain = [
+            i for i, t in enumerate(texts)
+            if lead and len(t) < LINE_CHARS and t.split() == t[1:].split("\n") and not any(x in t for x in self.specials)
+        ]
+        out: list[bytes | None] = [None] * len(texts)
+        lines = [plain[at:at + LINES] for at in range(0, len(plain), LINES)]
+        for own, e in zip(lines, self.library.encode_batch_fast(["\n".join([texts[i] for i in own]) for own in lines], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+            last = np.cumsum([1 + texts[i].count("\n") for i in own]) - 1
+            if len(ends) != last[-1] + 1:
+                raise ValueError("the tokenizer does not part words at line breaks")
+            raw, at = ids.tobytes(), 0
+            for i, end in zip(own, (4 * ends[last]).tolist()):
+                out[i] = raw[at:end]
+                at = end + 4
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            out[i] = array("I", e.ids).tobytes()
+        return out
+
     def _learn(self, words: set[bytes], known: dict[bytes, bytes], older: dict[bytes, bytes], lead: str) -> None:
-        new = []
-        for w in words:
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    new.append(w)
-        found = self.library.encode_batch_fast([lead + w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for w, e in zip(new, found):
-            known[w] = array("I", e.ids).tobytes()
+        unknown = words.difference(known)
+        back = unknown.intersection(older)
+        known.update(zip(back, map(older.__getitem__, back)))
+        new = list(unknown.difference(back))
+        known.update(zip(new, self._encoded(new, lead)))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         parts = [_CUT.split(t) if _odd(t) else t.split(b" ") for t in texts]
@@ -126,13 +155,13 @@ class Encoder:
         return self.encode([b" " + text if spaced else text])[0]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, plain_specials: bool = False) -> Encoder:
+    if (path, plain_specials) not in _ENCODERS:
+        _ENCODERS[path, plain_specials] = Encoder(path, plain_specials)
+    return _ENCODERS[path, plain_specials]
 
 
 # ------------------------------------------------------------------ the file format
@@ -234,7 +263,7 @@ class Reader:
 
 def write_files(
     docs: DataFrame, tokenizer: str, folder: str, unit: str = UNIT, block_ids: int = BLOCK_IDS,
-    doc_id: str = "doc_id", text: str = "text",
+    doc_id: str = "doc_id", text: str = "text", plain_specials: bool = False,
 ) -> DataFrame:
     """(part, path, n_docs, n_ids) of the files written below ``folder``, one for each range of ids.
 
@@ -249,7 +278,7 @@ def write_files(
         part = TaskContext.get().partitionId()
         store, root = pfs.FileSystem.from_uri(folder)
         path, writer, out = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.bitplanes", None, None
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, plain_specials)
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             if writer is None and b.num_rows:
@@ -313,16 +342,16 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
 
 
 def token_files(
-    docs: DataFrame, tokenizer: str, unit: str = UNIT, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, tokenizer: str, unit: str = UNIT, doc_id: str = "doc_id", text: str = "text", plain_specials: bool = False
 ) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32): every document written to bit-plane files and read back.
 
     Each document's ids end in id 0, which is counted. A null text is empty:
     the end id alone. Ids are in ascending ``doc_id`` order, null ids first;
-    rows that share an id follow in the order of their texts. Strings that
-    look like special tokens are ordinary text. An empty table writes no
+    rows that share an id follow in the order of their texts. A special token's name in
+    a text is that token, as the library's ``encode`` has it, or with ``plain_specials`` ordinary text. An empty table writes no
     file. Other columns are not read.
     """
     folder = scratch_path(docs.sparkSession, "token-files")
-    files = write_and_read(write_files(docs, tokenizer, folder, unit, BLOCK_IDS, doc_id, text), "token-index")
+    files = write_and_read(write_files(docs, tokenizer, folder, unit, BLOCK_IDS, doc_id, text, plain_specials), "token-index")
     return read_files(files, folder)

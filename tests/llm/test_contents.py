@@ -123,7 +123,6 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 def plain_tokens(rows):
     library = Tokenizer.from_file(VOCABULARY)
-    library.encode_special_tokens = True
     at, out = 0, []
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
@@ -132,6 +131,15 @@ def plain_tokens(rows):
     return out
 
 
+def test_special_names_are_what_the_library_takes_them_for():
+    for plain, ids in ((False, [64, 50256, 65]), (True, None)):
+        library = Tokenizer.from_file(VOCABULARY)
+        library.encode_special_tokens = plain
+        want = ids or library.encode("a<|endoftext|>b", add_special_tokens=False).ids
+        assert np.frombuffer(tokenfiles.Encoder(VOCABULARY, plain).encode([b"a<|endoftext|>b"])[0], "<u4").tolist() == want
+    assert len(want) > 3
+
+
 @pytest.mark.parametrize("unit", ["bit", "byte"])
 def test_token_files_equal_plain(spark, odd, unit):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
@@ -140,12 +148,13 @@ def test_token_files_equal_plain(spark, odd, unit):
     assert tokenfiles.token_files(odd.limit(0), VOCABULARY).count() == 0
 
 
-def test_words_are_encoded_as_in_the_whole_text():
+@pytest.mark.parametrize("plain_specials", [False, True])
+def test_words_are_encoded_as_in_the_whole_text(plain_specials):
     library = Tokenizer.from_file(VOCABULARY)
-    library.encode_special_tokens = True
+    library.encode_special_tokens = plain_specials
     rng = random.Random(8)
     signs = [" ", " ", "  ", "\n", "\t ", " ", "  ", "  ", "　", "ab", "é", "’s", "'s", "don't", "12", "!?", "<|endoftext|>", "\x1c ", "日本", "x"]
-    encoder = tokenfiles.Encoder(VOCABULARY)
+    encoder = tokenfiles.Encoder(VOCABULARY, plain_specials)
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
     for t, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
