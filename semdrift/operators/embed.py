@@ -8,7 +8,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from semdrift.functions import text as X
 from semdrift.functions.arrow import from_matrix
 from semdrift.functions.vectors import unit
+from semdrift.operators.reduce import Scaler, moments
 from semdrift.operators.skew import latest_per_key
 
 
@@ -130,8 +131,27 @@ def ngram_model(dim: int = 64, size: int = 3) -> Callable[[], Callable]:
     return make_model
 
 
+def word_model(dim: int = 384) -> Callable[[], Callable]:
+    """The hashed word vectors of :func:`hash_embedding` as a plug-in encoder; a word is hashed once per batch."""
+
+    def make_model():
+        def encode(texts: np.ndarray) -> np.ndarray:
+            split = [str(t).split(" ") for t in texts]
+            code = {w: word_code(w) for words in split for w in words if w}
+            out = np.zeros((len(texts), dim))
+            for row, words in zip(out, split):
+                found = np.array([code[w] for w in words if w], dtype=np.int64)
+                np.add.at(row, (found >> 4) % dim, 1 - 2 * (found & 1))
+            size = np.linalg.norm(out, axis=1, keepdims=True)
+            return (out / np.where(size > 0, size, 1.0)).astype(np.float32)
+
+        return encode
+
+    return make_model
+
+
 def learned_embedding(documents: DataFrame, key: str, words: Column, dim: int, features: int = 1024) -> DataFrame:
-    """Corpus-trained vectors: hashed term counts, inverse document frequency, principal axes.
+    """Corpus-trained vectors: hashed term counts, inverse document frequency, principal axes about the mean.
 
     Every model part is bounded by ``features``, whatever the vocabulary.
     """
@@ -140,8 +160,11 @@ def learned_embedding(documents: DataFrame, key: str, words: Column, dim: int, f
     )
     weighted = IDF(inputCol="_tf", outputCol="_idf").fit(counted).transform(counted)
     level = Normalizer(p=2.0, inputCol="_idf", outputCol="_unit").transform(weighted)
-    axes = PCA(k=dim, inputCol="_unit", outputCol="_pc").fit(level)
-    return axes.transform(level).select(key, unit(vector_to_array("_pc")).cast("array<float>").alias("embedding"))
+    rows = level.select(key, vector_to_array("_unit").alias("_unit"))
+    found = moments(rows, "_unit")
+    centre = Scaler(found.mean, np.ones(features), found.n)
+    scored = rows.select(key, found.axes(dim).project(F.col("_unit"), scaler=centre).alias("_pc"))
+    return scored.select(key, unit(F.col("_pc")).cast("array<float>").alias("embedding"))
 
 
 def mean_pool(token_vectors: DataFrame, group: str, vector: str = "embedding", mask: str = "mask") -> DataFrame:

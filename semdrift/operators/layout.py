@@ -437,7 +437,7 @@ def reduce_all(points: DataFrame, id_col: str, vec_col: str, settings: AnalysisS
     """
     scaled, scaler = R.standardise(points.select(F.col(id_col).alias("id"), vec_col), vec_col)
     scaled = write_and_read(scaled.select("id", "scaled"), "scaled")
-    fit = R.fit_pca(scaled, "id", "scaled", settings.pca_components, scaler.n)
+    fit = R.fit_pca(scaled, "id", "scaled", settings.pca_components)
     coords = write_and_read(scaled.select("id", fit.project(F.col("scaled")).alias("pos")), "pca-coords")
     out = {"pca": coords}
     wide = len(scaler.mean) > 50

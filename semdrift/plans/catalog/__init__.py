@@ -11,8 +11,8 @@ from semdrift.plans.catalog import base
 def load() -> tuple[dict[str, base.Query], dict[str, str]]:
     """Every query, registered once; needs no session."""
     from semdrift.plans import flagship
-    from semdrift.plans.catalog import analysis_queries, text_queries, vector_queries
+    from semdrift.plans.catalog import analysis_queries, spectrum_queries, text_queries, vector_queries
 
-    for module in (text_queries, vector_queries, analysis_queries, flagship):
+    for module in (text_queries, vector_queries, analysis_queries, spectrum_queries, flagship):
         module.register()
     return base.QUERIES, base.ORACLES

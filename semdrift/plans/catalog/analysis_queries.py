@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semdrift.config import PRESIDENTS, CleanSettings
+from semdrift.config import PRESIDENTS, CleanSettings, EmbedSettings
 from semdrift.functions.names import era_of
 from semdrift.operators import batches, cluster, drift, reduce
 from semdrift.operators.skew import number_rows
@@ -15,7 +15,7 @@ from semdrift.plans.catalog.vector_queries import long_rounded, vectors
 from semdrift.session import scratch_path, write_and_read
 from semdrift.sources import landed, sinks
 from semdrift.sources.corpus import corpus, table
-from semdrift.streaming import stream
+from semdrift.streaming import changes, stream
 
 
 def labelled(spark, sf_dir) -> DataFrame:
@@ -328,16 +328,30 @@ def x11(spark, sf_dir):
     return report.key_findings(drift.trend(_positions(spark, sf_dir)), sweep.best.k, needed)
 
 
-@query("s14_coordinate_tables", f"WITH {LABELLED} SELECT filename, {XY} FROM labelled")
+@query("s14_coordinate_tables", f"""WITH {LABELLED},
+long AS (SELECT vec_id, generate_subscripts(embedding, 1) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+s AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS sd FROM long GROUP BY pos),
+sizes AS (SELECT vec_id, sum(((v - m) / sd) * ((v - m) / sd)) AS squares FROM long JOIN s USING (pos) GROUP BY vec_id)
+SELECT filename, round(squares, 5) AS squares, CAST(64 AS BIGINT) AS axes, CAST(64 AS BIGINT) AS variance_rows, CAST(1.0 AS DOUBLE) AS variance
+FROM labelled JOIN sizes USING (vec_id)""")
 def s14(spark, sf_dir):
-    """Coordinates as a table; the variance table and the model go beside it."""
+    """Coordinates, variance table and model are written and read back; the stored model gives the stored coordinates."""
     root = scratch_path(spark, "reduction")
-    v = vectors(spark, sf_dir)
-    _, fit = reduce.pca_coordinates(v, "vec_id", "embedding")
-    sinks.write_table(coords(spark, sf_dir), f"{root}/coordinates")
+    v = labelled(spark, sf_dir)
+    coords, scaler, fit = reduce.reduce_points(v, "vec_id", "embedding", 64)
+    sinks.write_table(coords, f"{root}/coordinates")
     sinks.write_csv(reduce.variance_table(v, fit), f"{root}/variance.csv")
-    fit.model.write().overwrite().save(f"{root}/model")
-    return spark.read.parquet(f"{root}/coordinates")
+    sinks.write_table(reduce.model_table(spark, scaler, fit), f"{root}/model")
+    variance = sinks.read_csv_records(reduce.variance_table(v, fit), f"{root}/variance.csv")
+    scaler, fit = reduce.read_model(spark.read.parquet(f"{root}/model"))
+    again = v.select("vec_id", "filename", fit.project(F.col("embedding").cast("array<double>"), scaler=scaler).alias("again"))
+    both = spark.read.parquet(f"{root}/coordinates").join(again, "vec_id")
+    # A coordinate table that differs from what the stored model gives would show in the products.
+    squares = F.aggregate(F.zip_with("pos", "again", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    shares = variance.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("explained_variance"), 6).alias("whole")).head()
+    return both.select(
+        "filename", F.round(squares, 5).alias("squares"), F.lit(fit.k).cast("bigint").alias("axes"),
+        F.lit(shares["n"]).cast("bigint").alias("variance_rows"), F.lit(shares["whole"]).alias("variance"))
 
 
 @query("s15_composition_table", f"WITH {LABELLED} SELECT cluster, president, count(*) AS n FROM labelled GROUP BY ALL")
@@ -546,7 +560,7 @@ def register() -> None:
 SELECT doc_id, md5(text) AS content_md5, pos, round(value, 6) AS value FROM d_words JOIN d_vectors USING (doc_id)""")
     def z01(spark, sf_dir):
         path = scratch_path(spark, "stream")
-        done = stream.clean_and_embed(_landed(spark, sf_dir, "documents"), "doc_id", 64, CleanSettings(use_lemmas=False))
+        done = stream.clean_and_embed(_landed(spark, sf_dir, "documents"), "doc_id", EmbedSettings().dim, CleanSettings(use_lemmas=False))
         stream.run_to_table(done, f"{path}/table", f"{path}/progress")
         long = reduce.long_form(spark.read.parquet(f"{path}/table").drop("text"), "doc_id", "embedding")
         md5s = spark.read.parquet(f"{path}/table").select("doc_id", "content_md5")
@@ -571,3 +585,22 @@ def z03(spark, sf_dir):
         (F.lit(1994) + F.col("vec_id") % 32).cast("string").alias("year"), "embedding")
     stream.run_centroids(arriving, f"{path}/parts", f"{path}/progress")
     return rounded(stream.merged_drift(spark, f"{path}/parts"), "drift")
+
+
+@query("z03_changing_documents", f"WITH {CENTROIDS} SELECT from_year, to_year, round(drift, 6) AS drift FROM drift")
+def z03_changes(spark, sf_dir):
+    """Earlier versions of a third of the vectors come last, other documents come and go: the drift is that of the table."""
+    path, v = scratch_path(spark, "changes"), vectors(spark, sf_dir)
+    year = (F.lit(1994) + F.col("vec_id") % 32).cast("string")
+    true = v.select(F.col("vec_id").cast("string").alias("key"), F.lit(2).cast("bigint").alias("version"), year.alias("year"), "embedding", F.lit(False).alias("deleted"))
+    before = v.filter("vec_id % 3 = 0").select(
+        F.col("vec_id").cast("string").alias("key"), F.lit(1).cast("bigint").alias("version"),
+        (F.lit(1994) + (F.col("vec_id") + 5) % 32).cast("string").alias("year"), F.reverse("embedding").alias("embedding"), F.lit(False).alias("deleted"))
+    guests = true.filter("key % 4 = 1").withColumn("key", F.concat(F.lit("guest "), "key"))
+    leaving = guests.withColumn("version", F.lit(3).cast("bigint")).withColumn("deleted", F.lit(True))
+    early, late = before.filter("key % 2 = 0"), before.filter("key % 2 = 1")
+    for part in (early.unionByName(guests), true, late.unionByName(leaving)):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/landing")
+    arriving = stream.landed_stream(spark, f"{path}/landing", true.schema, 1)
+    changes.run_changes(arriving, f"{path}/store", f"{path}/progress")
+    return rounded(changes.current_drift(spark, f"{path}/store"), "drift")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semdrift.config import AnalysisSettings, CleanSettings, eps_grid
+from semdrift.config import AnalysisSettings, CleanSettings, EmbedSettings, eps_grid
 from semdrift.functions import text as X
 from semdrift.functions.vectors import norm
 from semdrift.operators import clean, cluster, descent, embed, layout, reduce, similar
@@ -18,7 +18,8 @@ from semdrift.session import scratch_path
 from semdrift.sources import landed, sinks
 from semdrift.sources.corpus import corpus, table, texts
 
-DIM = 64
+#: Dimensions of the given vectors, and of those hashed from texts.
+DIM, HASHED = 64, EmbedSettings().dim
 
 
 def vectors(spark, sf_dir) -> DataFrame:
@@ -32,7 +33,7 @@ def cleaned_texts(spark, sf_dir, name: str = "documents", key: str = "doc_id") -
 
 
 def embedded(spark, sf_dir, name: str = "documents", key: str = "doc_id") -> DataFrame:
-    return embed.embed_documents(cleaned_texts(spark, sf_dir, name, key), key, DIM)
+    return embed.embed_documents(cleaned_texts(spark, sf_dir, name, key), key, HASHED)
 
 
 def long_rounded(df: DataFrame, key: str, vec: str, digits: int = 6) -> DataFrame:
@@ -48,7 +49,7 @@ def hash_vectors(name: str, key: str, prefix: str) -> str:
 {prefix}_tokens AS (
   SELECT {key}, md5(unnest(string_split(text, ' '))) AS m FROM {prefix}_words WHERE length(text) > 50),
 {prefix}_sums AS (
-  SELECT {key}, CAST(('0x' || substr(m, 1, 8)) AS BIGINT) % {DIM} + 1 AS pos,
+  SELECT {key}, CAST(('0x' || substr(m, 1, 8)) AS BIGINT) % {HASHED} + 1 AS pos,
          sum(CASE WHEN CAST(('0x' || substr(m, 9, 1)) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS s
   FROM {prefix}_tokens GROUP BY ALL),
 {prefix}_vectors AS (
@@ -67,38 +68,45 @@ def register() -> None:
     def e02(spark, sf_dir):
         return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.truncate(F.col("text"), 2048)).alias("cut_md5"))
 
-    @query("e03_batch_encode", """SELECT doc_id, CAST(64 AS BIGINT) AS dim, 1.0::DOUBLE AS length FROM documents
+    @query("e03_batch_encode", f"""SELECT doc_id, CAST({HASHED} AS BIGINT) AS dim, 1.0::DOUBLE AS length FROM documents
 WHERE length(text) > 50""")
     def e03(spark, sf_dir):
         docs = texts(spark, sf_dir).filter(embed.long_enough(F.col("text")))
-        done = embed.encode_with_model(docs, "doc_id", embed.ngram_model(DIM))
+        done = embed.encode_with_model(docs, "doc_id", embed.ngram_model(HASHED))
         return done.select("doc_id", F.size("embedding").cast("bigint").alias("dim"),
                            F.round(norm(F.col("embedding")), 3).alias("length"))
 
+    @query("e03_encoded_words", f"WITH {docs} SELECT doc_id, pos, round(value, 6) AS value FROM d_vectors")
+    def e03_words(spark, sf_dir):
+        """Whole vectors of a plug-in encoder that SQL can follow."""
+        kept = cleaned_texts(spark, sf_dir).filter(embed.long_enough(F.col("text")))
+        done = embed.encode_with_model(kept, "doc_id", embed.word_model(HASHED))
+        return long_rounded(done, "doc_id", "embedding").filter("value <> 0")
+
     @query("e04_hash_embedding", f"WITH {docs} SELECT doc_id, pos, round(value, 6) AS value FROM d_vectors")
     def e04(spark, sf_dir):
         return long_rounded(embedded(spark, sf_dir), "doc_id", "embedding").filter("value <> 0")
 
     @query("e04_weighted_hash_embedding", f"""WITH {docs},
 n AS (SELECT count(*) AS n FROM d_words WHERE length(text) > 50),
-seen AS (SELECT CAST(('0x' || substr(m, 1, 8)) AS BIGINT) % {DIM} + 1 AS pos, count(DISTINCT doc_id) AS df FROM d_tokens GROUP BY ALL),
+seen AS (SELECT CAST(('0x' || substr(m, 1, 8)) AS BIGINT) % {HASHED} + 1 AS pos, count(DISTINCT doc_id) AS df FROM d_tokens GROUP BY ALL),
 w AS (SELECT doc_id, pos, s * (ln((n + 1.0) / (df + 1.0)) + 1.0) AS s FROM d_sums JOIN seen USING (pos), n),
 v AS (SELECT doc_id, pos, CAST(CAST(s / sqrt(sum(s * s) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE) AS value FROM w WHERE s <> 0)
 SELECT doc_id, pos, round(value, 5) AS value FROM v""")
     def e04_weighted(spark, sf_dir):
         kept = cleaned_texts(spark, sf_dir).filter(embed.long_enough(F.col("text")))
-        weights = embed.bucket_weights(kept, DIM)
-        done = embed.embed_documents(kept, "doc_id", DIM, weights=weights)
+        weights = embed.bucket_weights(kept, HASHED)
+        done = embed.embed_documents(kept, "doc_id", HASHED, weights=weights)
         return long_rounded(done, "doc_id", "embedding", 5).filter("value <> 0")
 
     @query("e05_learned_embedding")
     def e05(spark, sf_dir):
         kept = cleaned_texts(spark, sf_dir).filter(embed.long_enough(F.col("text")))
-        done = embed.learned_embedding(kept, "doc_id", X.tokens(F.col("text")), 32, 256)
+        done = embed.learned_embedding(kept, "doc_id", X.tokens(F.col("text")), HASHED)
         return done.select("doc_id", F.size("embedding").alias("dim"), F.round(norm(F.col("embedding")), 3).alias("length"))
 
     @query("s13_vector_store", f"""WITH {CORPUS.strip()}, {docs}
-SELECT filename, md5(w.text) AS content_md5, CAST({DIM} AS BIGINT) AS dim
+SELECT filename, md5(w.text) AS content_md5, CAST({HASHED} AS BIGINT) AS dim
 FROM d_words w JOIN corpus USING (doc_id) WHERE length(w.text) > 50""")
     def s13(spark, sf_dir):
         path = scratch_path(spark, "store")
@@ -106,7 +114,7 @@ FROM d_words w JOIN corpus USING (doc_id) WHERE length(w.text) > 50""")
         return _stored(spark, path)
 
     @query("s16_load_vectors", f"""WITH {CORPUS.strip()}, {docs}
-SELECT filename, md5(w.text) AS content_md5, CAST({DIM} AS BIGINT) AS dim, c.president
+SELECT filename, md5(w.text) AS content_md5, CAST({HASHED} AS BIGINT) AS dim, c.president
 FROM d_words w JOIN corpus c USING (doc_id) WHERE length(w.text) > 50""")
     def s16(spark, sf_dir):
         from semdrift.operators.meta import align, metadata_frame

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semdrift.config import CleanSettings
+from semdrift.config import CleanSettings, EmbedSettings
 from semdrift.operators import drift, embed, meta
 from semdrift.operators.clean import content_text
 from semdrift.plans.catalog.base import CORPUS, query
@@ -13,7 +13,7 @@ from semdrift.plans.catalog.vector_queries import hash_vectors
 from semdrift.session import ship_package
 from semdrift.sources.corpus import corpus
 
-DIM = 64
+DIM = EmbedSettings().dim
 
 
 def corpus_drift(spark: SparkSession, sf_dir: str, dim: int = DIM) -> DataFrame:

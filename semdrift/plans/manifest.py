@@ -139,6 +139,31 @@ class Store:
         self.commit(stage, manifest)
         return manifest
 
+    def append(
+        self, stage: str, made_from: str, rows: DataFrame, gone: DataFrame | None = None, key: str | None = None,
+        merge: Callable[[DataFrame], DataFrame] = lambda table: table,
+    ) -> None:
+        """Commit ``rows`` as one more folder, and ``gone`` as keys that earlier folders no longer stand for.
+
+        The step is named by ``made_from``: one that was committed last is not added again, so a caller that repeats a
+        step after a failure does no harm. Many folders become one through ``merge``.
+        """
+        found = self.manifest(stage)
+        if found is not None and found.made_from == made_from:
+            return
+        folders = {"rows": self._folder(stage, "rows"), "gone": None}
+        rows.write.parquet(folders["rows"])
+        if gone is not None:
+            folders["gone"] = self._folder(stage, "gone")
+            gone.write.parquet(folders["gone"])
+        parts = [] if found is None else found.parts
+        version, schema = (1, _open(rows.schema).json()) if found is None else (found.version + 1, found.schema)
+        manifest = Manifest(version, made_from, "", schema, key, [*parts, folders])
+        if len(manifest.parts) > MOST_PARTS:
+            self._whole(stage, found, made_from, "", merge(self._table(manifest)), key)
+        else:
+            self.commit(stage, manifest)
+
     def keyed(
         self, stage: str, made_from: str, settings: str, current: Callable[[], DataFrame], key: str, version: str,
         make: Callable[[DataFrame], DataFrame],
