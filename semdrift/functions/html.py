@@ -33,6 +33,8 @@ TAG = r"""<[!/a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 CONTAINERS = (
     r"(?is)<main\b[^>]*>(.*?)</main\s*>",
     r"(?is)<article\b[^>]*>(.*?)</article\s*>",
+    # A content division without further ones in it; nested ones are left to the walk.
+    r"""(?is)<div\b[^>]*\bclass\s*=\s*["'](?:[^"']*\s)?content(?:\s[^"']*)?["'][^>]*>((?:(?!<div\b).)*?)</div\s*>""",
     r"(?is)<body\b[^>]*>(.*)</body\s*>",
 )
 

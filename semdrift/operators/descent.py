@@ -112,7 +112,7 @@ def approximate(rows: DataFrame, k: int, width: int | None = None, guests: int |
     best = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor"))
     own, lists = _own_leaf(width), None
     for tree in range(trees):
-        dealt = nearest.deal(rows, nearest.grow(rows, n, max(1, size // 4), 2 * tree), size, True).rows
+        dealt = nearest.deal(nearest.place(rows, nearest.grow(rows, n, max(1, size // 4), 2 * tree)), size, True).rows
         found = dealt.groupBy("part").applyInArrow(lambda t: own(t), "id bigint, neighbor bigint, distance double")
         lists = found if lists is None else lists.unionByName(found)
     lists = lists.groupBy("id", "neighbor").agg(F.min("distance").alias("distance")).withColumn("rank", best)

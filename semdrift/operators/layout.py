@@ -153,7 +153,7 @@ def _dealt(points: DataFrame, start: DataFrame, edges: DataFrame, weights: DataF
     points = points.select("id", "vec").filter(usable(F.col("vec")))
     n = points.count()
     size = nearest.group_rows(n)
-    dealt = nearest.deal(points, nearest.grow(points, n, max(1, size // 4)), size, True).rows
+    dealt = nearest.deal(nearest.place(points, nearest.grow(points, n, max(1, size // 4))), size, True).rows
     nth = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
     places = start if weights is None else start.join(weights, "id", "left")
     mass = F.lit(1.0) if weights is None else F.coalesce("weight", F.lit(1.0))

@@ -33,7 +33,7 @@ CELLS, LEAVES = 128, 128
 SAMPLE_ROWS = 4096
 LEAST_GROUP, MOST_GROUP = 256, 1 << 16
 PART_BLOCKS = 16
-FIRST, GROWTH = 4, 4
+FIRST, GROWTH = 16, 4
 MAX_CELLS = 1 << 22  # distances held at a time
 # Distances equal to this many decimals are ties; the smaller id comes first.
 DECIMALS = 9
@@ -125,14 +125,29 @@ class Dealt:
     parts: np.ndarray  # parts of each leaf
 
 
-def deal(rows: DataFrame, tree: Tree, size: int, share: bool) -> Dealt:
-    """Rows by leaf; crowded leaves are split by the hash of the id, and with ``share`` small leaves of a cell lie together."""
+@dataclass(frozen=True)
+class Placed:
+    """Rows (leaf, dist, id, vec), written, with the number and the farthest row of each leaf."""
+
+    rows: DataFrame
+    tree: Tree
+    counts: np.ndarray
+    radius: np.ndarray
+
+
+def place(rows: DataFrame, tree: Tree) -> Placed:
     where = _located(rows, tree)("vec")
     placed = write_and_read(rows.withColumn("at", where).select("at.leaf", "at.dist", "id", "vec"), "nearest-leaves")
-    n_leaves = len(tree.pivots)
-    counts, radius = np.zeros(n_leaves, np.int64), np.zeros(n_leaves)
+    counts, radius = np.zeros(len(tree.pivots), np.int64), np.zeros(len(tree.pivots))
     for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r")).collect():  # one row per leaf
         counts[r["leaf"]], radius[r["leaf"]] = r["n"], r["r"]
+    return Placed(placed, tree, counts, radius)
+
+
+def deal(found: Placed, size: int, share: bool) -> Dealt:
+    """Rows by leaf; crowded leaves are split by the hash of the id, and with ``share`` small leaves of a cell lie together."""
+    placed, tree, counts, radius = found.rows, found.tree, found.counts, found.radius
+    n_leaves = len(tree.pivots)
     first, parts = np.zeros(n_leaves, np.int64), -(-counts // size)
     number, room = -1, 0
     opens = set(tree.first.tolist())
@@ -268,10 +283,11 @@ def search(corpus: DataFrame, k: int, queries: DataFrame | None = None, group: i
     if not n:
         return empty
     tree = grow(corpus, n, leaf_rows)
-    blocks = deal(corpus, tree, leaf_rows, False)
+    placed = place(corpus, tree)
+    blocks = deal(placed, leaf_rows, False)
     held = write_and_read(blocks.rows.select(F.col("part").alias("block"), "id", "vec"), "nearest-blocks")
-    asking = corpus if itself else queries.select("id", "vec").filter(usable(F.col("vec")))
-    groups = write_and_read(deal(asking, tree, size, True).rows.withColumnRenamed("part", "grp"), "nearest-groups")
+    asking = placed if itself else place(queries.select("id", "vec").filter(usable(F.col("vec"))), tree)
+    groups = write_and_read(deal(asking, size, True).rows.withColumnRenamed("part", "grp"), "nearest-groups")
     spark = corpus.sparkSession
     shipped = spark.sparkContext.broadcast(tree)
     best, done, width = None, None, FIRST

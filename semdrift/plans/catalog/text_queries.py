@@ -502,6 +502,38 @@ def h04(spark, sf_dir):
     return texts.select(F.col("url").cast("bigint").alias("page_id"), "text", F.col("text").isNull().alias("failed"))
 
 
+def _divided(spark, sf_dir) -> DataFrame:
+    """Pages whose article is a division of class content."""
+    html = F.regexp_replace(F.col("html"), r"(?i)<article\b[^>]*>", '<div id="a" class="wide content">')
+    html = F.regexp_replace(html, r"(?i)</article\s*>", "</div>")
+    return table(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+
+
+@query("h02_content_division", f"WITH {PAGE_TEXT} SELECT page_id, text FROM texts")
+def h02_division(spark, sf_dir):
+    from semdrift.functions.html import page_text_by_columns
+
+    return _divided(spark, sf_dir).select("page_id", page_text_by_columns(F.col("html")).alias("text"))
+
+
+@query("h02_content_division_by_walk", f"WITH {PAGE_TEXT} SELECT page_id, text FROM texts")
+def h02_division_walk(spark, sf_dir):
+    from semdrift.functions.html import page_text_by_walk
+
+    return _divided(spark, sf_dir).select("page_id", page_text_by_walk(F.col("html"))["text"].alias("text"))
+
+
+@query("h04_broken_markup", f"""WITH {PAGE_TEXT}
+SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN text END AS text, page_id % 5 = 0 AS failed FROM texts""")
+def h04_broken(spark, sf_dir):
+    """Every fifth page holds a declaration that the parser gives up on: its text is NULL with an error, the others are read."""
+    from semdrift.functions.html import page_text_by_walk
+
+    html = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("<![x[y]]>"), F.col("html"))).otherwise(F.col("html"))
+    read = table(spark, sf_dir, "pages").select("page_id", page_text_by_walk(html).alias("r"))
+    return read.select("page_id", F.col("r.text").alias("text"), F.col("r.error").isNotNull().alias("failed"))
+
+
 @query("s05_content_fallback", f"""WITH {LISTING}, {PAGE_TEXT},
 per_url AS (SELECT url, max(text) AS text FROM texts GROUP BY url)
 SELECT doc_id, filename, coalesce(t.text, CASE WHEN pdf_url <> '' THEN 'PDF_CONTENT_NOT_EXTRACTED' END, 'CONTENT_NOT_AVAILABLE') AS text

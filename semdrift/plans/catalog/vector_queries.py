@@ -509,6 +509,51 @@ def c06(spark, sf_dir):
     return cluster.dbscan_sweep(vectors(spark, sf_dir), "vec_id", "embedding").sweep
 
 
+ROUNDS = 40  # more than any chain of neighbouring core points needs, in steps from the smallest id
+
+
+def _sweep_sql(radii) -> str:
+    """Every radius by itself: core points, the smallest core id that each reaches, border points, noise-free silhouettes."""
+    steps = [f"""l{i} AS MATERIALIZED (SELECT k.i, k.u AS id, min(l.root) AS root FROM links k JOIN l{i - 1} l ON l.i = k.i AND l.id = k.v GROUP BY ALL)"""
+             for i in range(1, ROUNDS + 1)]
+    return f"""WITH pairs AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v,
+  list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a, embeddings b),
+radii AS (SELECT unnest(range(1, {len(radii) + 1})) AS i, unnest([{', '.join(repr(float(e)) for e in radii)}]::DOUBLE[]) AS eps),
+near AS MATERIALIZED (SELECT i, u, v FROM pairs, radii WHERE d <= eps),
+cores AS MATERIALIZED (SELECT i, u AS id FROM near GROUP BY ALL HAVING count(*) >= 5),
+links AS MATERIALIZED (SELECT n.i, u, v FROM near n JOIN cores a ON a.i = n.i AND a.id = u JOIN cores b ON b.i = n.i AND b.id = v),
+l0 AS (SELECT i, id, id AS root FROM cores),
+{(',' + chr(10)).join(steps)},
+border AS (SELECT n.i, u AS id, min(root) AS root FROM near n JOIN l{ROUNDS} l ON l.i = n.i AND l.id = v
+  WHERE NOT EXISTS (SELECT 1 FROM cores c WHERE c.i = n.i AND c.id = u) GROUP BY ALL),
+lab AS MATERIALIZED (SELECT * FROM l{ROUNDS} UNION ALL SELECT * FROM border),
+counts AS (SELECT i, count(DISTINCT root) AS k, count(*) AS n FROM lab GROUP BY i),
+means AS (SELECT a.i, a.id, a.root AS own, b.root AS other, sum(d) AS t, count(*) AS n
+  FROM lab a JOIN lab b ON a.i = b.i JOIN pairs p ON p.u = a.id AND p.v = b.id WHERE a.i IN (SELECT i FROM counts WHERE k >= 2) GROUP BY ALL),
+ab AS (SELECT i, id, max(CASE WHEN own = other AND n > 1 THEN t / (n - 1) END) AS a, min(CASE WHEN own <> other THEN t / n END) AS b FROM means GROUP BY ALL),
+scores AS (SELECT i, avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS score FROM ab GROUP BY i)
+SELECT round(eps, 6) AS eps, coalesce(k, 0) AS n_clusters, (SELECT count(*) FROM embeddings) - coalesce(n, 0) AS n_noise, round(score, 6) AS score
+FROM radii LEFT JOIN counts USING (i) LEFT JOIN scores USING (i)"""
+
+
+@query("c06_radius_sweep", _sweep_sql(eps_grid()))
+def c06_radii(spark, sf_dir):
+    """All ten radii with their noise-free scores."""
+    found = cluster.dbscan_sweep(vectors(spark, sf_dir), "vec_id", "embedding").sweep
+    return found.select(F.round("eps", 6).alias("eps"), "n_clusters", "n_noise", F.round("score", 6).alias("score"))
+
+
+@query("c07_fallback_record", """SELECT CAST(NULL AS DOUBLE) AS eps, CAST(-1.0 AS DOUBLE) AS score, CAST(0 AS BIGINT) AS n_clusters,
+  CAST(0 AS BIGINT) AS n_noise, count(*) AS labelled, CAST(1 AS BIGINT) AS labels FROM embeddings""")
+def c07_record(spark, sf_dir):
+    """What the sweep says where no radius is valid, and how many labels it gives."""
+    found = cluster.dbscan_sweep(vectors(spark, sf_dir), "vec_id", "embedding", AnalysisSettings(eps_values=eps_grid(0.01, 0.05, 3)))
+    counts = found.labels.agg(F.count(F.lit(1)).alias("labelled"), F.count_distinct("cluster").alias("labels"))
+    return counts.select(F.lit(found.eps).cast("double").alias("eps"), F.lit(found.score).cast("double").alias("score"),
+                         F.lit(found.n_clusters).cast("bigint").alias("n_clusters"), F.lit(found.n_noise).cast("bigint").alias("n_noise"),
+                         "labelled", "labels")
+
+
 @query("c07_sweep_fallback", "SELECT vec_id AS id, CAST(0 AS BIGINT) AS cluster FROM embeddings")
 def c07(spark, sf_dir):
     """Radii too small for any core point: one label for all."""
