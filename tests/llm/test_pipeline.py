@@ -60,3 +60,19 @@ def test_stages_take_odd_rows(spark, odd, sf_dir):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == odd.columns
     assert {r.doc_id for r in docs.collect()} >= {4, None}
+
+
+def test_rows_that_share_an_id_or_have_none(spark, sf_dir):
+    """Two unlike texts under one id stay; near copies under one id or none go; only rows that quote the benchmark go."""
+    quote = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    text = [" ".join(words[i:] + words[:i]) * 3 for i in range(6)]
+    rows = [(1, text[0]), (1, "quite another text of its own and nothing like the first one at all"), (1, text[0]), (None, text[0]), (None, "alone without an id in this small table of rows"),
+            (2, "a clean text beside a quote under one id, which has to stay where it is"), (2, f"so it says {quote} here"), (None, quote)]
+    docs = spark.createDataFrame([(*r, {"k": "v"}, 7) for r in rows], "doc_id long, text string, row map<string, string>, group int").repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    left = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    assert left == sorted((i or 0, t) for i, t in [rows[0], rows[1], rows[4], rows[5], rows[6], rows[7]])
+    clean = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.decontamination(spark, kept, sf_dir).collect())
+    assert clean == sorted((i or 0, t) for i, t in [rows[0], rows[1], rows[4], rows[5]])
