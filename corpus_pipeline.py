@@ -35,24 +35,33 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
 
 
+def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` with a number of its own for every row, written once so that a task that runs again has the same ones."""
+    row = fresh(docs, "row")
+    return write_and_read(docs.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the one with the smallest id, once. Rows without id stay."""
-    classes = simhash.near_duplicates(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"))
-    firsts = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    # A repeated id stands for one document: its first row by text is the one that stays.
-    rest = [c for c in docs.columns if c != "doc_id"]
-    one = fresh(docs, "one")
-    kept = docs.join(firsts, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in rest if c != "text"])).alias(one))
-    stays = kept.select("doc_id", f"{one}.*").select(*docs.columns)
-    return stays.unionByName(docs.filter("doc_id IS NULL"))
+    """Keeps one row of each group of near copies: the one with the smallest id, of equal ids or none the first.
+
+    Rows are told apart by numbers of their own: rows that share an id but not
+    their text all stay, and rows without id have near copies like any other.
+    """
+    rows, row = _numbered(docs, "near-rows")
+    classes = simhash.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"))
+    named = classes.select(F.col("doc_id").alias("nth"), F.col("component_id").alias("group")).join(
+        rows.select(F.col(row).alias("nth"), F.col("doc_id").alias("id")), "nth")
+    firsts = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "nth")).alias("first"))
+    return rows.join(firsts.select(F.col("first.nth").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in which a benchmark window occurs."""
-    checked = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    # Contaminated documents are those that quote the benchmark; an id with one such row is dropped whole.
-    hit = write_and_read(checked.filter("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct(), "contaminated")
-    return docs.join(hit, "doc_id", "left_anti")
+    """Drops the rows in which a benchmark window occurs, whatever their id, and no others."""
+    rows, row = _numbered(docs, "checked-rows")
+    checked = decontaminate.contamination(rows.select(F.col(row).alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    # Contaminated rows are those that quote the benchmark.
+    hit = write_and_read(checked.filter("contaminated").select(F.col("doc_id").alias(row)), "contaminated")
+    return rows.join(hit, row, "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
