@@ -19,10 +19,10 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from html import escape
-from html.parser import HTMLParser
+from html import escape, unescape
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ TAGS = (
     "html head body title article main section div header footer nav aside form table tr td th ul ol li dl dt dd p h1 h2 h3 "
     "h4 h5 h6 blockquote pre figure figcaption address details summary fieldset hr dialog menu center caption"
 ).split()
-SILENT = "script style noscript template svg iframe object textarea select option button canvas math".split()
+SILENT = "script style noscript template svg iframe object textarea select option button canvas".split()
 #: Silent elements whose content is text by the rules of HTML: tags in them end nothing.
 RAW = {"script", "style", "textarea", "iframe"}
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
@@ -83,27 +83,124 @@ class Tree:
         return len(self.parent) - 1
 
 
-class Builder(HTMLParser):
-    """Builds the tree; inline elements belong to the run of text around them."""
+#: Blocks nested deeper than this hang on the block at this depth.
+MOST_DEEP = 512
+
+_TAG = re.compile(r"[a-zA-Z][^\t\n\r\f />\x00]*+")
+_GAP = re.compile(r"[\s/]*+")
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:'([^']*+)'|"([^"]*+)"|(?!['"])([^>\s]*+))?+)?+""")
+_COMMENT_END = re.compile(r"--!?\s*+>")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style")}
+
+
+class Builder:
+    """Builds the tree; inline elements belong to the run of text around them.
+
+    A page is read once from left to right, however malformed it is. A comment or
+    a tag that never ends takes the rest of the page with it, as HTML has it; a declaration that never ends is text.
+    """
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.tree = Tree()
         self.open: list[tuple[str, int]] = [("", self.tree.add(-1, OTHER))]
+        self.count: Counter = Counter()  # open blocks by name
         self.parts: list[str] = []
         self.links = self.linked = 0
         self.mute: list[str] = []
         self.inside: list[str] = []  # blocks opened in the silence
+        self.inside_count: Counter = Counter()
+
+    # -------------------------------------------------- from signs to tags
+
+    def feed(self, html: str) -> None:
+        absent: set[str] = set()  # ends that the rest of the page does not have
+        at = look = 0  # text from ``at`` on is not handed out yet; the next tag is looked for from ``look`` on
+        end = len(html)
+        while at < end:
+            low = html.find("<", look)
+            if low < 0:
+                break
+            sign = html[low + 1:low + 2]
+            if not (sign.isascii() and sign.isalpha()) and sign not in ("/", "!", "?"):
+                look = low + 1
+                continue
+            self._text(html[at:low])
+            if sign.isalpha():
+                at = self._start(html, low + 1)
+            elif sign == "/":
+                at = self._end(html, low + 2)
+            elif html.startswith("<!--", low):
+                close = low + 4 if html.startswith((">", "->"), low + 4) else None
+                found = _COMMENT_END.search(html, low + 4) if close is None else None
+                at = html.find(">", close) + 1 if close else found.end() if found else end
+            else:
+                mark = "]]>" if html[low:low + 9].lower() == "<![cdata[" else ">"
+                close = -1 if mark in absent else html.find(mark, low)
+                if close < 0:  # no declaration after all: its signs are text
+                    absent.add(mark)
+                    at, look = low, low + 1
+                    continue
+                at = close + len(mark)
+            look = at
+        self._text(html[at:])
+        self._flush()
+
+    def _text(self, raw: str) -> None:
+        if raw and not self.mute:
+            data = unescape(raw)
+            self.parts.append(data)
+            if self.links:
+                self.linked += len(data)
+
+    def _start(self, html: str, at: int) -> int:
+        """Read a start tag whose name begins at ``at``; gives the place after it."""
+        found = _TAG.match(html, at)
+        tag, at = found.group().lower(), found.end()
+        attrs: list[tuple[str, str | None]] = []
+        while True:
+            at = _GAP.match(html, at).end()
+            if at >= len(html):
+                return at
+            if html[at] == ">":
+                break
+            found = _ATTRIBUTE.match(html, at)
+            value = next((v for v in found.groups()[1:] if v is not None), None)
+            attrs.append((found.group(1).lower(), None if value is None else unescape(value)))
+            at = found.end()
+        if html[at - 1] == "/":
+            if tag not in SILENT:
+                self.handle_starttag(tag, attrs)
+            return at + 1
+        self.handle_starttag(tag, attrs)
+        if tag in _RAW_END:
+            close = _RAW_END[tag].search(html, at + 1)
+            return close.start() if close else len(html)
+        return at + 1
+
+    def _end(self, html: str, at: int) -> int:
+        found = _TAG.match(html, at)
+        close = html.find(">", at)
+        if close < 0:
+            return len(html)
+        if found:
+            self.handle_endtag(found.group().lower())
+        return close + 1
+
+    # -------------------------------------------------- from tags to blocks
 
     def _flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.tree.add(self.open[-1][1], LEAF, (), text, min(self.linked, len(text)))
+                self.tree.add(self._block(), LEAF, (), text, min(self.linked, len(text)))
             self.parts, self.linked = [], 0
 
-    def _pop(self, depth: int) -> None:
-        self._flush()
+    def _block(self) -> int:
+        return self.open[min(len(self.open) - 1, MOST_DEEP)][1]
+
+    def _cut(self, depth: int) -> None:
+        for name, _ in self.open[depth:]:
+            self.count[name] -= 1
         del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -112,6 +209,7 @@ class Builder(HTMLParser):
                 self.mute.append(tag)
             elif tag in TAG_NO and tag not in VOID:
                 self.inside.append(tag)
+                self.inside_count[tag] += 1
             return
         if tag in SILENT:
             if tag != "option":
@@ -124,7 +222,7 @@ class Builder(HTMLParser):
             for i in range(len(self.open) - 1, 0, -1):
                 name = self.open[i][0]
                 if name in SAME_CLOSES.get(tag, ()) or (name == "p" and tag in CLOSES_P):
-                    del self.open[i:]
+                    self._cut(i)
                 elif name != "p":
                     break
             names: list[str] = []
@@ -133,65 +231,51 @@ class Builder(HTMLParser):
                     names += _NAME.findall(_HUMP.sub(" ", value).lower())
                 elif key == "hidden" or (key == "style" and value and "none" in value):
                     names.append("hidden")
-            node = self.tree.add(self.open[-1][1], TAG_NO[tag], tuple(dict.fromkeys(names)))
+            node = self.tree.add(self._block(), TAG_NO[tag], tuple(dict.fromkeys(names)))
             if tag not in VOID:
                 self.open.append((tag, node))
+                self.count[tag] += 1
             self.links = 0
         elif tag in ("br", "img", "input"):
             self.parts.append(" ")
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag not in SILENT:
-            self.handle_starttag(tag, attrs)
-
     def handle_endtag(self, tag: str) -> None:
         if self.mute:
             if tag == self.mute[-1]:
                 self.mute.pop()
                 if not self.mute:
-                    self.inside.clear()
+                    self._forget()
                 return
             if self.mute[-1] in RAW or tag not in TAG_NO:
                 return
-            if tag in self.inside:
-                while self.inside.pop() != tag:
-                    pass
+            if self.inside_count[tag]:
+                while (name := self.inside.pop()) != tag:
+                    self.inside_count[name] -= 1
+                self.inside_count[tag] -= 1
                 return
-            if all(name != tag for name, _ in self.open[1:]):
+            if not self.count[tag]:
                 return
             # the end of a block around an element that was never closed
             self.mute.clear()
-            self.inside.clear()
+            self._forget()
         if tag == "a":
             self.links = max(0, self.links - 1)
-        elif tag in TAG_NO:
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i][0] == tag:
-                    self._pop(i)
-                    self.links = 0
-                    return
-
-    def parse_html_declaration(self, i: int) -> int:
-        """``<![`` opens nothing but CDATA: anything else is a comment up to the next ``>``, and the page goes on after it."""
-        if self.rawdata.startswith("<![", i) and self.rawdata[i:i + 9].lower() != "<![cdata[":
-            return self.parse_bogus_comment(i)
-        return super().parse_html_declaration(i)
-
-    def handle_data(self, data: str) -> None:
-        if not self.mute:
-            self.parts.append(data)
-            if self.links:
-                self.linked += len(data)
+        elif tag in TAG_NO and self.count[tag]:
+            i = len(self.open) - 1
+            while self.open[i][0] != tag:
+                i -= 1
+            self._flush()
+            self._cut(i)
+            self.links = 0
+
+    def _forget(self) -> None:
+        self.inside.clear()
+        self.inside_count.clear()
 
 
 def tree_of(html: str) -> Tree:
     builder = Builder()
-    try:
-        builder.feed(html)
-        builder.close()
-    except (AssertionError, ValueError):  # a declaration the parser gives up on: what came before it stands
-        pass
-    builder._flush()
+    builder.feed(html)
     return builder.tree
 
 

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -338,6 +339,30 @@ def test_unclosed_silent_element_ends_with_its_block(silent):
     assert [t for t in raw.text if t] == ["heard"]
 
 
+@pytest.mark.parametrize("page", [
+    "<a " * 340_000, "<div>" * 110_000 + "</p>" * 110_000, "<!--" * 250_000, '<a b="' * 170_000, "<" * 1_000_000, "<![x" * 250_000,
+    "<svg><div>" * 50_000 + "</p></li>" * 50_000, "<p>x" * 250_000, "<ul><li>" * 120_000, "</" * 500_000, "<a " + "b=c " * 250_000, "&" * 1_000_000,
+], ids=lambda p: p[:10])
+def test_malformed_pages_of_a_megabyte_take_no_time(page):
+    begin = time.process_time()
+    htmltree.tree_of(page)
+    assert time.process_time() - begin < 5  # seconds where the square of the length took hours
+
+
+def test_odd_markup_leaves_what_is_text():
+    def text(page):
+        return " ".join(t for t in htmltree.tree_of(page).text if t)
+
+    assert text("a<!-- never closed <p>b") == "a" and text("a<!-->b<!--->c<!-- x --!>d") == "abcd"
+    assert text("x &lt; 3 <3 y&nbsp;z < w") == "x < 3 <3 y z < w" and text("a</>b<?pi?>c</ x>d") == "abcd"
+    assert text("<p>see <math><mi>x</mi><mo>+</mo></math> and on") == "see x+ and on"
+    assert text("<script>a</scripty></SCRIPT >b<style>c") == "b" and text("<p title='a>b' data-x=\"</p>\" hidden>c") == "c"
+    assert text("<DIV CLASS=Big>A<BR/>B</DIV>") == "A B" and text("q<p") == "q"
+    assert htmltree.tree_of("<DIV CLASS=SideBar>x").names[1] == ("side", "bar")
+    deep = htmltree.tree_of("<div>" * 3000 + "end" + "</div>" * 3000 + "after")
+    assert deep.text[-2:] == ["end", "after"] and deep.parent[-1] == 0
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(10)
     tree = htmltree.tree_of("<body><div class=a><p>one two.</p><p>three</p></div><ul><li>x</li></ul>tail</body>")
