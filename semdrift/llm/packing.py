@@ -112,7 +112,8 @@ def pack(counted: DataFrame, lengths: Sequence[int] = LENGTHS, shard_pieces: int
     cut = counted.filter("n_tokens >= 1").withColumn("piece", piece).select(
         "doc_id", "piece", (F.col("piece") * top).alias("start"),
         F.least(F.lit(top).cast("long"), F.col("n_tokens") - F.col("piece") * top).alias("length"))
-    cut = write_and_read(cut, "pieces")
+    # Each piece is written with a number of its own, by which it is dealt: rows that repeat, or have no id, lie in all shards.
+    cut = write_and_read(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-cut.count() // shard_pieces))
 
     def packed(table: pa.Table) -> pa.Table:
@@ -127,8 +128,7 @@ def pack(counted: DataFrame, lengths: Sequence[int] = LENGTHS, shard_pieces: int
         }, schema=_PACKED)
 
     ship_package(counted.sparkSession)
-    # Rows that repeat may share a shard: pieces of one id are few, whatever their hash.
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).drop("row")
     return dealt.groupBy("shard").applyInArrow(packed, PACKED)
 
 

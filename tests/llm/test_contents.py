@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from semdrift.llm import decontaminate, packing, tokenfiles
 from tokenizers import Tokenizer
 
@@ -116,6 +117,13 @@ def test_packing_of_odd_and_empty_tables(spark, odd):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_are_dealt_to_all_shards(spark):
+    counted = spark.range(8000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(7).cast("long").alias("n_tokens"))
+    found = packing.pack(counted, shard_pieces=1000).withColumn("shard", F.col("bin_id").bitwiseAND(F.lit(-1 << 32)))
+    sizes = [r["count"] for r in found.groupBy("shard").count().collect()]
+    assert sum(sizes) == 8000 and len(sizes) == 8 and max(sizes) < 1300
+
+
 # ------------------------------------------------------------------ token files
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
