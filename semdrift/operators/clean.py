@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +45,19 @@ def lemmatise(documents: DataFrame, lemmas: DataFrame, key: str, text: str = "te
 
 
 def _ship(forms: pd.DataFrame):
-    @F.pandas_udf("string")
-    def replace_forms(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: None if t is None else " ".join([known.get(w, w) for w in t.split(" ")] if t else [])
-        )
+    """Column function: the words of all texts of a batch as one Arrow array, each looked up by its place among the forms."""
+    known, lemma = pa.array(forms["form"], pa.string()), pa.array(forms["lemma"], pa.string())
+
+    @F.arrow_udf("string")
+    def replace_forms(texts: pa.Array) -> pa.Array:
+        lists = pc.split_pattern(texts, " ")
+        words = lists.flatten()
+        replaced = pc.coalesce(lemma.take(pc.index_in(words, value_set=known)), words)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        joined = pc.binary_join(pa.ListArray.from_arrays(offsets, replaced), " ")
+        return pc.if_else(pc.is_null(texts), pa.scalar(None, pa.string()), joined)
 
-    known = dict(zip(forms["form"], forms["lemma"]))
     return replace_forms
 
 
@@ -126,10 +135,9 @@ def split_rejects(documents: DataFrame, key: str) -> tuple[DataFrame, DataFrame]
 
 
 def with_metadata(stats: DataFrame, metadata: DataFrame, key: str = "filename") -> DataFrame:
-    """Measures with president, date and number; absent ones get their defaults."""
-    known = metadata.groupBy(key).agg(
-        F.max(F.struct("president", "date", "eo_number")).alias("_m")
-    )
+    """Measures with president, date and number; absent ones get their defaults. Of several rows of a file name the last one holds."""
+    rows = metadata.select(key, F.struct("president", "date", "eo_number").alias("_m"), F.monotonically_increasing_id().alias("_at"))
+    known = rows.groupBy(key).agg(F.max_by("_m", "_at").alias("_m"))
     return lookup_join(stats, known, key, key).select(
         *stats.columns,
         F.coalesce("_m.president", F.lit("Unknown")).alias("president"),

@@ -21,13 +21,24 @@ def era_table(spark: SparkSession, rules=ERAS) -> DataFrame:
     return spark.createDataFrame(rows, "rule int, low int, high int, era string")
 
 
+#: Rules up to which the eras are one expression.
+FEW_RULES = 200
+
+
 def era_lookup(documents: DataFrame, rules: DataFrame, year: str = "year") -> DataFrame:
     """First rule whose inclusive range holds the year.
 
-    Only distinct years (a year text has four characters) meet the rule table;
-    the documents then look their year up.
+    A few rules become one expression over the documents. Of more, only distinct years (a year text has
+    four characters) meet the rule table; the documents then look their year up.
     """
-    years = documents.select(year).distinct().withColumn("_n", N.year_number(F.col(year)))
+    listed = rules.orderBy("rule").limit(FEW_RULES + 1).collect()
+    number = N.year_number(F.col(year))
+    if len(listed) <= FEW_RULES:
+        era = F.lit(None).cast("string")
+        for rule in reversed(listed):
+            era = F.when(number.between(rule["low"], rule["high"]), F.lit(rule["era"])).otherwise(era)
+        return documents.withColumn("president", F.coalesce(era, F.lit("Unknown")))
+    years = documents.select(year).distinct().withColumn("_n", number)
     hits = years.join(F.broadcast(rules), F.col("_n").between(F.col("low"), F.col("high")), "left")
     known = hits.groupBy(year).agg(F.min_by("era", "rule").alias("_era"))
     return lookup_join(documents, known, year, documents.columns[0]).withColumn(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from semdrift.session import cut
+from semdrift.session import cut, write_and_read
 
 HOT_ROWS = 1_000_000
 SALTS = 64
@@ -32,7 +32,8 @@ def lookup_join(
     ``rows / hot_rows`` of them and their list may be broadcast. Rows of a hot
     key, and rows without a key, are spread over ``salts`` tasks by the hash
     of column ``spread`` (a row identity, so that a retried task repeats the
-    same choice); only the matching right rows are repeated. A caller that
+    same choice); only the matching right rows are repeated. The list is worked out and written first,
+    from the keys of ``left`` alone; where it is empty the join is a plain one. A caller that
     has counted ``left`` passes ``left_rows``: too few rows for a hot key need
     none of this.
     """
@@ -44,6 +45,9 @@ def lookup_join(
         .filter(F.col("_rows") > hot_rows)
         .select(*keys, F.lit(True).alias("_hot"))
     )
+    hot = write_and_read(hot, "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, keys, how)
     hot = F.broadcast(hot)
     no_key = F.lit(False)
     for k in keys:

@@ -7,7 +7,7 @@ import pytest
 from semdrift.config import CleanSettings, EmbedSettings, Settings
 from semdrift.functions.arrow import distances, to_matrix
 from semdrift.functions.vectors import split_vectors
-from semdrift.operators import clean, cluster
+from semdrift.operators import clean, cluster, skew
 from semdrift.operators.meta import override_president
 from semdrift.operators.similar import knn
 from semdrift.plans import stages
@@ -105,3 +105,28 @@ def test_changed_settings_are_not_reused(spark, tmp_path):
     before = run(lemmas, remove_stopwords=False, min_word_length=1)[0]["b"]
     after = run(spark.createDataFrame([("went", "leave")], "form string, lemma string"), remove_stopwords=False, min_word_length=1)
     assert before == "this go on" and after[0]["b"] == "this leave on"
+
+
+def test_the_last_metadata_row_of_a_file_holds(spark):
+    stats = spark.createDataFrame([("a", 1), ("b", 2)], "filename string, n int")
+    rows = [("a", "Zed", "2000-01-01", "9"), ("a", "Able", "1999-01-01", "1"), ("c", "X", "", "")]
+    metadata = spark.createDataFrame(rows, "filename string, president string, date string, eo_number string").coalesce(1)
+    got = {r.filename: (r.president, r.date, r.eo_number) for r in clean.with_metadata(stats, metadata).collect()}
+    assert got == {"a": ("Able", "1999-01-01", "1"), "b": ("Unknown", "", "")}
+
+
+def test_lemmas_by_words_of_a_batch(spark):
+    texts = ["went  home", "", None, "ran went went", "é went", " ", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    lemmas = spark.createDataFrame([("went", "go"), ("ran", "run"), ("home", None)], "form string, lemma string")
+    got = [r.text for r in clean.lemmatise(df, lemmas, "id").orderBy("id").collect()]
+    assert got == ["go  home", "", None, "run go go", "é go", " ", "x"]
+
+
+def test_joins_with_and_without_hot_keys_agree(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else f"k{i}") for i in range(300)], "id int, k string")
+    right = spark.createDataFrame([("hot", 1), ("k6", 2), ("none", 3)], "k string, v int")
+    for how in ("left", "inner"):
+        want = rows(left.join(right, "k", how).select("id", "v"))
+        for hot in (10, 1_000_000):
+            assert rows(skew.lookup_join(left, right, "k", "id", how, hot_rows=hot, salts=4).select("id", "v")) == want
