@@ -364,6 +364,20 @@ def s15(spark, sf_dir):
     return sinks.read_csv_records(counts, f"{root}/composition.csv")
 
 
+@query("s15_labels_and_drift", f"""WITH {CENTROIDS}
+SELECT 'label' AS kind, filename AS name, CAST(cluster AS DOUBLE) AS value FROM labelled
+UNION ALL SELECT 'drift', from_year || '-' || to_year, round(drift, 6) FROM drift""")
+def s15_read_back(spark, sf_dir):
+    """The label table and the drift file, read back."""
+    root = scratch_path(spark, "clusters")
+    moves = yearly_drift(spark, sf_dir)
+    sinks.write_table(labels(spark, sf_dir), f"{root}/labels")
+    sinks.write_csv(moves, f"{root}/drift.csv")
+    stored = spark.read.parquet(f"{root}/labels").select(F.lit("label").alias("kind"), F.col("filename").alias("name"), F.col("cluster").cast("double").alias("value"))
+    again = sinks.read_csv_records(moves, f"{root}/drift.csv")
+    return stored.unionByName(again.select(F.lit("drift").alias("kind"), F.concat_ws("-", "from_year", "to_year").alias("name"), F.round("drift", 6).alias("value")))
+
+
 @query("s17_export", f"""WITH {LABELLED}
 SELECT 'csv' AS format, filename, president, year, cluster FROM labelled
 UNION ALL SELECT 'json', filename, president, year, cluster FROM labelled""")

@@ -342,6 +342,25 @@ def s10(spark, sf_dir):
         F.col("filename").endswith(".txt").alias("named"))
 
 
+@query("s10_keyed_documents", "SELECT 'item ' || item_id || '.txt' AS filename, length(text) AS n_chars, md5(text) AS text_md5 FROM benchmark")
+def s10_keyed(spark, sf_dir):
+    """Files below folders that carry the key, read back with it."""
+    path = scratch_path(spark, "keyed")
+    name = F.concat(F.lit("item "), F.col("item_id"), F.lit(".txt"))
+    sinks.write_keyed_documents(table(spark, sf_dir, "benchmark").select(name.alias("filename"), "text"), path)
+    return landed.read_keyed_documents(spark, path).select(
+        "filename", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query("s10_packed_documents", f"WITH {CORPUS} SELECT filename, length(text) AS n_chars, md5(text) AS text_md5 FROM corpus")
+def s10_packed(spark, sf_dir):
+    """Many documents to a file, each with its name."""
+    path = scratch_path(spark, "packed")
+    sinks.write_packed_documents(corpus(spark, sf_dir), path)
+    return landed.read_packed_documents(spark, path).select(
+        "filename", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 @query("s11_metadata_lookup", f"""WITH {CORPUS.strip()}, meta AS (SELECT c.* FROM corpus c JOIN labels USING (doc_id))
 SELECT c.filename, coalesce(m.president, 'Unknown') AS president, coalesce(m.date, '') AS date,
        coalesce(m.eo_number, '') AS eo_number FROM corpus c LEFT JOIN meta m ON m.filename = c.filename""")

@@ -41,6 +41,11 @@ def read_keyed_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select("filename", F.regexp_replace("value", r"\n\z", "").alias("text"))
 
 
+def read_packed_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(filename, text): a document per JSON line."""
+    return spark.read.schema("filename STRING, text STRING").json(path)
+
+
 def read_raw_metadata(spark: SparkSession, path: str) -> DataFrame:
     """All columns stay text, so numbers keep their form; an empty field is an empty text."""
     return spark.read.schema(RAW_METADATA).options(**CSV_OPTIONS).csv(path).fillna("")

@@ -39,6 +39,11 @@ def write_keyed_documents(documents: DataFrame, path: str) -> None:
     documents.select("filename", F.col("text").alias("value")).write.mode("overwrite").partitionBy("filename").text(path)
 
 
+def write_packed_documents(documents: DataFrame, path: str) -> None:
+    """(filename, text) as JSON lines, many documents to a file."""
+    documents.select("filename", "text").write.mode("overwrite").json(path)
+
+
 def export(df: DataFrame, folder: str, name: str, stamp: str) -> dict[str, str]:
     """CSV and JSON records under a stamped name."""
     base = f"{folder.rstrip('/')}/{name}_{stamp}"
