@@ -10,8 +10,9 @@ The token's position gives the only place the window can start at; the place
 must leave room for the whole window inside the document. What passes is
 compared word by word and then byte by byte.
 
-Windows travel to the tasks in blocks of at most ``BLOCK_WINDOWS``, one in
-memory at a time, so any number of them is met by one scan of the documents.
+Up to ``SHIPPED_WINDOWS`` windows (counted first) travel to the tasks in blocks of at most ``BLOCK_WINDOWS`` and are met
+by one scan of the documents. More are joined (:func:`contamination_by_join`): windows and documents
+meet in a shuffle by the rarest shingle, and nothing but a bit field of bounded size goes through the driver.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from semdrift.session import ship_package, write_and_read
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK_WINDOWS = 100_000
+BLOCK_WINDOWS, SHIPPED_WINDOWS = 100_000, 1_000_000
 FILTER_BITS = 20
+#: Bits of the field that sorts out document shingles before the join, as a power of two; occurrences of a shingle in one task.
+FIELD_BITS, HOT_ROWS = 27, 100_000
 
 _WINDOWS = pa.schema([("window", pa.binary()), ("item_id", pa.string())])
 _COUNTS = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
@@ -203,7 +206,7 @@ def _shingle_counts(docs: DataFrame, blocks: list, doc_text: str) -> DataFrame:
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS,
-    doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shipped_windows: int = SHIPPED_WINDOWS,
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), a row per row of ``docs``.
 
@@ -220,6 +223,8 @@ def contamination(
     sc = spark.sparkContext
     found = write_and_read(windows(benchmark, size, item_id, item_text), "windows")
     total = found.select("window").distinct().count()
+    if total > shipped_windows:
+        return contamination_by_join(docs, found, shingle, doc_id, text)
     n_blocks = -(-total // block_windows)
     texts, owners = [], []
     for i in range(n_blocks):
@@ -269,3 +274,123 @@ def contamination(
             )
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(meet, HITS)
+
+
+# ------------------------------------------------------------------ more windows than tasks can hold
+
+_TOKENS = pa.schema([("wid", pa.int64()), ("size", pa.int32()), ("width", pa.int32()), ("token", pa.int64()), ("position", pa.int32())])
+_MET = pa.schema([
+    ("row", pa.int64()), ("width", pa.int32()), ("token", pa.int64()), ("place", pa.int64()), ("before", pa.int32()), ("words", pa.binary()),
+])
+
+
+def _tokens(rows: DataFrame, shingle: int) -> DataFrame:
+    """(wid, size, width, token, position): every shingle of every window (wid, window)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for wid, window in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = _hashed(window)
+                width = _width(len(h), shingle)
+                out += [(wid, len(h), width, t, i) for i, t in enumerate(_shingles(h, width).view(np.int64).tolist())]
+            if out:
+                yield batch(_TOKENS, **dict(zip(_TOKENS.names, zip(*out))))
+
+    return rows.select("wid", "window").mapInArrow(cut, "wid long, size int, width int, token long, position int")
+
+
+def _field(tokens: DataFrame) -> np.ndarray:
+    """A bit for the upper ``FIELD_BITS`` bits of every token; at most 2^FIELD_BITS / 64 rows reach the driver."""
+    place = F.shiftrightunsigned("token", 64 - FIELD_BITS)
+    rows = tokens.select(F.shiftright(place, 6).alias("at"), F.expr("shiftleft(1L, int(shiftrightunsigned(token, {}) & 63))".format(64 - FIELD_BITS)).alias("bit"))
+    found = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    field = np.zeros(1 << (FIELD_BITS - 6), np.int64)
+    field[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return field
+
+
+def _passes(field: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Positions of the hashes whose bit is set."""
+    place = (h >> np.uint64(64 - FIELD_BITS)).astype(np.int64)
+    return np.flatnonzero((field[place >> 6] >> (place & 63)) & 1)
+
+
+def _doc_shingles(column: pa.Array, widths: list[int], field: np.ndarray) -> Iterator[tuple]:
+    """(first row, width, bytes, word starts and ends, words before each row, token, place) of shingles that pass the field."""
+    for first, data, offsets in pieces(column):
+        low = LOWER[data]
+        s, e, bounds = word_bounds(low, offsets, ALNUM)
+        words = span_hashes(low, s, e)
+        for width in widths:
+            h = _shingles(words, width)
+            at = _passes(field, h)
+            doc = np.searchsorted(bounds, at, side="right") - 1
+            inside = at + width <= bounds[doc + 1]
+            yield first, width, low, s, e, bounds, h[at[inside]].view(np.int64), at[inside], doc[inside]
+
+
+def contamination_by_join(docs: DataFrame, found: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """What :func:`contamination` gives, for any number of windows ``found`` (window, item_id).
+
+    Windows are ranked by a count join of their shingles with those of all documents. A document sends, for each place
+    where a prefix shingle could stand, the words around it; windows and places meet by shingle, places of a frequent one being
+    spread over as many tasks as its count asks for, and the bytes are compared there.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = write_and_read(rows, "checked-docs")
+    listed = write_and_read(found.select("window").distinct().withColumn("wid", F.monotonically_increasing_id()), "numbered-windows")
+    tokens = write_and_read(_tokens(listed, shingle), "window-shingles")
+    widths = sorted(r["width"] for r in tokens.select("width").distinct().collect())  # shingle at most
+    longest = tokens.agg(F.max("size")).head()[0]
+    field = spark.sparkContext.broadcast(_field(tokens))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, width, *_, token, _, _ in _doc_shingles(b.column(0), widths, field.value):
+                some, n = np.unique(token, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"width": pa.array(np.full(len(some), width), pa.int32()), "token": pa.array(some), "n": pa.array(n, pa.int64())})
+
+    counts = rows.select("text").mapInArrow(counted, "width int, token long, n long").groupBy("width", "token").agg(F.sum("n").alias("n"))
+    ranked = tokens.join(counts, ["width", "token"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    prefix = ranked.groupBy("wid", "size", "width").agg(F.min(F.struct("n", "token", "position")).alias("p")).filter("p.n > 0")
+    prefix = prefix.select("wid", "size", "width", "p.*").withColumn("parts", F.ceil(F.col("n") / HOT_ROWS).cast("int"))
+    prefix = write_and_read(prefix, "window-prefixes")
+    wanted = spark.sparkContext.broadcast(_field(prefix))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            for first, width, low, s, e, bounds, token, at, doc in _doc_shingles(b.column(1), widths, wanted.value):
+                raw = low.tobytes()
+                begin = np.maximum(bounds[doc], at - (longest - width))
+                end = np.minimum(bounds[doc + 1], at + longest)
+                around = [b" ".join([raw[s[i]:e[i]] for i in range(p, q)]) for p, q in zip(begin.tolist(), end.tolist())]
+                yield batch(_MET, row=ids[first + doc], width=np.full(len(at), width), token=token, place=at - bounds[doc], before=at - begin, words=around)
+
+    hot = F.broadcast(prefix.filter("parts > 1").groupBy("width", "token").agg(F.max("parts").alias("parts")))  # occurrences / HOT_ROWS at most
+    met = rows.select("row", "text").mapInArrow(places, "row long, width int, token long, place long, before int, words binary")
+    met = met.join(hot, ["width", "token"], "left").withColumn("part", F.pmod(F.xxhash64("row", "place"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    repeated = prefix.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(listed, "wid")
+    begin = F.col("before") - F.col("position")
+    there = F.slice(F.split(F.col("words").cast("string"), " "), F.greatest(begin, F.lit(0)) + 1, F.col("size"))
+    both = met.join(repeated, ["width", "token", "part"]).filter((begin >= 0) & (F.array_join(there, " ") == F.col("window").cast("string")))
+    hits = both.select("row", (F.col("place") - F.col("position")).alias("start"), "size", "window").distinct()
+    hits = write_and_read(hits, "window-hits")
+    words_hit = hits.select("row", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at")).distinct().groupBy("row").agg(
+        F.count(F.lit(1)).alias("n_hit"))
+    items = hits.select("row", "window").distinct().join(found, "window").groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.zeros(b.num_rows, np.int64)
+            for first, data, offsets in pieces(b.column(2)):
+                n[first:first + len(offsets) - 1] = np.diff(word_bounds(LOWER[data], offsets, ALNUM)[2])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n)], names=["row", "doc_id", "n_words"])
+
+    whole = rows.select("row", "doc_id", "text").mapInArrow(sizes, "row long, doc_id long, n_words long").join(words_hit, "row", "left").join(items, "row", "left")
+    listed_items = F.coalesce("items", F.array().cast("array<string>"))
+    return whole.select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(listed_items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(listed_items, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))

@@ -39,8 +39,9 @@ def plain_hits(docs, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [100_000, 3])
-def test_contamination_equals_plain(spark, block):
+@pytest.mark.parametrize(("block", "shipped"), [(100_000, 1_000_000), (3, 1_000_000), (3, 0)])
+def test_contamination_equals_plain(spark, monkeypatch, block, shipped):
+    monkeypatch.setattr(decontaminate, "HOT_ROWS", 5)  # frequent shingles are spread in the join
     rng = random.Random(5)
     vocabulary = "a b c Dé ö 7 x1 the".split()
 
@@ -53,18 +54,19 @@ def test_contamination_equals_plain(spark, block):
     docs += [(200, None), (201, ""), (202, "b " * 25), (202, "b " * 25), (None, items[0][1].upper().replace("É", "é").replace("Ö", "ö"))]
     got = decontaminate.contamination(
         spark.createDataFrame(docs, "doc_id long, text string").repartition(3),
-        spark.createDataFrame(items, "item_id long, text string"), block_windows=block)
+        spark.createDataFrame(items, "item_id long, text string"), block_windows=block, shipped_windows=shipped)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_hits(docs, items)
 
 
-def test_contamination_of_odd_and_empty_tables(spark, odd):
+@pytest.mark.parametrize("shipped", [1_000_000, 0])
+def test_contamination_of_odd_and_empty_tables(spark, odd, shipped):
     bench = spark.createDataFrame([("q", "Two three, four")], "item_id string, text string")
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     short = [(d, t) for d, t in rows if d != 7]
-    got = [tuple(r) for r in decontaminate.contamination(odd, bench).collect()]
+    got = [tuple(r) for r in decontaminate.contamination(odd, bench, shipped_windows=shipped).collect()]
     assert sorted([g for g in got if g[0] != 7], key=repr) == plain_hits(short, [("q", "Two three, four")])
     assert [g[1:4] for g in got if g[0] == 7] == [(300_000, 0, 0)]
-    assert decontaminate.contamination(odd.limit(0), bench).count() == 0
+    assert decontaminate.contamination(odd.limit(0), bench, shipped_windows=shipped).count() == 0
     assert not any(r.contaminated for r in decontaminate.contamination(odd, bench.limit(0)).collect())
 
 
