@@ -61,23 +61,22 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BARE = "trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12))"
 ORACLES["op4_line_dedup"] = f"""
-WITH lines AS (
-  SELECT doc_id, coalesce('=' || source, '') AS host, unnest(string_split(text, chr(10))) AS line,
-         generate_subscripts(string_split(text, chr(10)), 1) AS pos
-  FROM documents),
-totals AS (SELECT coalesce('=' || source, '') AS host, count(*) AS host_pages FROM documents GROUP BY 1),
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce('=' || source, '') AS host, text FROM documents),
+lines AS (
+  SELECT row, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
+totals AS (SELECT host, count(*) AS host_pages FROM docs GROUP BY 1),
 pages AS (
-  SELECT host, {_BARE} AS bare, count(DISTINCT doc_id) AS pages FROM lines WHERE {_BARE} <> '' GROUP BY 1, 2),
+  SELECT host, {_BARE} AS bare, count(DISTINCT row) AS pages FROM lines WHERE {_BARE} <> '' GROUP BY 1, 2),
 drops AS (
   SELECT host, bare, true AS hit FROM pages JOIN totals USING (host)
   WHERE pages >= {lines.MIN_PAGES} AND pages >= host_pages * CAST({lines.RATIO} AS DOUBLE)),
 marked AS (
-  SELECT l.doc_id, l.line, l.pos, coalesce(d.hit, false) AS hit
+  SELECT l.row, l.line, l.pos, coalesce(d.hit, false) AS hit
   FROM lines l LEFT JOIN drops d ON d.host = l.host AND d.bare = {_BARE.replace('line', 'l.line')})
-SELECT d.doc_id,
-       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (NOT m.hit), '') END AS text,
+SELECT min(d.doc_id) AS doc_id,
+       CASE WHEN min(d.text) IS NULL THEN NULL ELSE coalesce(string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (NOT m.hit), '') END AS text,
        CAST(count(m.pos) AS BIGINT) AS n_lines, CAST(count(m.pos) FILTER (m.hit) AS BIGINT) AS n_dropped
-FROM documents d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id, d.text
+FROM docs d LEFT JOIN marked m USING (row) GROUP BY row
 """
 
 
