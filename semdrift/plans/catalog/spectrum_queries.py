@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from semdrift.operators import drift, reduce
 from semdrift.plans import plotdata
 from semdrift.plans.catalog.analysis_queries import _positions, rounded
-from semdrift.plans.catalog.base import CENTROIDS, query
+from semdrift.plans.catalog.base import CENTROIDS, ORACLES, query
 from semdrift.plans.catalog.vector_queries import DIM, LONG, vectors
 
 SCALED = f"""{LONG},
@@ -171,5 +171,11 @@ def x11_trend(spark, sf_dir):
     return rounded(found.select("direction", "slope"), "slope", digits=5)
 
 
+# The plain queries of the same numbers have the same twins.
+ORACLES["a06_centroid_positions"] = ORACLES["a06_positions_by_products"]
+ORACLES["a07_trend"] = ORACLES["a07_trend_by_products"]
+ORACLES["v04_gravity_line_on_axis"] = ORACLES["v04_line_by_products"]
+
+
 def register() -> None:
     """All queries here are registered with the module."""
