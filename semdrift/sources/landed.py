@@ -30,9 +30,9 @@ def read_listing(spark: SparkSession, path: str, multiline: bool = True) -> Data
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, text): one row per text file."""
-    files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text"))
+    """(filename, text): one row per text file; the reader of whole files opens a small one several times faster than the text reader."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    return files.select(F.col("_metadata.file_name").alias("filename"), F.col("content").cast("string").alias("text"))
 
 
 def read_keyed_documents(spark: SparkSession, path: str) -> DataFrame:

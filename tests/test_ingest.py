@@ -41,6 +41,20 @@ def test_document_files_and_metadata(spark, tmp_path):
     assert [tuple(r) for r in landed.read_keyed_documents(spark, str(tmp_path / "keyed")).collect()] == [("a.txt", "one\ntwo")]
 
 
+def test_one_file_per_document(spark, tmp_path):
+    """Every text has a file of its own in one folder, written by tasks without a job's commit; older files are replaced."""
+    path = str(tmp_path / "documents")
+    texts = [f"text {i}\nof ö lines" for i in range(50)] + ["", None]
+    for some in (["old"], texts):
+        df = spark.createDataFrame([(t,) for t in some], "text string").repartition(3)
+        sinks.write_document_files(df, path)
+    names = [f.name for f in (tmp_path / "documents").iterdir()]
+    assert len([n for n in names if n.endswith(".txt")]) == len(names) - 1 == 52  # and _SUCCESS: no checksum files, no work folder
+    rows = landed.read_documents(spark, path)
+    assert {r["filename"] for r in rows.collect()} == {n for n in names if n.endswith(".txt")}
+    assert sorted(r["text"] for r in rows.collect()) == sorted((t or "") + "\n" for t in texts)
+
+
 def test_csv_round_trip_keeps_quotes_and_breaks(spark, tmp_path):
     row = ("1", "P", "2020", 'He said "x", ok\nnew', "f", "u", "")
     df = spark.createDataFrame([row], landed.RAW_METADATA)
