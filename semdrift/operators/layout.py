@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -142,18 +142,34 @@ class Parts:
     total: float
 
 
+def _numbers(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of n parts, such that hash partitioning by it deals one part to each of n partitions."""
+    found: dict[int, int] = {}
+    tried = 32 * n
+    while len(found) < n:
+        home = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("home")
+        found = dict(spark.range(tried).groupBy(home).agg(F.min("id")).collect())  # a row per part
+        tried *= 2
+    return [found[home] for home in range(n)]
+
+
 def _dealt(points: DataFrame, start: DataFrame, edges: DataFrame, weights: DataFrame | None) -> Parts:
     """Deal ``points`` (id, vec) to parts of neighbouring points, with ``start`` (id, x, y) and ``edges`` (u, v, w).
 
     A part's edges are those that leave its points. It lists the foreign
     points at their other ends by part, and learns which of its own points
     other parts list. All of this is exchanged once; in an epoch only
-    places of listed points travel.
+    places of listed points travel. A partition holds one part: an epoch
+    lasts as long as its fullest partition.
     """
+    spark = points.sparkSession
     points = points.select("id", "vec").filter(usable(F.col("vec")))
     n = points.count()
     size = nearest.group_rows(n)
-    dealt = nearest.deal(nearest.place(points, nearest.grow(points, n, max(1, size // 4))), size, True).rows
+    dealt = nearest.deal(nearest.place(points, nearest.grow(points, n, max(1, size // 4))), size, True)
+    n_parts = int((dealt.first + dealt.parts).max())
+    number = spark.createDataFrame(list(enumerate(_numbers(spark, n_parts))), "part bigint, number bigint")  # a row per part
+    dealt = dealt.rows.join(F.broadcast(number), "part").select(F.col("number").alias("part"), "id")
     nth = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
     places = start if weights is None else start.join(weights, "id", "left")
     mass = F.lit(1.0) if weights is None else F.coalesce("weight", F.lit(1.0))
@@ -200,11 +216,12 @@ def _dealt(points: DataFrame, start: DataFrame, edges: DataFrame, weights: DataF
         part = int(group.column("part")[0].as_py())
         return pa.table({"part": pa.array([part], pa.int32()), "payload": pa.array([pickle.dumps(held)], pa.binary())})
 
-    n_parts = first.count()
     both = asked.unionByName(first)
     packed = both.groupBy("part").applyInArrow(fixed, "part int, payload binary")
     total = numbered.agg(F.sum("weight")).head()[0] or 0.0
-    return Parts(cut(packed.repartition(n_parts or 1, "part")), first, names, n_parts, float(total))
+    with settings(spark, {"spark.sql.adaptive.enabled": "false"}):  # so that the table keeps its partitioning
+        fixed = cut(packed.repartition(n_parts, "part"))
+    return Parts(fixed, first, names, n_parts, float(total))
 
 
 # ------------------------------------------------------------------------- epochs

@@ -124,3 +124,18 @@ def test_layout_is_repeatable(spark):
 def test_curve_matches_known_values():
     a, b = layout.curve(0.1)
     assert abs(a - 1.577) < 0.05 and abs(b - 0.895) < 0.03
+
+
+def test_each_part_has_a_partition_of_its_own(spark, monkeypatch):
+    """No task of an epoch works on two parts while others have none, and the fixed rows stay where they lie."""
+    monkeypatch.setattr(layout.nearest, "group_rows", lambda n: 16)
+    _, df = points(spark)
+    start = df.select("id", F.lit(0.0).alias("x"), F.lit(1.0).alias("y"))
+    edges = layout.symmetrise(layout.neighbor_weights(knn(df, "id", "v", 5), "umap"), "umap")
+    parts = layout._dealt(df.select("id", F.col("v").alias("vec")), start, edges, None)
+    homes = [r[0] for r in parts.fixed.select(F.spark_partition_id()).collect()]
+    assert len(homes) > 5 and len(set(homes)) == len(homes)
+    with layout.settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        sent = parts.start.repartition(parts.n_parts, "part")
+        met = sent.groupBy("part").cogroup(parts.fixed.groupBy("part")).applyInArrow(lambda a, b: a, layout.SENT)
+        assert met._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
