@@ -307,3 +307,25 @@ def batch_faults(batches: DataFrame, samples: DataFrame, id_col: str, capacity:
     whole = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("places", "over", "arities", "repeats")]
     fitting = (F.coalesce("wait", F.lit(0)) - F.coalesce("shared", F.lit(0))).cast("bigint").alias("fitting")
     return out.select("batch", *whole, fitting)
+
+
+def use_faults(batches: DataFrame, samples: DataFrame, id_col: str, capacity: DataFrame) -> DataFrame:
+    """(use, dataset, id, repeats, fitting): for each use its texts that its batch holds twice and, if it has no batch, the
+    batches that have a free place for its dataset and share no text with it.
+
+    The same check as :func:`batch_faults`, use by use: a use that is lost is missed here.
+    """
+    rows = write_and_read(batches.join(samples.select("dataset", id_col, "texts"), ["dataset", id_col], "left"), "uses-checked")
+    members, waiting = rows.filter("batch IS NOT NULL"), rows.filter("batch IS NULL")
+    marks = write_and_read(_marks(members, "batch", "use"), "uses-marks")
+    twice = marks.groupBy("batch", "mark").count().filter("count > 1").select("batch", "mark")
+    repeats = marks.join(twice, ["batch", "mark"]).groupBy("use").agg(F.count(F.lit(1)).alias("repeats"))
+    filled = capacity.join(members.groupBy("batch", "dataset").agg(F.count(F.lit(1)).alias("n")), ["batch", "dataset"], "left")
+    short = filled.filter(F.coalesce("n", F.lit(0)) < F.col("places")).select("batch", "dataset")
+    free = short.groupBy("dataset").agg(F.count(F.lit(1)).alias("free"))  # one row per dataset
+    there = marks.select("batch", "mark").distinct().join(short, "batch")
+    shared = _marks(waiting, "use", "dataset").join(there, ["dataset", "mark"]).groupBy("use").agg(F.count_distinct("batch").alias("shared"))
+    out = rows.join(F.broadcast(free), "dataset", "left").join(shared, "use", "left").join(repeats, "use", "left")
+    fits = F.when(F.col("batch").isNull(), F.coalesce("free", F.lit(0)) - F.coalesce("shared", F.lit(0))).otherwise(0)
+    return out.select(F.col("use").cast("bigint").alias("use"), "dataset", id_col, F.coalesce("repeats", F.lit(0)).cast("bigint").alias("repeats"),
+                      fits.cast("bigint").alias("fitting"))

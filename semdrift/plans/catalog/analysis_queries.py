@@ -515,15 +515,32 @@ def p04(spark, sf_dir):
     return drawn.select("batch", F.col("draw").cast("bigint").alias("draw"), F.col("slot").cast("bigint").alias("slot"), "dataset", "id")
 
 
-@query("p05_unique_batches", f"""WITH {DRAWS}
+@query("p05_unique_batches", f"""WITH {DRAWS},
+turned AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY batch, draw) AS turn FROM draws),
+slots AS (SELECT *, unnest(generate_series(0, {PLAN.per_dataset - 1})) AS slot FROM turned),
+ordered AS (SELECT dataset, id, row_number() OVER (PARTITION BY dataset ORDER BY md5('42:0:' || id), id) AS ord FROM samples),
+counts AS (SELECT dataset, count(*) AS n FROM samples GROUP BY dataset),
+meant AS (SELECT (batch * {PLAN.datasets_per_batch} + draw) * {PLAN.per_dataset} + slot AS use, dataset, id
+          FROM slots JOIN counts USING (dataset) JOIN ordered USING (dataset) WHERE ord = ((turn - 1) * {PLAN.per_dataset} + slot) % n + 1),
+rest AS (SELECT dataset, id FROM samples WHERE dataset IN ({", ".join(f"'{n}'" for n, _, _ in WEIGHTS)}) EXCEPT SELECT dataset, id FROM meant),
+uses AS (SELECT use, dataset, id FROM meant UNION ALL
+         SELECT row_number() OVER (ORDER BY md5('42:rest:' || id), dataset, id) + n * {PLAN.global_size}, dataset, id FROM rest, size)
 SELECT batch, CAST({PLAN.global_size} AS BIGINT) AS places, CAST(0 AS BIGINT) AS over, CAST(1 AS BIGINT) AS arities,
-       CAST(0 AS BIGINT) AS repeats, CAST(0 AS BIGINT) AS fitting FROM batches""")
+       CAST(0 AS BIGINT) AS repeats, CAST(0 AS BIGINT) AS fitting, CAST(NULL AS BIGINT) AS use, CAST(NULL AS VARCHAR) AS dataset,
+       CAST(NULL AS BIGINT) AS id FROM batches
+UNION ALL SELECT NULL, NULL, NULL, NULL, 0, 0, use, dataset, id FROM uses""")
 def p05(spark, sf_dir):
-    """Batches over the weighted draws: of one arity, no text twice, short only where no waiting sample fits."""
+    """Batches over the weighted draws: of one arity, no text twice, short only where no waiting sample fits.
+
+    A row for each batch with what is wrong with it, and a row for each use of a sample, in a batch or passed over.
+    """
     rows = samples(spark, sf_dir)
     n_batches = -(-rows.count() // PLAN.global_size)
     found = write_and_read(batches.training_batches(rows, "id", WEIGHTS, PLAN, n_batches), "p05-batches")
-    return batches.batch_faults(found, rows, "id", batches.batch_capacity(spark, WEIGHTS, PLAN, n_batches))
+    capacity = batches.batch_capacity(spark, WEIGHTS, PLAN, n_batches)
+    checked = batches.batch_faults(found, rows, "id", capacity)
+    uses = batches.use_faults(found, rows, "id", capacity)
+    return checked.unionByName(uses, allowMissingColumns=True)
 
 
 @query("p05_batches_in_order", f"""WITH {SAMPLES}

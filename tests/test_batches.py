@@ -119,3 +119,19 @@ def test_faults_are_seen(spark):
     rows = {r["batch"]: r for r in batches.batch_faults(found, samples, "id", capacity).collect()}
     assert (rows[0]["arities"], rows[0]["repeats"], rows[0]["fitting"], rows[0]["over"]) == (2, 1, 1, 0)
     assert (rows[1]["arities"], rows[1]["repeats"], rows[1]["fitting"], rows[1]["over"]) == (1, 0, 0, 1)
+    uses = {r["use"]: r for r in batches.use_faults(found, samples, "id", capacity).collect()}
+    assert {u: (r["repeats"], r["fitting"]) for u, r in uses.items() if r["repeats"] or r["fitting"]} == {0: (1, 0), 1: (1, 0), 6: (0, 1)}
+    assert sorted(uses) == list(range(8))
+
+
+def test_lost_samples_are_missed(spark, sf_dir, monkeypatch):
+    """Batches that lose samples differ from the SQL: the query has a row for each use of a sample, also of those passed over."""
+    from oracle import compare, connect
+    from semdrift.plans.catalog import load
+
+    key = "p05_unique_batches"
+    query, sql = (found[key] for found in load())
+    assert compare(spark, connect(sf_dir), sf_dir, query, sql)[0] is None
+    whole = batches.training_batches
+    monkeypatch.setattr(batches, "training_batches", lambda *a, **b: whole(*a, **b).filter("batch IS NOT NULL"))
+    assert compare(spark, connect(sf_dir), sf_dir, query, sql)[0] is not None
