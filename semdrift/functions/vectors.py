@@ -36,5 +36,6 @@ def split_vectors(points: DataFrame, vec_col: str, dim: int) -> tuple[DataFrame,
 
 
 def unit(a: Column, floor: float = 1e-12) -> Column:
+    """The length stands beside the elements: inside the function of each element it would be computed once for each of them."""
     size = F.greatest(norm(a), F.lit(floor))
-    return F.transform(a, lambda x: x / size)
+    return F.zip_with(a, F.array_repeat(size, F.size(a)), lambda x, s: x / s)

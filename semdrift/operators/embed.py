@@ -20,6 +20,7 @@ from semdrift.functions.arrow import from_matrix
 from semdrift.functions.vectors import unit
 from semdrift.operators.reduce import Scaler, moments
 from semdrift.operators.skew import latest_per_key
+from semdrift.session import write_and_read
 
 
 def long_enough(text: Column, min_chars: int = 50) -> Column:
@@ -158,6 +159,7 @@ def learned_embedding(documents: DataFrame, key: str, words: Column, dim: int, f
     counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features).transform(
         documents.select(key, words.alias("_words"))
     )
+    counted = write_and_read(counted.select(key, "_tf"), "term-counts")  # read by three passes, as sparse vectors
     weighted = IDF(inputCol="_tf", outputCol="_idf").fit(counted).transform(counted)
     level = Normalizer(p=2.0, inputCol="_idf", outputCol="_unit").transform(weighted)
     rows = level.select(key, vector_to_array("_unit").alias("_unit"))

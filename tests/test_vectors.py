@@ -223,3 +223,26 @@ def test_positions_equal_numpy(spark):
     np.testing.assert_allclose([r["position"] for r in got], scores, atol=1e-9)
     slope = np.polyfit(range(12), scores, 1)[0]
     assert D.trend(D.centroid_positions(centroids)).head()["slope"] == pytest.approx(slope)
+
+
+def test_unit_computes_a_length_once(spark):
+    """A long vector takes time in proportion to its length, not to its square."""
+    import time
+
+    from semdrift.functions.vectors import unit
+
+    rows = spark.range(4).select(F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda x: x.cast("double")).alias("v"))
+    began = time.time()
+    found = rows.select(F.aggregate(unit(F.col("v")), F.lit(0.0), lambda s, x: s + x * x).alias("n")).collect()
+    assert time.time() - began < 15
+    assert all(abs(r["n"] - 1) < 1e-9 for r in found)
+    odd = spark.createDataFrame([([3.0, 4.0],), ([],), (None,), ([0.0],)], "v array<double>").select(unit(F.col("v"))).collect()
+    assert [r[0] for r in odd] == [[0.6, 0.8], [], None, [0.0]]
+
+
+def test_learned_and_weighted_vectors_clean_the_texts_once(spark, sf_dir):
+    """What the last pass reads is the kept table, not the documents."""
+    from semdrift.plans.catalog import load
+
+    for key in ("e05_learned_embedding",):
+        assert not [f for f in load()[0][key](spark, sf_dir).inputFiles() if "documents.parquet" in f]
