@@ -14,7 +14,7 @@ from semdrift.functions.vectors import norm
 from semdrift.operators import clean, cluster, descent, embed, layout, reduce, similar
 from semdrift.plans import stages
 from semdrift.plans.catalog.base import CORPUS, LABELLED, content_list, normalised, query
-from semdrift.session import scratch_path
+from semdrift.session import scratch_path, write_and_read
 from semdrift.sources import landed, sinks
 from semdrift.sources.corpus import corpus, table, texts
 
@@ -94,7 +94,7 @@ w AS (SELECT doc_id, pos, s * (ln((n + 1.0) / (df + 1.0)) + 1.0) AS s FROM d_sum
 v AS (SELECT doc_id, pos, CAST(CAST(s / sqrt(sum(s * s) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE) AS value FROM w WHERE s <> 0)
 SELECT doc_id, pos, round(value, 5) AS value FROM v""")
     def e04_weighted(spark, sf_dir):
-        kept = cleaned_texts(spark, sf_dir).filter(embed.long_enough(F.col("text")))
+        kept = write_and_read(cleaned_texts(spark, sf_dir).filter(embed.long_enough(F.col("text"))).select("doc_id", "text"), "kept-texts")
         weights = embed.bucket_weights(kept, HASHED)
         done = embed.embed_documents(kept, "doc_id", HASHED, weights=weights)
         return long_rounded(done, "doc_id", "embedding", 5).filter("value <> 0")

@@ -244,5 +244,5 @@ def test_learned_and_weighted_vectors_clean_the_texts_once(spark, sf_dir):
     """What the last pass reads is the kept table, not the documents."""
     from semdrift.plans.catalog import load
 
-    for key in ("e05_learned_embedding",):
+    for key in ("e04_weighted_hash_embedding", "e05_learned_embedding"):
         assert not [f for f in load()[0][key](spark, sf_dir).inputFiles() if "documents.parquet" in f]
