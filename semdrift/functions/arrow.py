@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-# Share of the squared lengths below which a squared distance is taken directly, and how many pairs at a time; distances of a strip.
-CLOSE, DIRECT, STRIP = 1e-6, 1 << 14, 1 << 17
+# Share of the squared lengths below which a squared distance is taken directly, and how many pairs at a time; distances and columns of a tile.
+CLOSE, DIRECT, TILE, COLUMNS = 1e-6, 1 << 14, 1 << 16, 512
 
 
 def to_matrix(column: pa.Array | pa.ChunkedArray, dim: int | None = None, kind: type = np.float64) -> np.ndarray:
@@ -43,22 +43,24 @@ def distances(a: np.ndarray, b: np.ndarray, same: bool = False) -> np.ndarray:
         a, b = a - middle, b - middle
     long_a, long_b = (a * a).sum(1), (b * b).sum(1)
     out = np.empty((len(a), len(b)))
-    rows = max(1, STRIP // max(1, len(b)))
-    for low in range(0, len(a), rows):  # strips that stay in a core's cache
-        part = a[low:low + rows]
-        lengths = long_a[low:low + rows, None] + long_b
-        squared = np.matmul(part, b.T, out=out[low:low + rows])
-        squared *= 2.0
-        np.subtract(lengths, squared, out=squared)
-        lengths *= CLOSE
-        near = squared < lengths
-        if near.any():
-            r, c = np.nonzero(near)
-            for at in range(0, len(r), DIRECT):
-                i, j = r[at:at + DIRECT], c[at:at + DIRECT]
-                squared[i, j] = ((part[i] - b[j]) ** 2).sum(1)
-        np.maximum(squared, 0.0, out=squared)
-        np.sqrt(squared, out=squared)
+    for left in range(0, len(b), COLUMNS):  # tiles that stay in a core's cache
+        other, long_other = b[left:left + COLUMNS], long_b[left:left + COLUMNS]
+        rows = max(1, TILE // len(other))
+        for low in range(0, len(a), rows):
+            part = a[low:low + rows]
+            lengths = long_a[low:low + rows, None] + long_other
+            squared = part @ other.T
+            squared *= 2.0
+            np.subtract(lengths, squared, out=squared)
+            lengths *= CLOSE
+            near = squared < lengths
+            if near.any():
+                r, c = np.nonzero(near)
+                for at in range(0, len(r), DIRECT):
+                    i, j = r[at:at + DIRECT], c[at:at + DIRECT]
+                    squared[i, j] = ((part[i] - other[j]) ** 2).sum(1)
+            np.maximum(squared, 0.0, out=squared)
+            np.sqrt(squared, out=out[low:low + rows, left:left + COLUMNS])
     if same:
         np.fill_diagonal(out, 0.0)
     return out

@@ -34,7 +34,7 @@ SAMPLE_ROWS = 4096
 LEAST_GROUP, MOST_GROUP = 256, 1 << 16
 PART_BLOCKS = 16
 FIRST, GROWTH = 16, 4
-MAX_CELLS = 1 << 22  # distances held at a time
+MAX_CELLS, HEAD = 1 << 22, 1024  # distances held at a time, columns that a first limit is taken from
 # Distances equal to this many decimals are ties; the smaller id comes first.
 DECIMALS = 9
 SLACK = 1e-6
@@ -192,6 +192,25 @@ def smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return rows, picked.ravel()
 
 
+def _closest(d: np.ndarray, ids: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and rounded distances of the k smallest entries of each row that are within its ``limit``, ties by the smaller id.
+
+    Only entries up to the limit are rounded and sorted; a row without one takes the k-th of its first columns.
+    """
+    bound, open_rows = limit + 10.0 ** -DECIMALS, np.flatnonzero(np.isinf(limit))
+    if len(open_rows) and d.shape[1] > k:
+        head = d[open_rows, :max(HEAD, 4 * k)]
+        bound[open_rows] = np.partition(head, k - 1, axis=1)[:, k - 1] + 10.0 ** -DECIMALS
+    r, c = np.nonzero(d <= bound[:, None])
+    found = np.round(d[r, c], DECIMALS)
+    keep = np.isfinite(found) & (found <= limit[r])
+    r, c, found = r[keep], c[keep], found[keep]
+    order = np.lexsort((ids[c], found, r))
+    r, c, found = r[order], c[order], found[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[keep], c[keep], found[keep]
+
+
 ASKED = "grp bigint, block bigint, nth bigint, pos bigint"
 FOUND = "grp bigint, leaf bigint, id bigint, neighbor bigint, distance double"
 
@@ -242,16 +261,14 @@ def _meet(k: int, itself: bool):
         rows = max(1, MAX_CELLS // len(others))
         out = []
         for at in range(0, len(ids), rows):
-            d = np.round(distances(x[at:at + rows], y), DECIMALS)
-            own = ids[at:at + rows]
+            d = distances(x[at:at + rows], y)
+            own, limit = ids[at:at + rows], kth[at:at + rows]
             if itself:
                 place = by_id[np.minimum(np.searchsorted(others, own, sorter=by_id), len(others) - 1)]
                 same = np.flatnonzero(others[place] == own)
                 d[same, place[same]] = np.inf
-            r, c = smallest(d, others, k)
-            keep = d[r, c] <= kth[at + r]
-            keep &= np.isfinite(d[r, c])
-            out.append((at + r[keep], c[keep], d[r[keep], c[keep]]))
+            r, c, found = _closest(d, others, k, limit)
+            out.append((at + r, c, found))
         r, c, d = (np.concatenate(p) for p in zip(*out))
         return pa.table({
             "grp": asking.column("grp").take(pa.array(r)), "leaf": asking.column("leaf").take(pa.array(r)),

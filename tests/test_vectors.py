@@ -246,3 +246,38 @@ def test_learned_and_weighted_vectors_clean_the_texts_once(spark, sf_dir):
 
     for key in ("e04_weighted_hash_embedding", "e05_learned_embedding"):
         assert not [f for f in load()[0][key](spark, sf_dir).inputFiles() if "documents.parquet" in f]
+
+
+def test_a_neighbour_task_holds_its_distances_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from semdrift.functions.arrow import from_matrix
+    from semdrift.operators import nearest
+
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(0, 3, (300, 6)) * 0.1, rng.integers(0, 3, (30_000, 6)) * 0.1  # many ties
+    y[:] += rng.normal(size=y.shape) * (np.arange(len(y)) % 3 > 0)[:, None]
+    ids = rng.permutation(30_000)
+
+    def table(v, names, **more):
+        return pa.table({"id": pa.array(names, pa.int64()), "vec": from_matrix(v, pa.float64()), **more})
+
+    d = np.round(np.sqrt(((x[:, None] - y[None]) ** 2).sum(2)), nearest.DECIMALS)
+    want = [ids[np.lexsort((ids, row))[:15]].tolist() for row in d]
+    some = np.sort(d, axis=1)[:, 4]
+    for kth in (np.full(len(x), np.nan), some):
+        n = pa.array(np.zeros(len(x), np.int64))
+        asking = table(x, np.arange(len(x)), grp=n, leaf=n, kth=pa.array(kth, from_pandas=True))
+        tracemalloc.start()
+        got = nearest._meet(15, False)(asking, table(y, ids))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 3 * 8 * nearest.MAX_CELLS
+        lists = [[] for _ in x]
+        for i, j in zip(got.column("id").to_pylist(), got.column("neighbor").to_pylist()):
+            lists[i].append(j)
+        limit = np.where(np.isnan(kth), np.inf, kth)
+        place = {int(i): at for at, i in enumerate(ids)}
+        assert lists == [[j for j in w if d[i, place[j]] <= limit[i]] for i, w in enumerate(want)]
