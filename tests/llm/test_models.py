@@ -318,6 +318,43 @@ def test_language_model_takes_odd_and_empty_tables(spark, odd):
     assert all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in none)
 
 
+@pytest.mark.parametrize("stretch", [contextmix.STRETCH, 500])
+def test_training_inputs_leave_out_each_texts_own_counts(monkeypatch, stretch):
+    """Over short texts together and over long ones, against plain counts by key."""
+    monkeypatch.setattr(contextmix, "STRETCH", stretch)
+    rng = random.Random(12)
+    texts = [prose(rng, n) for n in (30, 5, 400, 60, 0)] + ["ko ba ko ba"] * 2
+    spell = contextmix.spelling(np.ones((256, 256), np.int64))
+    found = []
+    for t in texts:
+        low = LOWER[np.frombuffer(t.encode(), np.uint8)]
+        found.append([d for _, d in contextmix.spelled(contextmix.stream(low, *word_bounds(low, np.array([0, len(low)]), SPACED)), spell)])
+    own = [Counter(pair for d in ds for keys in d.keys for pair in zip(keys.tolist(), d.bit.tolist())) for ds in found]
+    every = sum(own, Counter())
+    keys = np.array(sorted({k for k, _ in every}))
+    counts = np.array([[every[k, 0], every[k, 1]] for k in keys.tolist()])
+    table = contextmix.Known(keys, contextmix.with_times(contextmix.packed(counts), counts.sum(axis=1)))
+    long = [len(t.encode()) > stretch for t in texts]
+    want = [
+        contextmix.packed(np.array([[every[k, b] - own[i][k, b] for b in (0, 1)] for k in d.keys[2].tolist()]).reshape(-1, 2)) >> 2
+        for now in (False, True) for i, ds in enumerate(found) if long[i] == now for d in ds
+    ]
+    got = [x[2] for x, _, _ in contextmix.training_inputs(pa.array(texts), table, spell)]
+    np.testing.assert_allclose(np.concatenate(got), np.concatenate(want) / contextmix.SCALE, atol=1e-6)
+    _, n = contextmix.fit_piece(contextmix.training_inputs(pa.array(texts), table, spell))
+    assert n == sum(len(x) for x in want)
+
+
+def test_starting_weights_take_no_sample(spark, monkeypatch):
+    def never(train):
+        raise AssertionError("a sample was drawn")
+
+    monkeypatch.setattr(contextmix, "weight_sample", never)
+    rng = random.Random(13)
+    docs = spark.createDataFrame([(i, prose(rng, 20)) for i in range(30)], "doc_id long, text string")
+    assert contextmix.lm_scores(docs, F.col("doc_id") < 20).count() == 30
+
+
 # ------------------------------------------------------------------ main text of pages
 
 
