@@ -44,7 +44,7 @@ END_ID = 0
 #: Encodings of words that a worker keeps in each of two generations.
 CACHE_WORDS = 500_000
 SEGMENT = 1 << 22
-#: Words that are handed to the library as lines of one text, and the longest of them.
+#: Words that are handed to the library in one text, and the longest of them.
 LINES, LINE_CHARS = 512, 256
 
 _FILES = pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
@@ -56,16 +56,19 @@ _READ = pa.schema([
 
 # ------------------------------------------------------------------ encoding
 
-#: A space after a character that may be white space itself, for texts in which a plain search finds one.
-_SPACES = tuple(bytes([c]) + b" " for c in (*range(9, 14), *range(28, 33))) + (b"\xc2\x85 ", b"\xc2\xa0 ")
-_WIDE = re.compile(rb"[\xe1-\xe3][\x80-\xbf][\x80-\xbf] ")
 _CUT = re.compile(rb"(?<![\x00-\x20\x7f])(?<!\xc2[\x85\xa0])(?<![\xe1-\xe3][\x80-\xbf][\x80-\xbf]) ")
+_BLANK = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
 
 
-def _odd(text: bytes) -> bool:
-    if any(x in text for x in _SPACES):
-        return True
-    return any(x in text for x in (b"\xe1", b"\xe2", b"\xe3")) and _WIDE.search(text) is not None
+def _odd(texts: list[bytes]) -> set[int]:
+    """The texts with a space after a character that may be white space itself; in the others a plain search finds where to cut."""
+    data = np.frombuffer(b"###" + b"###".join(texts), np.uint8)
+    at = np.flatnonzero(data == 32)
+    one, two, three = (data[at - k] for k in (1, 2, 3))
+    blank = _BLANK[one] | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0)))
+    blank |= (three >= 0xE1) & (three <= 0xE3) & (two >= 0x80) & (two < 0xC0) & (one >= 0x80) & (one < 0xC0)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 3)
+    return set(np.searchsorted(ends, at[blank], side="right").tolist())
 
 
 class Encoder:
@@ -85,39 +88,71 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = plain_specials
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        #: Bytes that white space, in UTF-8, and the names of special tokens begin with.
+        self.marks = np.zeros(256, bool)
+        self.marks[[*range(33), 0xC2, 0xE1, 0xE2, 0xE3, *(t.encode()[0] for t in self.specials if t)]] = True
+        #: Tokens that begin with a space, which byte-level vocabularies write as the letter U+0120.
+        names = self.library.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(names.values()) + 1, bool)
+        self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True
         (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.first: dict[bytes, bytes] = {}
 
     def _encoded(self, words: list[bytes], lead: str) -> list[bytes]:
-        """The ids of each word. Plain words go to the library many at a time, as lines of one text.
+        """The ids of each word. Plain words go to the library many at a time, as one text with a space before each.
 
-        A line break before a space is always a piece, and a token, of its
-        own, so the ids part at it; so is one inside a word. Words with other white space or a special token's name in them go one by one.
+        Such a space always begins a piece, so the ids part at the tokens that begin with one. Words that hold line breaks, or bytes that other white
+        space may begin with, go as lines of one text: a line break before a space is always a piece, and a token, of its
+        own; so is one inside a word. Words with other white space or a special token's name in them go one by one.
         """
-        texts = [lead + w.decode("utf-8", "replace") for w in words]
-        plain = [
-            i for i, t in enumerate(texts)
-            if lead and len(t) < LINE_CHARS and t.split() == t[1:].split("\n") and not any(x in t for x in self.specials)
-        ]
-        out: list[bytes | None] = [None] * len(texts)
-        lines = [plain[at:at + LINES] for at in range(0, len(plain), LINES)]
-        for own, e in zip(lines, self.library.encode_batch_fast(["\n".join([texts[i] for i in own]) for own in lines], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
-            last = np.cumsum([1 + texts[i].count("\n") for i in own]) - 1
-            if len(ends) != last[-1] + 1:
-                raise ValueError("the tokenizer does not part words at line breaks")
-            raw, at = ids.tobytes(), 0
-            for i, end in zip(own, (4 * ends[last]).tolist()):
-                out[i] = raw[at:end]
-                at = end + 4
+        out: list[bytes | None] = [None] * len(words)
+        if lead:
+            odd = self._maybe_odd(words)
+            plain = np.flatnonzero(~odd).tolist()
+            lines = [plain[at:at + LINES] for at in range(0, len(plain), LINES)]
+            texts = [(b" " + b" ".join([words[i] for i in own])).decode("utf-8", "replace") for own in lines]
+            for own, e in zip(lines, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                first = np.flatnonzero(self.spaced[ids])
+                if len(first) != len(own):
+                    raise ValueError("the tokenizer does not part words at spaces")
+                raw, edges = ids.tobytes(), (4 * np.append(first, len(ids))).tolist()
+                for i, low, high in zip(own, edges, edges[1:]):
+                    out[i] = raw[low:high]
+            some = {i: lead + words[i].decode("utf-8", "replace") for i in np.flatnonzero(odd).tolist()}
+            plain = [
+                i for i, t in some.items()
+                if len(t) < LINE_CHARS and t.split() == t[1:].split("\n") and not any(x in t for x in self.specials)
+            ]
+            lines = [plain[at:at + LINES] for at in range(0, len(plain), LINES)]
+            texts = ["\n".join([some[i] for i in own]) for own in lines]
+            for own, e in zip(lines, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+                last = np.cumsum([1 + some[i].count("\n") for i in own]) - 1
+                if len(ends) != last[-1] + 1:
+                    raise ValueError("the tokenizer does not part words at line breaks")
+                raw, at = ids.tobytes(), 0
+                for i, end in zip(own, (4 * ends[last]).tolist()):
+                    out[i] = raw[at:end]
+                    at = end + 4
         rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.library.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+        texts = [lead + words[i].decode("utf-8", "replace") for i in rest]
+        for i, e in zip(rest, self.library.encode_batch_fast(texts, add_special_tokens=False)):
             out[i] = array("I", e.ids).tobytes()
         return out
 
+    def _maybe_odd(self, words: list[bytes]) -> np.ndarray:
+        """Whether a word is empty or long, or holds a byte that white space or a special token's name may begin with."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size)
+        marked = np.flatnonzero(self.marks[np.frombuffer(b"".join(words), np.uint8)])
+        odd = (size == 0) | (size >= LINE_CHARS - 1)
+        odd[np.searchsorted(ends, marked, side="right")] = True
+        return odd
+
     def _learn(self, words: set[bytes], known: dict[bytes, bytes], older: dict[bytes, bytes], lead: str) -> None:
         unknown = words.difference(known)
         back = unknown.intersection(older)
@@ -126,7 +161,8 @@ class Encoder:
         known.update(zip(new, self._encoded(new, lead)))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = [_CUT.split(t) if _odd(t) else t.split(b" ") for t in texts]
+        odd = _odd(texts)
+        parts = [_CUT.split(t) if i in odd else t.split(b" ") for i, t in enumerate(texts)]
         heads, rest = set(), set()
         for p in parts:
             heads.add(p[0])

@@ -182,3 +182,30 @@ def test_planes_round_trip(unit):
     ids = np.random.default_rng(9).integers(0, 2**32, 1001, dtype=np.uint64).astype("<u4")
     for n in (0, 1, 8, 1001):
         assert (tokenfiles.from_planes(tokenfiles.planes(ids[:n], unit), n, unit) == ids[:n]).all()
+
+
+def test_words_are_parted_at_spaces_as_the_library_parts_them():
+    """Every kind of white space, word and text boundary, against the library on the whole text; what may be odd is found in bulk."""
+    rng = random.Random(21)
+    blanks = [" ", "  ", "\n", "\n\n", " \n ", "\t", "\r\n ", "  ", "\u0085 ", "  ", "　 ", "  ", "\x1c ", "\x7f "]
+    words = ["a", "it's", "naïve", "été", "x" * 300, "…", "漢字", "12,5", "#$%", "<|endoftext|>", "<", "Ġ", "à", "​", "é"]
+    texts = ["", " ", " a", "a ", "  a  "] + ["".join(rng.choice(words) + rng.choice(blanks[:1] * 12 + blanks) for _ in range(60)) for _ in range(150)]
+    encoder = tokenfiles.Encoder(VOCABULARY)
+    got = encoder.encode([t.encode() for t in texts])
+    for t, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.library.encode(t, add_special_tokens=False).ids
+    spaced = [i for i, t in enumerate(texts) if tokenfiles._CUT.split(t.encode()) != t.encode().split(b" ")]
+    assert set(spaced) <= tokenfiles._odd([t.encode() for t in texts])
+
+
+def test_plain_words_reach_the_library_in_one_text(monkeypatch):
+    encoder, seen = tokenfiles.Encoder(VOCABULARY), []
+
+    class Noted:
+        def encode_batch_fast(self, texts, **how):
+            seen.extend(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    library, encoder.library = encoder.library, Noted()
+    encoder.encode([b"first some plain words"])
+    assert len(seen) == 2 and sorted(max(seen, key=len).split(" ")) == ["", "plain", "some", "words"]
