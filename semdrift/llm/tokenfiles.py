@@ -57,26 +57,61 @@ _READ = pa.schema([
 # ------------------------------------------------------------------ encoding
 
 _CUT = re.compile(rb"(?<![\x00-\x20\x7f])(?<!\xc2[\x85\xa0])(?<![\xe1-\xe3][\x80-\xbf][\x80-\xbf]) ")
-_BLANK = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+_BLANK = np.isin(np.arange(256), [*range(33), 127])
+_LETTER = np.isin(np.arange(256), [*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
+#: Signs of ASCII without the apostrophe, which may begin a piece such as 's.
+_SIGN = np.isin(np.arange(256), [*b"!#$%&*,.:;?@"])
+
+
+def _after_blank(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a character that may be white space itself ends before each place; places lie three bytes from the start at least."""
+    one, two, three = (data[at - k] for k in (1, 2, 3))
+    blank = _BLANK[one] | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0)))
+    return blank | ((three >= 0xE1) & (three <= 0xE3) & (two >= 0x80) & (two < 0xC0) & (one >= 0x80) & (one < 0xC0))
 
 
 def _odd(texts: list[bytes]) -> set[int]:
-    """The texts with a space after a character that may be white space itself; in the others a plain search finds where to cut."""
+    """The texts with a space after a character that may be white space itself."""
     data = np.frombuffer(b"###" + b"###".join(texts), np.uint8)
     at = np.flatnonzero(data == 32)
-    one, two, three = (data[at - k] for k in (1, 2, 3))
-    blank = _BLANK[one] | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0)))
-    blank |= (three >= 0xE1) & (three <= 0xE3) & (two >= 0x80) & (two < 0xC0) & (one >= 0x80) & (one < 0xC0)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 3)
-    return set(np.searchsorted(ends, at[blank], side="right").tolist())
+    return set(np.searchsorted(ends, at[_after_blank(data, at)], side="right").tolist())
+
+
+def _spans(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes between one edge and the next, which share the buffer of ``data``."""
+    return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+
+
+def _merged(at: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """All places of both, in order and once."""
+    marked = np.zeros(int(edges[-1]) + 1, bool)
+    marked[at] = marked[edges] = True
+    return np.flatnonzero(marked)
+
+
+def _plain(spans: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and the edges of an array that :meth:`take` has made."""
+    _, where, raw = spans.buffers()
+    edges = np.frombuffer(where, np.int64, len(spans) + 1)
+    return np.frombuffer(raw, np.uint8, int(edges[-1])) if edges[-1] else np.zeros(0, np.uint8), edges
+
+
+def _listed(spans: pa.Array) -> list[bytes]:
+    data, edges = _plain(spans)
+    raw, ends = data.tobytes(), edges.tolist()
+    return [raw[low:high] for low, high in zip(ends, ends[1:])]
 
 
 class Encoder:
     """Ids of texts as little-endian 32-bit numbers, word by word.
 
     The tokenizer always starts a new piece at a space that follows a
-    character other than white space, so what stands between two such spaces
-    is encoded by the library once and looked up from then on. Special tokens
+    character other than white space, so a word, with that space, is encoded
+    by the library once and looked up from then on. A word that was not met
+    before is cut at line breaks and before signs that follow a letter, where
+    a piece begins, too; only parts that were not met go to the library.
+    Special tokens
     hold no space, so one that stands in a text lies within such a word; the library takes it for the token that it names, or
     with ``plain_specials`` for ordinary text.
     """
@@ -88,93 +123,135 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = plain_specials
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        #: Bytes that white space, in UTF-8, and the names of special tokens begin with.
+        #: Bytes that white space, in UTF-8, and the names of special tokens begin with; the same without the line break.
         self.marks = np.zeros(256, bool)
         self.marks[[*range(33), 0xC2, 0xE1, 0xE2, 0xE3, *(t.encode()[0] for t in self.specials if t)]] = True
+        self.line_marks = self.marks.copy()
+        self.line_marks[10] = False
         #: Tokens that begin with a space, which byte-level vocabularies write as the letter U+0120.
         names = self.library.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(names.values()) + 1, bool)
         self.spaced[[i for name, i in names.items() if name.startswith("\u0120")]] = True
         (self.line_end,) = self.library.encode("\n", add_special_tokens=False).ids
+        #: Whether the tokenizer begins a piece at line breaks and signs, whatever stands before.
+        ids = [self.library.encode(t, add_special_tokens=False).ids for t in ("a.,\nb;c1!", "a", ".,", "\n", "b", ";c", "1", "!")]
+        self.parted = ids[0] == sum(ids[1:], [])
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.first: dict[bytes, bytes] = {}
 
-    def _encoded(self, words: list[bytes], lead: str) -> list[bytes]:
-        """The ids of each word. Plain words go to the library many at a time, as one text with a space before each.
+    def _encoded(self, words: list[bytes], odd: np.ndarray) -> list[bytes]:
+        """The ids of each word; ``odd`` marks the empty and long ones, and those with bytes that white space or a special token's name may begin with.
 
-        Such a space always begins a piece, so the ids part at the tokens that begin with one. Words that hold line breaks, or bytes that other white
-        space may begin with, go as lines of one text: a line break before a space is always a piece, and a token, of its
+        Plain words go to the library many at a time, those that begin with a space as one text:
+        such a space always begins a piece, so the ids part at the tokens that begin with one. Words without it, and
+        words that hold line breaks, or bytes that other white
+        space may begin with, go as lines of one text: a line break before a word is always a piece, and a token, of its
         own; so is one inside a word. Words with other white space or a special token's name in them go one by one.
         """
         out: list[bytes | None] = [None] * len(words)
-        if lead:
-            odd = self._maybe_odd(words)
-            plain = np.flatnonzero(~odd).tolist()
-            lines = [plain[at:at + LINES] for at in range(0, len(plain), LINES)]
-            texts = [(b" " + b" ".join([words[i] for i in own])).decode("utf-8", "replace") for own in lines]
-            for own, e in zip(lines, self.library.encode_batch_fast(texts, add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4")
-                first = np.flatnonzero(self.spaced[ids])
-                if len(first) != len(own):
-                    raise ValueError("the tokenizer does not part words at spaces")
-                raw, edges = ids.tobytes(), (4 * np.append(first, len(ids))).tolist()
-                for i, low, high in zip(own, edges, edges[1:]):
-                    out[i] = raw[low:high]
-            some = {i: lead + words[i].decode("utf-8", "replace") for i in np.flatnonzero(odd).tolist()}
-            plain = [
-                i for i, t in some.items()
-                if len(t) < LINE_CHARS and t.split() == t[1:].split("\n") and not any(x in t for x in self.specials)
-            ]
-            lines = [plain[at:at + LINES] for at in range(0, len(plain), LINES)]
-            texts = ["\n".join([some[i] for i in own]) for own in lines]
-            for own, e in zip(lines, self.library.encode_batch_fast(texts, add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4")
-                ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
-                last = np.cumsum([1 + some[i].count("\n") for i in own]) - 1
-                if len(ends) != last[-1] + 1:
-                    raise ValueError("the tokenizer does not part words at line breaks")
-                raw, at = ids.tobytes(), 0
-                for i, end in zip(own, (4 * ends[last]).tolist()):
-                    out[i] = raw[at:end]
-                    at = end + 4
+        spaced = [i for i, is_odd in enumerate(odd.tolist()) if not is_odd and words[i][:1] == b" "]
+        lines = [spaced[at:at + LINES] for at in range(0, len(spaced), LINES)]
+        texts = [b"".join([words[i] for i in own]).decode("utf-8", "replace") for own in lines]
+        for own, e in zip(lines, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            first = np.flatnonzero(self.spaced[ids])
+            if len(first) != len(own):
+                raise ValueError("the tokenizer does not part words at spaces")
+            raw, edges = ids.tobytes(), (4 * np.append(first, len(ids))).tolist()
+            for i, low, high in zip(own, edges, edges[1:]):
+                out[i] = raw[low:high]
+        some = {i: words[i].decode("utf-8", "replace") for i, x in enumerate(out) if x is None}
+        plain = [
+            i for i, t in some.items()
+            if len(t) < LINE_CHARS and (t[:1] == " " or self.parted)
+            and t.split() == t.removeprefix(" ").split("\n") and not any(x in t for x in self.specials)
+        ]
+        lines = [plain[at:at + LINES] for at in range(0, len(plain), LINES)]
+        texts = ["\n".join([some[i] for i in own]) for own in lines]
+        for own, e in zip(lines, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+            last = np.cumsum([1 + some[i].count("\n") for i in own]) - 1
+            if len(ends) != last[-1] + 1:
+                raise ValueError("the tokenizer does not part words at line breaks")
+            raw, at = ids.tobytes(), 0
+            for i, end in zip(own, (4 * ends[last]).tolist()):
+                out[i] = raw[at:end]
+                at = end + 4
         rest = [i for i, x in enumerate(out) if x is None]
-        texts = [lead + words[i].decode("utf-8", "replace") for i in rest]
-        for i, e in zip(rest, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+        for i, e in zip(rest, self.library.encode_batch_fast([some[i] for i in rest], add_special_tokens=False)):
             out[i] = array("I", e.ids).tobytes()
         return out
 
-    def _maybe_odd(self, words: list[bytes]) -> np.ndarray:
-        """Whether a word is empty or long, or holds a byte that white space or a special token's name may begin with."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(size)
-        marked = np.flatnonzero(self.marks[np.frombuffer(b"".join(words), np.uint8)])
-        odd = (size == 0) | (size >= LINE_CHARS - 1)
-        odd[np.searchsorted(ends, marked, side="right")] = True
+    @staticmethod
+    def _maybe_odd(data: np.ndarray, edges: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Whether a word is empty or long, or holds one of the bytes ``marks`` after the space that it may begin with."""
+        size = np.diff(edges)
+        marked = marks[data]
+        heads = edges[:-1][size > 0]
+        heads = heads[data[heads] == 32]
+        marked[heads] = False
+        odd = (size == 0) | (size >= LINE_CHARS)
+        odd[np.searchsorted(edges, heads, side="right") - 1] |= size[np.searchsorted(edges, heads, side="right") - 1] == 1
+        odd[np.searchsorted(edges, np.flatnonzero(marked), side="right") - 1] = True
         return odd
 
-    def _learn(self, words: set[bytes], known: dict[bytes, bytes], older: dict[bytes, bytes], lead: str) -> None:
-        unknown = words.difference(known)
-        back = unknown.intersection(older)
-        known.update(zip(back, map(older.__getitem__, back)))
-        new = list(unknown.difference(back))
-        known.update(zip(new, self._encoded(new, lead)))
+    def _by_parts(self, words: pa.Array) -> list[bytes]:
+        """The ids of words, each from those of its parts."""
+        data, edges = _plain(words)
+        odd = self._maybe_odd(data, edges, self.line_marks)
+        line, sign = data == 10, np.zeros(len(data), bool)
+        line[edges[edges < len(data)]] = False  # a break at a word's edge or beside another stays with its word
+        line[edges[1:][edges[1:] > 0] - 1] = False
+        twins = np.flatnonzero((data[1:] == 10) & (data[:-1] == 10))
+        line[twins] = line[twins + 1] = False
+        letter = _LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        sign[1:] = letter[:-1] & _SIGN[data[1:]]
+        here = sign | line
+        here[1:] |= line[:-1]
+        at = np.flatnonzero(here)
+        at = at[~odd[np.searchsorted(edges, at, side="right") - 1]]
+        cuts = _merged(at, edges)
+        found, ends = _plain(self._ids(_spans(data, cuts), False))
+        return _listed(_spans(found, ends[np.searchsorted(cuts, edges)]))
+
+    def _ids(self, words: pa.Array, cut: bool) -> pa.Array:
+        """The ids of each word; those not met before are cut into parts or go to the library."""
+        coded = words.dictionary_encode()
+        names = _listed(coded.dictionary)
+        out = list(map(self.known.get, names))
+        new = []
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            ids = out[i] = self.older.get(names[i])
+            if ids is None:
+                new.append(i)
+            else:
+                self.known[names[i]] = ids
+        if new:
+            some = coded.dictionary.take(pa.array(new))
+            if cut and self.parted:
+                found = self._by_parts(some)
+            else:
+                found = self._encoded([names[i] for i in new], self._maybe_odd(*_plain(some), self.marks))
+            for i, ids in zip(new, found):
+                out[i] = self.known[names[i]] = ids
+        return pa.array(out, pa.large_binary()).take(coded.indices)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        odd = _odd(texts)
-        parts = [_CUT.split(t) if i in odd else t.split(b" ") for i, t in enumerate(texts)]
-        heads, rest = set(), set()
-        for p in parts:
-            heads.add(p[0])
-            rest.update(p[1:])
+        edges = np.cumsum([0, *map(len, texts)])
+        return self.encode_rows(np.frombuffer(b"".join(texts), np.uint8), edges)
+
+    def encode_rows(self, data: np.ndarray, edges: np.ndarray) -> list[bytes]:
+        """The ids of the text between each edge and the next."""
+        if not len(data):
+            return [b""] * (len(edges) - 1)
         if len(self.known) > CACHE_WORDS:  # words in use come back from the older generation, the others are forgotten
             self.known, self.older = {}, self.known
-        if len(self.first) > CACHE_WORDS:
-            self.first = {}
-        self._learn(heads, self.first, {}, "")
-        self._learn(rest, self.known, self.older, " ")
-        get = self.known.__getitem__
-        return [self.first[p[0]] + b"".join(map(get, p[1:])) for p in parts]
+        at = 3 + np.flatnonzero(data[3:] == 32)
+        cuts = _merged(at[~_after_blank(data, at)], edges)
+        ids, ends = _plain(self._ids(_spans(data, cuts), True))
+        return _listed(_spans(ids, ends[np.searchsorted(cuts, edges)]))
 
     def segments(self, text: bytes) -> Iterator[bytes]:
         """The ids of a text of any length, a bounded stretch at a time."""
@@ -323,12 +400,10 @@ def write_files(
                 writer = Writer(out, unit, block_ids)
             ids = b.column(0).to_pylist()
             for first, data, offsets in pieces(b.column(1), SEGMENT):
-                raw, bounds = data.tobytes(), offsets.tolist()
-                if len(bounds) == 2 and len(raw) > SEGMENT:
-                    writer.add(ids[first], (x for part in (encode.segments(raw), [end]) for x in part))
+                if len(offsets) == 2 and len(data) > SEGMENT:
+                    writer.add(ids[first], (x for part in (encode.segments(data.tobytes()), [end]) for x in part))
                     continue
-                found = encode.encode([raw[s:e] for s, e in zip(bounds, bounds[1:])])
-                for k, x in enumerate(found):
+                for k, x in enumerate(encode.encode_rows(data, offsets)):
                     writer.add(ids[first + k], [x, end])
         if writer is not None:
             writer.close()

@@ -209,3 +209,37 @@ def test_plain_words_reach_the_library_in_one_text(monkeypatch):
     library, encoder.library = encoder.library, Noted()
     encoder.encode([b"first some plain words"])
     assert len(seen) == 2 and sorted(max(seen, key=len).split(" ")) == ["", "plain", "some", "words"]
+
+
+def test_parts_of_words_that_were_met_are_not_encoded_again(monkeypatch):
+    """Signs after a word, and lines, come from what is known of the parts; the ids are those of the whole text."""
+    encoder, seen = tokenfiles.Encoder(VOCABULARY), []
+
+    class Noted:
+        def encode_batch_fast(self, texts, **how):
+            seen.extend(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    library, encoder.library = encoder.library, Noted()
+    encoder.encode([b"Start some\nplain words."])
+    seen.clear()
+    text = "Start words. words some. some\nplain. plain\nStart."
+    got = np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist()
+    assert got == library.encode(text, add_special_tokens=False).ids
+    assert sorted(seen) == [" plain"]
+
+
+@pytest.mark.parametrize("plain_specials", [False, True])
+def test_words_cut_into_parts_are_encoded_as_in_the_whole_text(plain_specials):
+    library = Tokenizer.from_file(VOCABULARY)
+    library.encode_special_tokens = plain_specials
+    rng = random.Random(31)
+    signs = [
+        " ", " ", " ", "\n", "\n", "\n\n", "\r", "\t", "a", "Z", "9", "é", "Ã", "×", "÷", "ß", "ﬁ", "日", "…", "’", "\u00a0", "\u3000", "\u2028", "\x85",
+        ".", ",", "!", "?", "...", "#", "$", "%", "&", "*", "@", ":", ";", "'", "'s", "'ll", "'T", "<", "<|endoftext|>", "|>", "(", "\"", "-", "\x00", "\x7f",
+    ]
+    encoder = tokenfiles.Encoder(VOCABULARY, plain_specials)
+    for _ in range(20):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+        for t, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
