@@ -251,6 +251,58 @@ def test_pieces_are_answered_with_the_counts_of_all(spark):
     assert len(pieces) > 1 and plain == dict(zip(keys.tolist(), map(tuple, counts.tolist())))
 
 
+def test_answers_hold_what_the_other_pieces_counted(spark):
+    """Own counts and those of the others make the counts of all, exactly; numbers beyond 32 bits pass, too."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(300)), i % 3 > 0) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(4, "doc_id")
+    spell = contextmix.spelling(np.ones((256, 256), np.int64))
+    sent = contextmix.write_and_read(contextmix.gathered(docs, 3), "sent")
+    none = np.zeros(0, np.int64)
+    own, total = {}, Counter()
+    for r in sent.filter("bucket >= 0").collect():
+        pairs = contextmix._keys_in(r["keys"])
+        own[r.piece, r.bucket] = found = contextmix.decided(pairs, contextmix._unsqueezed(r.counts, "<i8"), spell)
+        for k, (n0, n1) in zip(found[0].tolist(), found[1].tolist()):
+            total[k, 0] += n0
+            total[k, 1] += n1
+    answers = contextmix.answered(sent, none, spell, 3, True).collect()
+    assert len({r.piece for r in answers}) > 1 and len(answers) == len(own)
+    for r in answers:
+        keys, counts = own[r.piece, r.bucket]
+        assert r["keys"] is None
+        assert (counts + contextmix._others_in(r.counts, len(keys))).tolist() == [[total[k, 0], total[k, 1]] for k in keys.tolist()]
+    large = np.array([[0, 1 << 40], [3, 0]])
+    assert contextmix._others_in(contextmix._others_out(large), 2).tolist() == large.tolist()
+
+
+def test_scores_are_the_same_in_rounds(spark, monkeypatch):
+    """Small groups make several rounds; what a round has shuffled is removed before the next."""
+    rng = random.Random(14)
+    docs = spark.createDataFrame([(i, prose(rng, 60)) for i in range(200)], "doc_id long, text string").repartition(4, "doc_id")
+    docs = contextmix.write_and_read(docs, "docs")
+    monkeypatch.setattr(contextmix, "GROUP_BYTES", 1 << 10)
+    got, written = [], []
+    write = contextmix._one_by_one
+
+    def noted(rounds, name):
+        parts = list(rounds)
+        written.append((name, len(parts)))
+        return write(parts, name)
+
+    monkeypatch.setattr(contextmix, "_one_by_one", noted)
+    for rounds in (1, 3):
+        monkeypatch.setattr(contextmix, "ROUNDS", rounds)
+        scored = contextmix.lm_scores(docs, F.col("doc_id") < 150)
+        got.append({r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, pytest.approx(r.base_score), pytest.approx(r.score, rel=1e-6)) for r in scored.collect()})
+    assert written == [("bit-answers", 1), ("lm-scores", 1), ("bit-answers", 3), ("lm-scores", 3)]
+    assert len(got[0]) == 200 and got[0].keys() == got[1].keys()
+    for d, (tokens, known, train, base, score) in got[0].items():
+        assert got[1][d][:3] == (tokens, known, train)
+        assert got[1][d][3].expected == base and got[1][d][4].expected == score
+
+
 def test_repeated_place_is_found_in_earlier_stretches():
     rng = np.random.default_rng(5)
     half = rng.integers(97, 123, 3 * contextmix.STRETCH).astype(np.uint8)
