@@ -174,10 +174,14 @@ def _rest_links(rest: DataFrame, radius: int, block: int) -> DataFrame:
 
 
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK_ROWS) -> DataFrame:
-    """(id, root) for every fingerprint (column ``fp``, each once) that links with another."""
+    """(id, root) for every fingerprint (column ``fp``, each once) that links with another.
+
+    Tables with a row per bucket meet the fingerprints in merge joins: Spark sizes exploded
+    rows by those before, 31 times too low, and would broadcast the buckets through the driver.
+    """
     keyed = _keyed(prints, radius)
     crowds = keyed.groupBy("t", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
-    members = write_and_read(keyed.join(crowds, ["t", "key"]), "buckets")
+    members = write_and_read(keyed.join(crowds.hint("merge"), ["t", "key"]), "buckets")
     ends = [
         members.filter((_distance("fp", end) <= radius) & (F.col("fp") != F.col(end))).select(
             F.col("fp").alias("u"), F.col(end).alias("v"))
@@ -190,7 +194,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, block: int = BLOC
     named = write_and_read(named, "named")
     open_ = named.groupBy("t", "key").agg(
         F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("rows")).filter("a < b").drop("a", "b")
-    rest = named.join(open_, ["t", "key"])
+    rest = named.join(open_.hint("merge"), ["t", "key"])
     more = write_and_read(_rest_links(rest, radius, block).distinct(), "links")
     return connected_components(links.unionByName(more))
 

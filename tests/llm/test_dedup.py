@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 from semdrift.llm import exact, lines, simhash
+from semdrift.session import write_and_read
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -192,3 +193,16 @@ def test_default_ratio_at_several_host_sizes(spark, n_pages):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     left = {x for r in lines.drop_boilerplate(docs).collect() for x in r.text.split("\n")}
     assert left == {f"own {i}" for i in range(n_pages)} | {"quote"}
+
+
+def test_buckets_are_not_broadcast(spark, monkeypatch):
+    plans = {}
+
+    def kept(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().sparkPlan().toString())
+        return write_and_read(df, name)
+
+    monkeypatch.setattr(simhash, "write_and_read", kept)
+    near = spark.createDataFrame([(x,) for x in (0, 1, 3, 1 << 40, 1 << 41)], "fp long")
+    assert {r.root for r in simhash.fingerprint_links(near).collect()} == {0}
+    assert "BroadcastHashJoin" not in plans["buckets"] and "SortMergeJoin" in plans["buckets"]
