@@ -161,6 +161,21 @@ def move_state(state: DataFrame, entered: DataFrame) -> tuple[DataFrame, DataFra
     return after, changes.groupBy(*KIND).agg(F.sum("delta").alias("delta"))
 
 
+def judge(marked: DataFrame, labels: DataFrame) -> DataFrame:
+    """``marked`` with what the labels say of each row.
+
+    A merge join: Spark sizes the labels, repeated for each salt, by the rows
+    before, and would broadcast them through the driver.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality") == 1, F.col("toxic") == 1).toDF("doc_id", "good", "toxic")
+    known = known.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("good").alias("good"), F.max("toxic").alias("toxic"))
+    known = write_and_read(known, "audit-labels").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    marked = marked.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("long"))
+    return marked.join(known.hint("merge"), ["doc_id", "salt"], "left").select(
+        "doc_id", "part", "digest", "mask", "n", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic")
+    )
+
+
 def stream_changes(
     spark: SparkSession, path: str, labels: DataFrame, target: str, checkpoint: str, files_per_batch: int,
     doc_id: str = "doc_id", part: str = "source", text: str = "text",
@@ -178,13 +193,7 @@ def stream_changes(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"),
         F.col(text).cast("string").alias("text"),
     ).mapInArrow(_marked, "doc_id long, part string, digest binary, mask int, n long")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality") == 1, F.col("toxic") == 1).toDF("doc_id", "good", "toxic")
-    known = known.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("good").alias("good"), F.max("toxic").alias("toxic"))
-    known = write_and_read(known, "audit-labels").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    marked = marked.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("long"))
-    judged = marked.join(known, ["doc_id", "salt"], "left").select(
-        "doc_id", "part", "digest", "mask", "n", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic")
-    )
+    judged = judge(marked, labels)
 
     def sink(rows: DataFrame, batch_id: int) -> None:
         session = rows.sparkSession

@@ -90,6 +90,16 @@ def test_audit_of_an_empty_table(spark, tmp_path):
     assert audited(spark, str(tmp_path / "docs")) == []
 
 
+def test_labels_are_not_broadcast(spark):
+    marked = spark.createDataFrame([(1, "a", b"x", 0, 1), (2, "a", b"y", 1, 2), (None, "b", b"z", 0, 1)], "doc_id long, part string, digest binary, mask int, n long")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    judged = audit.judge(marked, labels)
+    plan = judged._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    got = sorted((tuple(r) for r in judged.collect()), key=repr)
+    assert [(r[0], *r[5:]) for r in got] == [(1, True, True), (2, False, False), (None, False, False)]
+
+
 def test_pieces_of_a_text_change_no_mask(monkeypatch):
     texts = [LONG.encode(), b"A" * 500, ("Ä b " * 60).encode(), b"", b"  \n", b"a b " * 30 + b"#"]
     whole = [audit.failures(t) for t in texts]
