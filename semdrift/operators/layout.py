@@ -10,11 +10,12 @@ between two parts.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +24,10 @@ from pyspark.sql.window import Window
 from semdrift.config import AnalysisSettings
 from semdrift.functions.arrow import from_matrix, to_matrix
 from semdrift.functions.vectors import usable
-from semdrift.operators import nearest, quadtree
+from semdrift.operators import mesh, nearest, quadtree
 from semdrift.operators import reduce as R
 from semdrift.operators.similar import knn, split_crowds
-from semdrift.operators.skew import lookup_join
+from semdrift.operators.skew import lookup_join, number_rows
 from semdrift.session import cut, settings, write_and_read
 
 
@@ -372,6 +373,117 @@ def _stay(pulled, pushed, degree, velocity, now):
     return velocity, np.zeros_like(velocity)
 
 
+# ------------------------------------------------------------- epochs without a shuffle
+
+PIECE = 1024  # points whose edges lie in one row, at most
+DIRECT_POINTS = 4096  # up to so many points are met pair by pair
+#: Bytes of all places, which the driver holds and every task is sent in an epoch, at most; larger layouts shuffle places.
+MOST_SENT = 64 << 20
+
+
+def _push_all(x: np.ndarray, y: np.ndarray, weight: np.ndarray, own: slice, kernel: quadtree.Kernel, direct: int) -> tuple[np.ndarray, float]:
+    """The push on the points ``own`` and their share of the closeness of all pairs: pair by pair, through a mesh, or through a tree if no mesh fits."""
+    ox, oy, ow = x[own], y[own], weight[own]
+    if len(x) > direct and mesh.fits(x, y):
+        pushed, z = mesh.push(x, y, weight, own)
+        return pushed, z * len(ox) / len(x)
+    if len(x) > direct:
+        side = _side(float(max(np.ptp(x), np.ptp(y))))
+        tree = quadtree.build(*quadtree.coarser(quadtree.count_cells(x, y, weight, side), side))
+        pushed = quadtree.push(tree, ox, oy, ow, kernel)
+    else:
+        pushed, rows = np.zeros((3, len(ox))), max(1, (1 << 18) // len(x))
+        for at in range(0, len(ox), rows):
+            part = slice(at, at + rows)
+            pushed[:, part] = [(v * weight).sum(axis=1) for v in kernel(ox[part, None] - x, oy[part, None] - y)]
+        pushed[2] -= ow * kernel(np.zeros(1), np.zeros(1))[2]
+    return pushed[:2], float((pushed[2] * ow).sum())
+
+
+def _forces(places, weight, kernel: quadtree.Kernel, pull: Callable, direct: int):
+    """(first point, pull and push of a task's points, their closeness) from the places of all points and the task's edges."""
+
+    def forces(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, bytes, float]]:
+        (x, y), pulled, first = places.value, [], None
+        for low, n, _, payload in sorted(rows):
+            first = low if first is None else first
+            iu, iv, w = pickle.loads(payload) if payload else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+            own = slice(low, low + n)
+            found = pull(x[own][iu] - x[iv], y[own][iu] - y[iv], w)
+            pulled.append([np.bincount(iu, f, n) for f in found])
+        if first is not None:
+            pulled = np.concatenate(pulled, axis=1)
+            pushed, z = _push_all(x, y, weight.value, slice(first, first + pulled.shape[1]), kernel, direct)
+            yield first, np.concatenate([pulled, pushed]).tobytes(), z
+
+    return forces
+
+
+def _run_gathered(points: DataFrame, edges: DataFrame, n: int, epochs: int, kernel: quadtree.Kernel, pull: Callable, move: Callable,
+                  tasks: int | None = None, direct: int = DIRECT_POINTS) -> DataFrame:
+    """(id, x, y) of ``points`` (id, x, y, weight) after ``epochs`` epochs, for forces that do not ask for a point's degree.
+
+    Points are numbered, and the edges of consecutive ones lie in a row each. An epoch is one job without a shuffle: all
+    places go to the tasks, which sum the forces on their own points. The driver holds five numbers for each point and moves them.
+    """
+    spark = points.sparkSession
+    tasks = tasks or spark.sparkContext.defaultParallelism
+    size = max(1, min(PIECE, -(-n // (4 * tasks))))
+    n_pieces = -(-n // size)
+    tasks = min(tasks, n_pieces)
+    numbered = number_rows(points, [F.col("id")], "nth").withColumn("nth", F.col("nth") - 1)
+    numbered = write_and_read(numbered, "layout-points")
+    names = numbered.select("id", "nth")
+    ends = edges.join(names.select(F.col("id").alias("u"), F.col("nth").alias("iu")), "u")
+    ends = ends.join(names.select(F.col("id").alias("v"), F.col("nth").alias("iv")), "v")
+    ends = ends.select(F.floor(F.col("iu") / size).cast("int").alias("piece"), F.col("iu").cast("int").alias("iu"), F.col("iv").cast("int").alias("iv"), "w")
+
+    def own_edges(group: pa.Table) -> pa.Table:
+        iu, iv, w = (group.column(c).to_numpy() for c in ("iu", "iv", "w"))
+        order, piece = np.lexsort((iv, iu)), int(group.column("piece")[0].as_py())
+        payload = pickle.dumps((iu[order] - np.int32(piece * size), iv[order], w[order]))
+        return pa.table({"piece": pa.array([piece], pa.int32()), "payload": pa.array([payload], pa.binary())})
+
+    pieces = spark.range(n_pieces).select(F.col("id").cast("int").alias("piece"))
+    packed = write_and_read(ends.groupBy("piece").applyInArrow(own_edges, "piece int, payload binary"), "layout-edges")
+    packed = pieces.join(packed, "piece", "left").rdd.map(
+        lambda r: (r["piece"] * tasks // n_pieces, (r["piece"] * size, min(size, n - r["piece"] * size), r["piece"], bytes(r["payload"] or b"")))
+    )
+    fixed = packed.partitionBy(tasks, int).values().persist(StorageLevel.MEMORY_AND_DISK)
+    x, y, weight = np.zeros(n), np.zeros(n), np.zeros(n)
+    for b in numbered.select("nth", "x", "y", "weight").toArrow().to_batches():  # at most ``MOST_SENT`` bytes of places
+        at = b.column(0).to_numpy()
+        x[at], y[at], weight[at] = (b.column(c).to_numpy() for c in (1, 2, 3))
+    places, velocity, total, z, number = np.array([x, y]), np.zeros((2, n)), float(weight.sum()), None, 0
+    masses = spark.sparkContext.broadcast(weight)
+    while number < epochs:
+        shipped = spark.sparkContext.broadcast(places)
+        found = fixed.mapPartitions(_forces(shipped, masses, kernel, pull, direct)).collect()
+        shipped.destroy()
+        forces = np.zeros((4, n))
+        for first, raw, _ in found:
+            part = np.frombuffer(raw).reshape(4, -1)
+            forces[:, first:first + part.shape[1]] = part
+        # The closeness of all pairs is that of the epoch before; the first epoch is run once without moving to get it.
+        if z is not None:
+            turn = Turn(None, 0.0, float(np.ptp(places, axis=1).max()), z, total, number)
+            velocity, gone = move(forces[:2], forces[2:], None, velocity, turn)
+            places = places + gone
+            number += 1
+        z = sum(share for _, _, share in sorted(found, key=lambda r: r[0]))
+    fixed.unpersist()
+    masses.destroy()
+    shipped = spark.sparkContext.broadcast(places)
+
+    @F.arrow_udf("struct<x: double, y: double>")
+    def placed(nth: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(v[nth.to_numpy()]) for v in shipped.value], names=["x", "y"])
+
+    found = write_and_read(names.withColumn("at", placed("nth")).select("id", "at.x", "at.y"), "layout")
+    shipped.destroy()
+    return found
+
+
 def _start(coords: DataFrame, id_col: str, spread: float, seed: int) -> DataFrame:
     """First two coordinates scaled to ``spread``, with a seeded nudge that parts equal points."""
     two = coords.select(F.col(id_col).cast("bigint").alias("id"), F.get("pos", F.lit(0)).alias("x"),
@@ -392,6 +504,17 @@ def _laid_out(coords: DataFrame, id_col: str, spread: float, seed: int, edges: D
     return _run(_dealt(vectors, start, edges, weights), epochs, *forces)
 
 
+def _laid_out_gathered(coords: DataFrame, id_col: str, spread: float, seed: int, edges: DataFrame, weights: DataFrame | None, epochs: int, *forces) -> DataFrame:
+    """As :func:`_laid_out`, with the kernels of t-SNE; places travel without a shuffle while all of them are few enough."""
+    start = _start(coords.filter(usable(F.col("pos").cast("array<double>"))), id_col, spread, seed)
+    places = start if weights is None else start.join(weights, "id", "left")
+    places = places.select("id", "x", "y", (F.lit(1.0) if weights is None else F.coalesce("weight", F.lit(1.0))).alias("weight"))
+    n = places.count()
+    if not n or 16 * n > MOST_SENT:
+        return _laid_out(coords, id_col, spread, seed, edges, weights, epochs, *forces)
+    return _run_gathered(places, edges, n, epochs, *forces)
+
+
 def umap_layout(coords: DataFrame, id_col: str, edges: DataFrame, min_dist: float = 0.1, epochs: int = 30,
                 seed: int = 42, weights: DataFrame | None = None) -> DataFrame:
     """(id, x, y): expected-force layout of a membership graph, started from ``coords``.
@@ -442,7 +565,7 @@ def tsne_layout(coords: DataFrame, id_col: str, edges: DataFrame, iterations: in
         velocity = momentum * velocity + np.clip(force, -0.1 * now.extent, 0.1 * now.extent)
         return velocity, velocity
 
-    return _laid_out(coords, id_col, 1.0, seed, edges, weights, iterations, kernel, pull, move)
+    return _laid_out_gathered(coords, id_col, 1.0, seed, edges, weights, iterations, kernel, pull, move)
 
 
 def reduce_all(points: DataFrame, id_col: str, vec_col: str, settings: AnalysisSettings = AnalysisSettings(),

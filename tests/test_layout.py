@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from semdrift.config import AnalysisSettings
-from semdrift.operators import layout, quadtree, reduce
+from semdrift.operators import layout, mesh, quadtree, reduce
 from semdrift.operators.similar import knn
 
 
@@ -107,6 +107,55 @@ def test_push_is_within_a_percent_of_the_direct_sum(spread):
     assert np.linalg.norm(exact[:2] - want[:2]) < 1e-3 * np.linalg.norm(want[:2])
 
 
+def closeness(dx, dy):
+    q = 1 / (1 + dx * dx + dy * dy)
+    return q * q * dx, q * q * dy, q
+
+
+@pytest.mark.parametrize("spread", [0.2, 5.0, 40.0])
+def test_mesh_is_within_a_percent_of_the_direct_sum(spread):
+    rng = np.random.default_rng(4)
+    p = np.concatenate([rng.normal(0, spread, (1500, 2)), rng.normal(spread, spread / 20, (500, 2)), np.full((20, 2), spread)])
+    w = rng.integers(1, 4, len(p)).astype(float)
+    want = plain_push(p, w, closeness)
+    assert mesh.fits(*p.T) and not mesh.fits(*(1000 * p.T)) and not mesh.fits(*(1e-4 * p.T))
+    for own in (slice(0, len(p)), slice(300, 900)):
+        got, z = mesh.push(*p.T, w, own)
+        assert np.linalg.norm(got - want[:2, own]) < 0.01 * np.linalg.norm(want[:2, own])
+        assert abs(z - (want[2] * w).sum()) < 0.001 * (want[2] * w).sum()
+
+
+@pytest.mark.parametrize("kind", ["pairs", "mesh", "tree"])
+def test_push_of_own_points(kind):
+    p = np.random.default_rng(5).normal(0, 400.0 if kind == "tree" else 9.0, (700, 2))
+    w = np.ones(len(p))
+    want = plain_push(p, w, closeness)
+    parts = [layout._push_all(*p.T, w, own, closeness, 700 if kind == "pairs" else 0) for own in (slice(0, 250), slice(250, 700))]
+    got, z = np.concatenate([f for f, _ in parts], axis=1), sum(share for _, share in parts)
+    near = 1e-9 if kind == "pairs" else 0.01
+    assert np.linalg.norm(got - want[:2]) < near * np.linalg.norm(want[:2]) and abs(z - want[2].sum()) < near * want[2].sum()
+
+
+def test_an_epoch_of_tsne_shuffles_nothing(spark, monkeypatch):
+    """Places of all points go to the tasks; the layout is that of epochs which shuffle places, to the error of their tree."""
+    _, df = points(spark)
+    coords = df.select("id", F.col("v").alias("pos"))
+    edges = layout.symmetrise(layout.neighbor_weights(knn(df, "id", "v", 12), "tsne", 4), "tsne")
+    heavy = spark.createDataFrame([(3, 5.0), (50, 2.0)], "id bigint, weight double")
+    shuffled, runs = layout._run, []
+
+    def refused(*_):
+        raise AssertionError("shuffled")
+
+    for most, run in ((layout.MOST_SENT, refused), (0, shuffled)):
+        monkeypatch.setattr(layout, "MOST_SENT", most)
+        monkeypatch.setattr(layout, "_run", run)
+        rows = layout.tsne_layout(coords, "id", edges, 6, weights=heavy).orderBy("id").collect()
+        runs.append(np.array([(r["x"], r["y"]) for r in rows]))
+    assert runs[0].shape == (90, 2)
+    np.testing.assert_allclose(runs[0], runs[1], atol=0.005 * np.ptp(runs[1]))
+
+
 def test_cells_become_coarser_until_few(monkeypatch):
     monkeypatch.setattr(quadtree, "MOST_CELLS", 30)
     p = np.random.default_rng(2).normal(size=(400, 2))
