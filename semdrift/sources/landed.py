@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
+import pyarrow.fs as pfs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +36,79 @@ def read_listing(spark: SparkSession, path: str, multiline: bool = True) -> Data
     return pages.select(F.explode("results").alias("r")).select("r.*")
 
 
+#: Texts that a task hands on at a time: files and bytes.
+FILES_HELD, BYTES_HELD = 1024, 4 << 20
+#: Tasks that read files, for each that runs at a time.
+READERS = 4
+
+
+def _arrow_folder(spark: SparkSession, path: str) -> tuple[pfs.FileSystem, str] | None:
+    """The store and the folder that ``path`` names, if Arrow opens what Spark would."""
+    if "://" not in path and not path.startswith("file:") and not (spark._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:").startswith("file:"):
+        return None
+    try:
+        store, root = pfs.FileSystem.from_uri(path)
+        return (store, root) if store.get_file_info(root).type == pfs.FileType.Directory else None
+    except (OSError, pa.ArrowException):
+        return None
+
+
+def _as_spark(name: str) -> str:
+    """The name as Spark's file metadata spell it, as part of a URI."""
+    return re.sub(r"[^\w!.~'()*:@&=+$,;-]", lambda c: "".join(f"%{b:02X}" for b in c[0].encode()), name)
+
+
+def _seen(name: str) -> bool:
+    """Whether Spark's readers see a file of this name, and it is a text."""
+    return name.endswith(".txt") and not name.startswith(".") and (not name.startswith("_") or "=" in name)
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, text): one row per text file; the reader of whole files opens a small one several times faster than the text reader."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    return files.select(F.col("_metadata.file_name").alias("filename"), F.col("content").cast("string").alias("text"))
+    """(filename, text): one row per text file of a folder.
+
+    One task lists the folder and hands the names on as it goes, others read the files: Spark's own
+    readers keep an entry for each file on the driver. They are used for paths that Arrow's file systems do not open as a folder.
+    """
+    if _arrow_folder(spark, path) is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+        return files.select(F.col("_metadata.file_name").alias("filename"), F.col("content").cast("string").alias("text"))
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pfs.FileSystem.from_uri(path)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if isinstance(store, pfs.LocalFileSystem):
+                found = (e.name for e in os.scandir(root) if _seen(e.name) and e.is_file())
+            else:
+                found = (i.base_name for i in store.get_file_info(pfs.FileSelector(root)) if _seen(i.base_name) and i.type == pfs.FileType.File)
+            while some := list(islice(found, 1 << 14)):
+                yield pa.RecordBatch.from_pydict({"filename": pa.array(some, pa.string())})
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pfs.FileSystem.from_uri(path)
+        held, size = [], 0
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                with store.open_input_stream(f"{root}/{name}") as file:
+                    text = file.read()
+                if not text:  # nor do Spark's readers see empty files
+                    continue
+                held.append((_as_spark(name), text))
+                size += len(text)
+                if len(held) >= FILES_HELD or size >= BYTES_HELD:
+                    yield _files(held)
+                    held, size = [], 0
+        if held:
+            yield _files(held)
+
+    listed = spark.range(1).repartition(1).mapInArrow(names, "filename string")
+    dealt = listed.repartition(READERS * spark.sparkContext.defaultParallelism, "filename")
+    return dealt.mapInArrow(texts, "filename string, content binary").select("filename", F.col("content").cast("string").alias("text"))
+
+
+def _files(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"filename": pa.array([n for n, _ in held], pa.string()), "content": pa.array([t for _, t in held], pa.binary())})
 
 
 def read_keyed_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -55,6 +55,24 @@ def test_one_file_per_document(spark, tmp_path):
     assert sorted(r["text"] for r in rows.collect()) == sorted((t or "") + "\n" for t in texts)
 
 
+def test_the_driver_lists_no_document_files(spark, tmp_path):
+    """Rows are those of Spark's own reader of whole files, without its list of files on the driver."""
+    for name, text in (("a b.txt", b"one\n"), ("empty.txt", b""), ("50% [a]#1 'x'+{y}.txt", "zw\u00f6lf".encode()), ("odd.txt", b"\xff\x00x"), ("_hidden.txt", b"h"), (".dot.txt", b"d"), ("a.csv", b"c")):
+        (tmp_path / name).write_bytes(text)
+    (tmp_path / "inner").mkdir()
+    (tmp_path / "inner" / "deep.txt").write_bytes(b"deep")
+    rows = landed.read_documents(spark, str(tmp_path))
+    assert not rows.inputFiles()
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(str(tmp_path))
+    plain = plain.selectExpr("_metadata.file_name AS filename", "CAST(content AS STRING) AS text")
+    bare = [sorted((r[0], bytes(r[1])) for r in t.selectExpr("filename", "CAST(text AS BINARY)").collect()) for t in (rows, plain)]
+    assert bare[0] == bare[1] and len(bare[0]) == 3
+    some = landed.read_documents(spark, f"{tmp_path}/*.txt")  # a pattern is left to Spark
+    assert sorted(r["filename"] for r in some.collect()) == [n for n, _ in bare[1]]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        landed.read_documents(spark, str(tmp_path / "absent"))
+
+
 def test_csv_round_trip_keeps_quotes_and_breaks(spark, tmp_path):
     row = ("1", "P", "2020", 'He said "x", ok\nnew', "f", "u", "")
     df = spark.createDataFrame([row], landed.RAW_METADATA)
