@@ -38,6 +38,8 @@ MAX_CELLS, HEAD = 1 << 22, 1024  # distances held at a time, columns that a firs
 # Distances equal to this many decimals are ties; the smaller id comes first.
 DECIMALS = 9
 SLACK = 1e-6
+#: By what part of the squared lengths a product in single precision may miss a squared distance (some 1e-6), and pairs worked out at a time.
+ROUGH, DIRECT = 1e-5, 1 << 14
 
 
 def group_rows(n: int) -> int:
@@ -192,18 +194,43 @@ def smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return rows, picked.ravel()
 
 
-def _closest(d: np.ndarray, ids: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, columns and rounded distances of the k smallest entries of each row that are within its ``limit``, ties by the smaller id.
+def _moved(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both about the mean of ``b``; factors whose product are the squared distances, roughly; what each row of ``a`` may miss by."""
+    middle = b.mean(axis=0)
+    a, b = a - middle, b - middle
+    long_a, long_b = (a * a).sum(1), (b * b).sum(1)
+    most = max(long_a.max(initial=0.0), long_b.max(initial=0.0))
+    kind = np.float32 if 1e-25 < most < 1e30 else np.float64
+    left = np.column_stack([-2.0 * a, long_a, np.ones(len(a))]).astype(kind)
+    right = np.column_stack([b, np.ones(len(b)), long_b]).astype(kind).T
+    return a, b, left, right, ROUGH * (long_a + long_b.max(initial=0.0))
 
-    Only entries up to the limit are rounded and sorted; a row without one takes the k-th of its first columns.
+
+def _closest(a: np.ndarray, b: np.ndarray, rough: tuple[np.ndarray, np.ndarray, np.ndarray], own: np.ndarray | None, ids: np.ndarray, k: int,
+             limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and rounded distances of the k nearest of ``b`` (``ids``) to each row of ``a`` within its ``limit``, ties by the smaller id; not the id ``own``.
+
+    A rough product tells which pairs can be within the limit; only their distances are worked out, rounded
+    and sorted. A row without a limit takes the k-th of its first columns.
     """
+    left, right, slack = rough
     bound, open_rows = limit + 10.0 ** -DECIMALS, np.flatnonzero(np.isinf(limit))
-    if len(open_rows) and d.shape[1] > k:
-        head = d[open_rows, :max(HEAD, 4 * k)]
+    first = max(HEAD, 32 * k)
+    if len(open_rows) and len(b) > k:
+        head = distances(a[open_rows], b[:first])
+        if own is not None:
+            head[own[open_rows, None] == ids[None, :first]] = np.inf
         bound[open_rows] = np.partition(head, k - 1, axis=1)[:, k - 1] + 10.0 ** -DECIMALS
-    r, c = np.nonzero(d <= bound[:, None])
-    found = np.round(d[r, c], DECIMALS)
+    r, c = np.nonzero(left @ right <= (bound * bound + slack).astype(left.dtype)[:, None])
+    found = np.empty(len(r))
+    for at in range(0, len(r), DIRECT):
+        i, j = r[at:at + DIRECT], c[at:at + DIRECT]
+        apart = a[i] - b[j]
+        found[at:at + DIRECT] = np.sqrt(np.einsum("ij,ij->i", apart, apart))
+    found = np.round(found, DECIMALS)
     keep = np.isfinite(found) & (found <= limit[r])
+    if own is not None:
+        keep &= own[r] != ids[c]
     r, c, found = r[keep], c[keep], found[keep]
     order = np.lexsort((ids[c], found, r))
     r, c, found = r[order], c[order], found[order]
@@ -257,18 +284,13 @@ def _meet(k: int, itself: bool):
         ids, others = asking.column("id").to_numpy(), shipped.column("id").to_numpy()
         x, y = to_matrix(asking.column("vec")), to_matrix(shipped.column("vec"))
         kth = pa.compute.fill_null(asking.column("kth"), np.inf).to_numpy()
-        by_id = np.argsort(others, kind="stable")
+        x, y, left, right, slack = _moved(x, y)
         rows = max(1, MAX_CELLS // len(others))
         out = []
-        for at in range(0, len(ids), rows):
-            d = distances(x[at:at + rows], y)
-            own, limit = ids[at:at + rows], kth[at:at + rows]
-            if itself:
-                place = by_id[np.minimum(np.searchsorted(others, own, sorter=by_id), len(others) - 1)]
-                same = np.flatnonzero(others[place] == own)
-                d[same, place[same]] = np.inf
-            r, c, found = _closest(d, others, k, limit)
-            out.append((at + r, c, found))
+        for low in range(0, len(ids), rows):
+            at = slice(low, low + rows)
+            r, c, found = _closest(x[at], y, (left[at], right, slack[at]), ids[at] if itself else None, others, k, kth[at])
+            out.append((low + r, c, found))
         r, c, d = (np.concatenate(p) for p in zip(*out))
         return pa.table({
             "grp": asking.column("grp").take(pa.array(r)), "leaf": asking.column("leaf").take(pa.array(r)),

@@ -281,3 +281,37 @@ def test_a_neighbour_task_holds_its_distances_once():
         limit = np.where(np.isnan(kth), np.inf, kth)
         place = {int(i): at for at, i in enumerate(ids)}
         assert lists == [[j for j in w if d[i, place[j]] <= limit[i]] for i, w in enumerate(want)]
+
+
+@pytest.mark.parametrize("scale", [1e-14, 1.0, 1e6, 1e18])
+def test_only_distances_that_may_count_are_worked_out(monkeypatch, scale):
+    """A rough product rules pairs out, far from the origin as well; no block of distances is made."""
+    import pyarrow as pa
+
+    from semdrift.functions.arrow import from_matrix
+    from semdrift.operators import nearest
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2000, 12)) * scale + 1000 * scale
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), nearest.DECIMALS)
+    np.fill_diagonal(d, np.inf)
+    ids, worked = np.arange(2000), []
+    want = [[j for j in np.lexsort((ids, row))[:4]] for row in d]
+    plain = nearest.distances
+
+    def counted(a, b):
+        worked.append(len(a) * len(b))
+        return plain(a, b)
+
+    monkeypatch.setattr(nearest, "distances", counted)
+    kth, n = np.full(2000, np.nan), pa.array(np.zeros(2000, np.int64))
+    for _ in range(2):  # without limits, then with those found
+        table = pa.table({"id": pa.array(ids), "vec": from_matrix(x, pa.float64()), "grp": n, "leaf": n, "kth": pa.array(kth, from_pandas=True)})
+        got = nearest._meet(4, True)(table, table.select(["id", "vec"]))
+        lists = [[] for _ in x]
+        for i, j in zip(got.column("id").to_pylist(), got.column("neighbor").to_pylist()):
+            lists[i].append(j)
+        assert lists == want
+        kth = np.zeros(2000)
+        np.maximum.at(kth, got.column("id").to_numpy(), got.column("distance").to_numpy())
+    assert sum(worked) == 2000 * nearest.HEAD
