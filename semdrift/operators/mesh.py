@@ -2,7 +2,7 @@
 
 Weights are spread to the nodes of a square mesh by quintic B-splines, convolved with a kernel by Fourier
 transforms (the mesh is doubled, so that nothing wraps around) and read off at the points by the same splines,
-which the kernel's transform makes up for. With nodes ``SPACING`` apart the sums are within half a percent of the direct ones (tested),
+which the kernel's transform makes up for. With nodes ``SPACING`` apart the sums are within one percent of the direct ones (tested),
 at a cost of 36 nodes for each point and two and a half transforms, whatever the number of points.
 """
 
